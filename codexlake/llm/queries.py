@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codexlake.llm import decontaminate, tokens
+from codexlake.llm import decontaminate, licenses, quality, secrets, sharding, tokens
 from codexlake.llm.common import table
 
 
@@ -15,13 +15,29 @@ def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_planes, op9_decontaminate)}
+    return {f.__name__: f for f in (op3_token_planes, op6_secret_scan, op7_quality_rules, op8_best_fit_shards, op9_decontaminate, op10_license_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_license_sentences": licenses.ORACLE}
