@@ -38,8 +38,8 @@ def words(text: Column) -> Column:
 
 
 def repeat_words(own: Column, n: int = 8) -> Column:
-    """Words inside n-word windows that occur twice or more in the text."""
-    windows = F.when(F.size(own) < n, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(own) - n + 1), lambda i: F.xxhash64(F.slice(own, i, n))))
+    """Words inside n-word windows that occur twice or more in the text. Words are taken one by one: slice() would copy the whole array each time."""
+    windows = F.when(F.size(own) < n, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(own) - n + 1), lambda i: F.xxhash64(*(F.get(own, i + (k - 1)) for k in range(n)))))
 
     def covered(w: Column) -> Column:
         placed = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -54,18 +54,21 @@ def repeat_words(own: Column, n: int = 8) -> Column:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """docs with the counts, and the name that each count's column got."""
-    taken = docs.columns
-    name = {k: fresh(k, taken) for k in ("q_words", "q_lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_bangs")}
+    """docs with the counts, and the name that each count's column got.
+
+    The counts come out of a generator of one row: filters on them stay above it, where pushing them into a projection
+    would put the splitting of the text into every step of the array functions.
+    """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    w, lines = F.col(name["q_words"]), F.col(name["q_lines"])
-    out = docs.withColumns({name["q_words"]: words(text), name["q_lines"]: F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")})
-    out = out.withColumns({
-        name["n_words"]: F.size(w).cast("long"), name["word_chars"]: F.length(F.array_join(w, "")).cast("long"), name["n_symbols"]: F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-        name["n_dup_lines"]: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"), name["n_repeat_words"]: repeat_words(w), name["n_lines"]: F.size(lines).cast("long"),
-        name["n_distinct"]: F.size(F.array_distinct(w)).cast("long"), name["n_upper"]: F.regexp_count(text, F.lit(r"[A-Z]")).cast("long"), name["n_bangs"]: F.regexp_count(text, F.lit(r"[!?]")).cast("long"),
-    })
-    return out.drop(name["q_words"], name["q_lines"]), name
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
+    per_word = lambda w: {"n_words": F.size(w), "word_chars": F.length(F.array_join(w, "")), "n_repeat_words": repeat_words(w), "n_distinct": F.size(F.array_distinct(w))}
+    per_line = lambda x: {"n_dup_lines": F.size(x) - F.size(F.array_distinct(x)), "n_lines": F.size(x)}
+    per_char = {"n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")), "n_upper": F.regexp_count(text, F.lit(r"[A-Z]")), "n_bangs": F.regexp_count(text, F.lit(r"[!?]"))}
+    as_struct = lambda d: F.struct(*(v.cast("long").alias(k) for k, v in d.items()))
+    counts = _let(words(text), lambda w: _let(lines, lambda x: as_struct(per_word(w) | per_line(x) | per_char)))
+    keys = ["n_words", "word_chars", "n_repeat_words", "n_distinct", "n_dup_lines", "n_lines", *per_char]
+    name = {k: fresh(k, docs.columns) for k in keys}
+    return docs.select("*", F.inline(F.array(counts)).alias(*(name[k] for k in keys))), name
 
 
 def base_failed(name: dict[str, str]) -> Column:
@@ -74,7 +77,7 @@ def base_failed(name: dict[str, str]) -> Column:
 
 def ratios(name: dict[str, str]) -> dict[str, Column]:
     """What the rules set thresholds on."""
-    c = {k: F.col(v).cast("double") for k, v in name.items() if not k.startswith("q_")}
+    c = {k: F.col(v).cast("double") for k, v in name.items()}
     per = lambda a, b: F.coalesce(F.try_divide(c[a], c[b]), F.lit(0.0))
     return {
         "words": c["n_words"], "mean_word": per("word_chars", "n_words"), "symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words"),
