@@ -108,11 +108,16 @@ class _Codes(dict):
         return code
 
 
+_TAIL_MARKS = b".,!?;:*#$%&"
+
+
 class WordEncoder:
-    """encode() of the tokenizer, word by word with a cache.
+    """encode() of the tokenizer, word by word with caches of bounded size.
 
-    Right for tokenizers that split at white space before their model runs and normalise characters one by one, so
-    that no id spans two words; the tests hold it against the tokenizer's own encoding of whole texts.
+    Right for tokenizers that split at white space and between letters and other signs before their model runs, ignore
+    case and normalise characters one by one, so that no id spans two words; the tests hold it against the tokenizer's
+    own encoding of whole texts. New words are taken apart into stem and closing signs, and stems of letters alone are
+    encoded many at a time, told apart by the mark that the vocabulary puts on a word's last id.
     """
 
     def __init__(self, path: str, end_id: int, most_words: int = 1 << 19):
@@ -120,12 +125,57 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model, self.end_id, self.most = Tokenizer.from_file(path), end_id, most_words
+        vocabulary = self.model.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.ids_of: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.codes = _Codes()
         self.pool, self.starts, self.sizes = np.array([self.end_id], "<u4"), np.array([0]), np.array([1])
 
+    def _encode_new(self, parts: list[bytes]) -> None:
+        """Enters the parts into ids_of."""
+        letters = [(p, t) for p in parts if (t := p.decode()).isalpha()]
+        others = [p for p in parts if not p.decode().isalpha()]
+        for i in range(0, len(letters), 1000):
+            some = letters[i : i + 1000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(t for _, t in some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some):
+                others += [p for p, _ in some]
+                continue
+            raw, at = ids.tobytes(), 0
+            for (p, _), end in zip(some, (4 * ends).tolist(), strict=True):
+                self.ids_of[p] = raw[at:end]
+                at = end
+        for p, got in zip(others, self.model.encode_batch_fast([p.decode() for p in others], add_special_tokens=False), strict=True):
+            self.ids_of[p] = np.array(got.ids, "<u4").tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of new words, onto the pool."""
+        if len(self.ids_of) > self.most:
+            self.older, self.ids_of = self.ids_of, {b"": b""}
+        parts, need, known, older = [], {}, self.ids_of, self.older
+        for w in new:
+            low = w if b"<|" in w else w.lower()  # special tokens keep their case
+            stem = low.rstrip(_TAIL_MARKS)
+            parts.append(pair := (stem, low[len(stem) :]))
+            for p in pair:
+                if p not in known:
+                    if p in older:
+                        known[p] = older[p]
+                    else:
+                        need[p] = None
+        self._encode_new([*need])
+        got = [known[a] + known[b] for a, b in parts]
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(got), "<u4")])
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's end id included, and the count of ids of each text."""
         if len(self.codes) > self.most:
@@ -139,12 +189,8 @@ class WordEncoder:
             codes.append(0)
             ends[i] = len(codes)
         if self.codes.new:
-            got = [x.ids for x in self.model.encode_batch([w.decode() for w in self.codes.new], add_special_tokens=False)]
+            self._learn(self.codes.new)
             self.codes.new = []
-            sizes = np.array([len(x) for x in got])
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.pool = np.concatenate([self.pool, np.fromiter((y for x in got for y in x), "<u4")])
         at = np.array(codes, np.int64)
         sizes = self.sizes[at]
         before = np.cumsum(sizes)
@@ -153,6 +199,16 @@ class WordEncoder:
         return ids, np.diff(total, prepend=0)
 
 
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder(path: str, end_id: int) -> WordEncoder:
+    """This worker's encoder; its caches outlive a task."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
 def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = END_ID, mode: str = "byte", block: int = BLOCK_IDS, piece_ids: int = PIECE_IDS, path: str | None = None) -> DataFrame:
     """Encodes docs (doc_id, text) in ascending doc_id order and writes the pieces; returns them as read back.
 
@@ -162,7 +218,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = END_ID, mod
     kinds = pa.schema([("shard", pa.int32()), ("piece", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("image", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, piece = WordEncoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
+        words, shard, piece = encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
         names, sizes, held, count = [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -170,7 +226,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = END_ID, mod
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, piece, names, sizes, len(ids), pack(ids, mode, block)), kinds.types, strict=True)], schema=kinds)
 
         for part, texts in texts_in(batches, 1, 1 << 20):
-            ids, n = encoder.encode(texts)
+            ids, n = words.encode(texts)
             at = done = 0
             for k, doc in enumerate(part.column(0).to_pylist()):
                 names.append(doc)

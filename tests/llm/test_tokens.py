@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from codexlake.llm import tokens as K
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["Hello  World's\tBIG\x0btest\x1cfoo bar　baz", "", None, "éÉ é Σας ΣΣ İ", "a<|endoftext|>b <|startoftext|>", "x" * 3000, "12 34.5 %%% $$ don't I'LL\n\n\nend", "日本語 テキスト", " lead and trail \r\n", "don 't we 're 'S"]
+TEXTS = ["Hello  World's\tBIG\x0btest\x1cfoo bar　baz", "", None, "éÉ é Σας ΣΣ İ", "a<|endoftext|>b <|startoftext|>", "x" * 3000, "12 34.5 %%% $$ don't I'LL\n\n\nend", "日本語 テキスト", " lead and trail \r\n", "a<|ENDOFTEXT|>b word.,! word!! Wörd?! '.' it's. ...", "ﬁ e\u0301 E\u0301. \u1100\u1161 ǅ ªº x\u0301y,", "don 't we 're 'S"]
 
 
 def test_format_round_trip():
