@@ -7,14 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codexlake.llm import decontaminate, licenses, quality, secrets, sharding, tokens
+from codexlake.llm import decontaminate, licenses, mixing, quality, secrets, sharding, simhash, tokens
 from codexlake.llm.common import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -36,7 +44,7 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_planes, op6_secret_scan, op7_quality_rules, op8_best_fit_shards, op9_decontaminate, op10_license_sentences)}
+    return {f.__name__: f for f in (op2_simhash, op3_token_planes, op5_temperature_mix, op6_secret_scan, op7_quality_rules, op8_best_fit_shards, op9_decontaminate, op10_license_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
