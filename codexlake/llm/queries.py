@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codexlake.llm import decontaminate, licenses, mixing, quality, secrets, sharding, simhash, tokens
+from codexlake.llm import chat, decontaminate, licenses, mixing, quality, secrets, sharding, simhash, tokens
 from codexlake.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
 def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -44,8 +48,8 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_token_planes, op5_temperature_mix, op6_secret_scan, op7_quality_rules, op8_best_fit_shards, op9_decontaminate, op10_license_sentences)}
+    return {f.__name__: f for f in (op2_simhash, op3_token_planes, op4_tool_links, op5_temperature_mix, op6_secret_scan, op7_quality_rules, op8_best_fit_shards, op9_decontaminate, op10_license_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_sentences": licenses.ORACLE}
+    return {"op4_tool_links": chat.ORACLE, "op10_license_sentences": licenses.ORACLE}
