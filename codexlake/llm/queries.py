@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codexlake.llm import chat, decontaminate, licenses, mixing, quality, secrets, sharding, simhash, tokens
+from codexlake.llm import chat, decontaminate, licenses, mixing, quality, secrets, sharding, simhash, substring, tokens
 from codexlake.llm.common import table
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_token_planes, op4_tool_links, op5_temperature_mix, op6_secret_scan, op7_quality_rules, op8_best_fit_shards, op9_decontaminate, op10_license_sentences)}
+    return {f.__name__: f for f in (op1_substring, op2_simhash, op3_token_planes, op4_tool_links, op5_temperature_mix, op6_secret_scan, op7_quality_rules, op8_best_fit_shards, op9_decontaminate, op10_license_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
