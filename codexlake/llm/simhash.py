@@ -187,7 +187,8 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = components(links(distinct.select("fp"), radius))
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    names = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # written, so that both sides of the last join are exchanged for it and a hot fingerprint's partition can be split
+    names = written(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "names")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
