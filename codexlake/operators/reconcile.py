@@ -47,8 +47,8 @@ def bag_diff(a: DataFrame, b: DataFrame, key: str, value: str, order: str) -> Da
 
 def multiset_diff(a: DataFrame, b: DataFrame, item: str) -> DataFrame:
     """(item, n_a, n_b, lost, gained) of two bags of items."""
-    n = lambda d, c: d.groupBy(item).agg(F.count("*").alias(c))
-    both = n(a, "n_a").join(n(b, "n_b"), item, "full").select(item, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_b")))
+    side = lambda d, own: d.select(item, F.lit(own).alias("_a"), F.lit(1 - own).alias("_b"))
+    both = side(a, 1).unionByName(side(b, 0)).groupBy(item).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))  # one grouping; nulls meet
     return both.select("*", F.greatest(F.col("n_a") - F.col("n_b"), F.lit(0)).alias("lost"), F.greatest(F.col("n_b") - F.col("n_a"), F.lit(0)).alias("gained"))
 
 

@@ -72,12 +72,12 @@ def tightest_interval(points: DataFrame, intervals: DataFrame, key: str, at: str
 def parents_by_level(rows: DataFrame, group: str, order: str, level: str, row_id: str, deepest: int = 6) -> DataFrame:
     """rows with parent: the nearest earlier row of a lower level."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col(level) == k, F.struct(F.col(order), F.col(row_id))), ignorenulls=True).over(w) for k in range(1, deepest)]
+    last = [F.last(F.when(F.col(level) == k, F.struct(F.col(order).alias("_at"), F.col(row_id).alias("_id"))), ignorenulls=True).over(w) for k in range(1, deepest)]
     out = rows
     for k, c in enumerate(last, 1):
         out = out.withColumn(f"_l{k}", c)
     nearest = F.greatest(*(F.when(F.col(level) > k, F.col(f"_l{k}")) for k in range(1, deepest)), F.lit(None).cast(out.schema["_l1"].dataType))
-    return out.withColumn("parent", nearest[row_id]).drop(*(f"_l{k}" for k in range(1, deepest)))
+    return out.withColumn("parent", nearest["_id"]).drop(*(f"_l{k}" for k in range(1, deepest)))
 
 
 def merged_order(main: DataFrame, extra: DataFrame, group: str, key: str, order: str) -> DataFrame:

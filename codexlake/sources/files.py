@@ -25,9 +25,15 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", "length", sniff(F.col("content"), F.col("path")).alias("kind"), "content")
 
 
+def _windows_1252(content: Column) -> Column:
+    """Latin-1, with the signs that windows-1252 has in place of its second block of control characters."""
+    codes = [c for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore")]
+    return F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, codes)), bytes(codes).decode("cp1252"))
+
+
 def decode_text(content: Column, hint: str | None = None) -> Column:
-    """UTF-8 where it is valid, else the hinted encoding, else windows-1252; a byte-order mark is dropped."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, hint or "windows-1252"))
+    """UTF-8 where it is valid, else the hinted encoding (of those that Spark decodes), else windows-1252; a byte-order mark is dropped."""
+    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, hint) if hint else _windows_1252(content))
     return F.regexp_replace(text, "^﻿", "")
 
 
