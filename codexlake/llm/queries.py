@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_tool_links": chat.ORACLE, "op10_license_sentences": licenses.ORACLE}
+    return {"op1_substring": substring.ORACLE, "op4_tool_links": chat.ORACLE, "op9_decontaminate": decontaminate.ORACLE, "op10_license_sentences": licenses.ORACLE}
