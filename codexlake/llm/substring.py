@@ -223,3 +223,15 @@ def _applied(docs: DataFrame, digest_only: bool, **more) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return _applied(docs, True)
+
+
+ORACLE = r"""
+WITH own AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+flat AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i, CASE WHEN len(w) >= 50 THEN w END AS w FROM own),
+seen AS (SELECT doc_id, n, word, i, CASE WHEN i + 49 <= n THEN md5(array_to_string(w[i:i + 49], ' ')) END AS h FROM flat),
+least AS (SELECT h, min(doc_id) AS low FROM seen WHERE h IS NOT NULL GROUP BY h),
+marked AS (SELECT s.doc_id, s.word, s.i, coalesce(l.low < s.doc_id, false) AS starts FROM seen s LEFT JOIN least l ON s.h = l.h),
+gone AS (SELECT doc_id, word, i, max(starts::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS g FROM marked),
+out AS (SELECT doc_id, sum(g)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (g = 0), '')) AS kept_sha256 FROM gone GROUP BY 1)
+SELECT o.doc_id, len(o.w) AS n_words, coalesce(x.n_removed, 0) AS n_removed, coalesce(x.kept_sha256, sha256('')) AS kept_sha256 FROM own o LEFT JOIN out x ON o.doc_id = x.doc_id
+"""
