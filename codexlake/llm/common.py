@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +54,16 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that an idle worker holds none of the last task's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def texts_in(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches, with their texts as a list; a slice has about `most` bytes of text, or one row."""
     for batch in batches:
@@ -63,6 +75,8 @@ def texts_in(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22
             part = batch.slice(at, step)
             yield part, part.column(column).to_pylist()
             at += step
+        del batch
+    give_back()
 
 
 def _bytes(array: pa.Array, at: int, n: int) -> int:

@@ -128,6 +128,10 @@ class WordEncoder:
         vocabulary = self.model.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the caches; the model stays."""
         self.ids_of: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
         self._clear()
@@ -203,7 +207,7 @@ _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
-    """This worker's encoder; its caches outlive a task."""
+    """This worker's encoder, loaded once."""
     if (path, end_id) not in _ENCODERS:
         _ENCODERS[path, end_id] = WordEncoder(path, end_id)
     return _ENCODERS[path, end_id]
@@ -238,6 +242,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = END_ID, mod
                     names, sizes, held, count, done, piece = [], [], [], 0, at, piece + 1
             held.append(ids[done:at])
             count += at - done
+        words.forget()
         if names:
             yield close()
 
