@@ -11,6 +11,7 @@ from codexlake.operators import findings as fd
 from codexlake.operators import graph as gr
 from codexlake.operators import reconcile as rc
 from codexlake.operators import sequence as sq
+from codexlake.operators import trees as tr
 from codexlake.plans.registry import query, read
 
 # -- texts -----------------------------------------------------------------------------------------------------------
@@ -346,3 +347,36 @@ def severity_counts(spark, sf_dir):
 def first_rule_fires(spark, sf_dir):
     fired = fd.first_rule([(F.col("l_quantity") >= 45, "bulk"), (F.col("l_returnflag") == "R", "returned"), (F.col("l_discount") == 0, "full price")])
     return read(spark, sf_dir, "lineitem").groupBy(fired.alias("fired")).agg(F.count("*").alias("n"))
+
+
+@query()
+def every_paragraph_has_text(spark, sf_dir):
+    """Articles all of whose paragraphs have text."""
+    nodes = dc.html_nodes(read(spark, sf_dir, "pages"))
+    articles = nodes.where("tag = 'article'")
+    own = nodes.where("tag = 'p'").select("page_id", "node_id", (F.length(F.trim("text")) > 0).alias("said"))
+    found = dc.axis(nodes, articles, "descendant").join(own, ["page_id", "node_id"])
+    return tr.quantified(articles, found, F.col("said"), every=True)
+
+
+@query()
+def style_cascade(spark, sf_dir):
+    """What a small sheet of rules gives the elements of the pages, by tag."""
+    rules = spark.createDataFrame([(None, None, None, 0, 0, "color", "black"), ("p", None, None, 1, 1, "color", "grey"), (None, "ad", None, 1, 2, "color", "red"), ("h1", None, None, 1, 3, "color", "blue"), ("div", "ad", None, 1, 4, "color", "pink")], "tag string, class string, id string, origin int, ord int, property string, value string")
+    nodes = dc.html_nodes(read(spark, sf_dir, "pages"))
+    return tr.cascade(nodes, rules).join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).groupBy("tag", "value").agg(F.count("*").alias("n"))
+
+
+@query()
+def table_cells(spark, sf_dir):
+    return tr.table_cells(dc.html_nodes(read(spark, sf_dir, "pages")))
+
+
+@query("""
+WITH refs AS (SELECT 'customer' AS kind, o_custkey * 2 AS key FROM orders UNION ALL SELECT 'part', l_partkey + 100 FROM lineitem), t AS (SELECT 'customer' AS kind, c_custkey AS key FROM customer UNION ALL SELECT 'part', p_partkey FROM part)
+SELECT kind, count(*) AS n FROM refs WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kind = refs.kind AND t.key = refs.key) GROUP BY 1
+""")
+def dangling_references(spark, sf_dir):
+    of = lambda t, kind, key: read(spark, sf_dir, t).select(F.lit(kind).alias("kind"), key.alias("key"))
+    refs = of("orders", "customer", F.col("o_custkey") * 2).unionByName(of("lineitem", "part", F.col("l_partkey") + 100))
+    return tr.dangling(refs, of("customer", "customer", F.col("c_custkey")).unionByName(of("part", "part", F.col("p_partkey"))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: First bytes in hex, and the kind of file they tell.
-MAGIC = [("FFD8FF", "jpeg"), ("89504E470D0A1A0A", "png"), ("474946383961", "gif"), ("474946383761", "gif"), ("25504446", "pdf"), ("504B0304", "zip"), ("EA44524D494F4EEE", "drm"), ("434F4E54", "kfx"), ("52494646", "riff"), ("3C3F786D6C", "xml")]
+MAGIC = [("FFD8FF", "jpeg"), ("89504E470D0A1A0A", "png"), ("474946383961", "gif"), ("474946383761", "gif"), ("25504446", "pdf"), ("504B0304", "zip"), ("EA44524D494F4EEE", "drm"), ("434F4E54", "ebook"), ("52494646", "riff"), ("3C3F786D6C", "xml")]
 
 
 def sniff(content: Column, path: Column) -> Column:
