@@ -98,11 +98,12 @@ def sketch(docs: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def passages(held: DataFrame, window: int, of_hot: bool) -> DataFrame:
-    """Words of chosen runs. held: doc_id, text, runs (anchor, run, start, windows).
+    """Words of chosen runs. held: doc_id, text, runs (anchor, run, start, windows, high).
 
     A row for each run (key: the anchor), or for each window of hot ones (key: its hash; at: its place in the run).
+    doc_id is the run's least document, high its greatest.
     """
-    kinds = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("run", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("passage", pa.string())])
+    kinds = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("run", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("high", pa.int64()), ("passage", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_in(batches, 1, 1 << 21):
@@ -114,18 +115,18 @@ def passages(held: DataFrame, window: int, of_hot: bool) -> DataFrame:
                 for r in runs:
                     s, n = r["start"], r["windows"]
                     if not of_hot:
-                        out.append((r["anchor"], r["anchor"], r["run"], 0, doc, " ".join(own[s : s + n + window - 1])))
+                        out.append((r["anchor"], r["anchor"], r["run"], 0, doc, r["high"], " ".join(own[s : s + n + window - 1])))
                         continue
                     for i in range(n):
                         said = " ".join(own[s + i : s + i + window])
-                        out.append((xxhash.xxh64_intdigest(said, 2) - (1 << 63), r["anchor"], r["run"], i, doc, said))
+                        out.append((xxhash.xxh64_intdigest(said, 2) - (1 << 63), r["anchor"], r["run"], i, doc, r["high"], said))
                 if len(out) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    return held.mapInArrow(scan, "key bigint, anchor bigint, run bigint, at int, doc_id bigint, passage string")
+    return held.mapInArrow(scan, "key bigint, anchor bigint, run bigint, at int, doc_id bigint, high bigint, passage string")
 
 
 def shard_matches(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
@@ -166,11 +167,12 @@ def shard_matches(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
 def removals(docs: DataFrame, *, window: int = WINDOW, k: int = ANCHOR, hot_runs: int = HOT_RUNS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, spans) for documents (doc_id, text) that lose words: spans of words, (start, end)."""
     rows = written(sketch(docs, window, k), "runs")
-    seen = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    # written, so that both sides of the join are exchanged for it and a hot anchor's partition can be split
+    seen = written(rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "anchors")
     rows = written(rows.join(seen, "anchor", "left_semi"), "shared-runs")
-    runs = rows.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "start", "windows")).alias("first"))
+    runs = rows.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "start", "windows")).alias("first"), F.max("doc_id").alias("high"))
     hot = runs.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_runs).select("anchor", F.lit(True).alias("hot"))
-    first = F.struct("anchor", "run", F.col("first.start").alias("start"), F.col("first.windows").alias("windows"))
+    first = F.struct("anchor", "run", F.col("first.start").alias("start"), F.col("first.windows").alias("windows"), "high")
     chosen = runs.join(hot, "anchor", "left").select(F.col("first.doc_id").alias("doc_id"), F.coalesce("hot", F.lit(False)).alias("hot"), first.alias("r"))
 
     def pieces(of_hot: bool) -> DataFrame:
@@ -178,9 +180,12 @@ def removals(docs: DataFrame, *, window: int = WINDOW, k: int = ANCHOR, hot_runs
         return passages(docs.join(mine, "doc_id").select("doc_id", "text", "runs"), window, of_hot)  # the texts' exchange is shared by all uses
 
     cold = shard_matches(pieces(False), window, shard_words)
-    least = pieces(True).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("passage").alias("passage"))
+    # windows of one document alone take nothing from anyone
+    least = pieces(True).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("high").alias("high"), F.min("passage").alias("passage")).where("doc_id < high")
     single = shard_matches(least.withColumn("run", F.lit(0).cast("long")), window, shard_words)
-    placed = pieces(True).select("key", "anchor", "run", "at").join(single.select("key", F.get("spans", 0)["least"].alias("least")), "key")
+    owners = single.select("key", F.get("spans", 0)["least"].alias("least"))
+    hot_windows = pieces(True).select("key", "anchor", "run", "at", "high")
+    placed = hot_windows.join(owners, (hot_windows.key == owners.key) & (owners.least < hot_windows.high))
     placed = placed.groupBy("anchor", "run").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"), "least")).alias("spans"))
     found = cold.select(F.col("key").alias("anchor"), "run", "spans").unionByName(placed)
     mine = F.transform(F.filter("spans", lambda s: s["least"] < F.col("doc_id")), lambda s: F.struct((F.col("start") + s["start"]).alias("start"), (F.col("start") + s["end"] + (window - 1)).alias("end")))
