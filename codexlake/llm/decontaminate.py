@@ -157,16 +157,21 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     return [[(r.item, words(r.text)) for r in items.where(part == k).toLocalIterator()] for k in range(n)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, names: tuple[str, str, str] = ("n_words", "hit_spans", "hit_items")) -> DataFrame:
-    """docs with three more columns: the words of the text, the maximal hit spans in words, the items (as strings) that hit."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, names: tuple[str, str, str] = ("n_words", "hit_spans", "hit_items"), finish=None, finished: T.StructType | None = None) -> DataFrame:
+    """docs with three more columns: the words of the text, the maximal hit spans in words, the items (as strings) that hit.
+
+    finish, if given, turns the last pass's record batches into those of the schema finished, in the same worker.
+    """
     out = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField(names[2], T.ArrayType(T.StringType()))])
     at, base, sc = docs.columns.index(text_col), len(docs.columns), docs.sparkSession.sparkContext
     kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
     frame = docs
-    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes) or [[]]):
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes) or [[]]
+    for k, block in enumerate(blocks):
+        last = finish if k == len(blocks) - 1 else None
         shipped = sc.broadcast(block)  # block_bytes of text at most
 
-        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped, k=k) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped, k=k, last=last) -> Iterator[pa.RecordBatch]:
             automaton = ItemAutomaton(shipped.value, window)
             for part, texts in texts_in(batches, at):
                 counts, spans, items = [], [], []
@@ -180,9 +185,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
                     spans.append([{"start": s, "end": e} for s, e in hit])
                     items.append(sorted(found))
                 new = [pa.array(x, kind) for x, kind in zip((counts, spans, items), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:base], *new], names=[*part.schema.names[:base], *names])
+                whole = pa.RecordBatch.from_arrays([*part.columns[:base], *new], names=[*part.schema.names[:base], *names])
+                yield last(whole) if last else whole
 
-        frame = frame.mapInArrow(scan, out)
+        frame = frame.mapInArrow(scan, finished if last else out)
     return frame
 
 
@@ -209,22 +215,20 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW, min_span: int = MIN_SPAN_WORDS, max_coverage: float = MAX_COVERAGE, **more) -> DataFrame:
     """docs, same columns: texts with more than max_coverage of their words hit go, hit spans of min_span words or more are cut out of the rest."""
     names = tuple(fresh(n, docs.columns) for n in ("n_words", "hit_spans", "hit_items"))
-    found = find_contamination(docs, benchmark, text_col=text_col, window=window, names=names, **more)
     at, base = docs.columns.index(text_col), len(docs.columns)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in texts_in(batches, at):
-            keep, out = [], []
-            for text, n, spans in zip(texts, part.column(base).to_pylist(), part.column(base + 1).to_pylist(), strict=True):
-                spans = [(x["start"], x["end"]) for x in spans]
-                keep.append(sum(e - s for s, e in spans) <= max_coverage * n)
-                long = [x for x in spans if x[1] - x[0] >= min_span]
-                out.append(cut(text, long) if long and keep[-1] else text)
-            columns = [*part.columns[:base]]
-            columns[at] = pa.array(out, part.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:base]).filter(pa.array(keep, pa.bool_()))
-
-    return found.mapInArrow(clean, docs.schema)
+    def clean(part: pa.RecordBatch) -> pa.RecordBatch:
+        keep, out = [], []
+        for text, n, spans in zip(*(part.column(k).to_pylist() for k in (at, base, base + 1)), strict=True):
+            spans = [(x["start"], x["end"]) for x in spans]
+            keep.append(sum(e - s for s, e in spans) <= max_coverage * n)
+            long = [x for x in spans if x[1] - x[0] >= min_span]
+            out.append(cut(text, long) if long and keep[-1] else text)
+        columns = [*part.columns[:base]]
+        columns[at] = pa.array(out, part.schema.field(at).type)
+        return pa.RecordBatch.from_arrays(columns, names=part.schema.names[:base]).filter(pa.array(keep, pa.bool_()))
+
+    return find_contamination(docs, benchmark, text_col=text_col, window=window, names=names, finish=clean, finished=docs.schema, **more)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
