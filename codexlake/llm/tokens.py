@@ -216,18 +216,18 @@ def encoder(path: str, end_id: int) -> WordEncoder:
 def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = END_ID, mode: str = "byte", block: int = BLOCK_IDS, piece_ids: int = PIECE_IDS, path: str | None = None) -> DataFrame:
     """Encodes docs (doc_id, text) in ascending doc_id order and writes the pieces; returns them as read back.
 
-    Columns: shard (order of the range), piece (order in the shard), doc_ids, doc_sizes, n_ids, image.
+    Columns: shard (order of the range), piece (order in the shard), before (ids of the shard before it), doc_ids, doc_sizes, n_ids, image.
     """
-    schema = "shard int, piece int, doc_ids array<bigint>, doc_sizes array<bigint>, n_ids bigint, image binary"
-    kinds = pa.schema([("shard", pa.int32()), ("piece", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("image", pa.binary())])
+    schema = "shard int, piece int, before bigint, doc_ids array<bigint>, doc_sizes array<bigint>, n_ids bigint, image binary"
+    kinds = pa.schema([("shard", pa.int32()), ("piece", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("image", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shard, piece = encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
-        names, sizes, held, count = [], [], [], 0
+        names, sizes, held, count, before = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
             ids = np.concatenate(held)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, piece, names, sizes, len(ids), pack(ids, mode, block)), kinds.types, strict=True)], schema=kinds)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, piece, before, names, sizes, len(ids), pack(ids, mode, block)), kinds.types, strict=True)], schema=kinds)
 
         for part, texts in texts_in(batches, 1, 1 << 20):
             ids, n = words.encode(texts)
@@ -239,6 +239,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = END_ID, mod
                 if count + at - done >= piece_ids:
                     held.append(ids[done:at])
                     yield close()
+                    before += sum(sizes)
                     names, sizes, held, count, done, piece = [], [], [], 0, at, piece + 1
             held.append(ids[done:at])
             count += at - done
@@ -254,13 +255,14 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = END_ID, mod
 
 
 def with_start(pieces: DataFrame) -> DataFrame:
-    """pieces and the count of ids before each: sums over shards first, then inside each shard."""
-    index = pieces.select("shard", "piece", "n_ids")
-    shards = index.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    shards = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    index = index.join(shards, "shard")
-    start = F.col("base") + F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return pieces.drop("n_ids").join(index.select("shard", "piece", start.alias("start")), ["shard", "piece"])
+    """pieces and the count of ids before each. A shard's own count is in its pieces; what comes before a shard is summed over shards.
+
+    There are as many shards as partitions wrote pieces, which bounds what is broadcast; the images stay where they are.
+    """
+    shards = pieces.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    shards = shards.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
+    return pieces.join(F.broadcast(shards), "shard").withColumn("start", F.col("base") + F.col("before")).drop("base")
 
 
 def read_ids(pieces: DataFrame) -> DataFrame:
