@@ -116,8 +116,9 @@ class WordEncoder:
 
     Right for tokenizers that split at white space and between letters and other signs before their model runs, ignore
     case and normalise characters one by one, so that no id spans two words; the tests hold it against the tokenizer's
-    own encoding of whole texts. New words are taken apart into stem and closing signs, and stems of letters alone are
-    encoded many at a time, told apart by the mark that the vocabulary puts on a word's last id.
+    own encoding of whole texts. New words are taken apart into stem and closing signs where the stem ends in a letter or
+    digit (else the signs belong to the stem's own run of signs), and stems of letters alone are encoded many at a time,
+    told apart by the mark that the vocabulary puts on a word's last id.
     """
 
     def __init__(self, path: str, end_id: int, most_words: int = 1 << 19):
@@ -140,6 +141,13 @@ class WordEncoder:
         self.codes = _Codes()
         self.pool, self.starts, self.sizes = np.array([self.end_id], "<u4"), np.array([0]), np.array([1])
 
+    def _splits_after(self, stem: bytes) -> bool:
+        """Whether the tokenizer splits between stem and a sign after it: the stem, normalised, ends in a letter or digit."""
+        if stem[-1:].isascii():
+            return not stem or stem[-1:].isalnum()
+        text, normalizer = stem.decode(), self.model.normalizer
+        return (normalizer.normalize_str(text) if normalizer else text)[-1:].isalnum()
+
     def _encode_new(self, parts: list[bytes]) -> None:
         """Enters the parts into ids_of."""
         letters = [(p, t) for p in parts if (t := p.decode()).isalpha()]
@@ -166,6 +174,8 @@ class WordEncoder:
         for w in new:
             low = w if b"<|" in w else w.lower()  # special tokens keep their case
             stem = low.rstrip(_TAIL_MARKS)
+            if len(stem) < len(low) and not self._splits_after(stem):
+                stem = low
             parts.append(pair := (stem, low[len(stem) :]))
             for p in pair:
                 if p not in known:

@@ -35,6 +35,14 @@ def test_against_tokenizer(spark):
         at += len(ids)
 
 
+def test_signs_before_closing_signs():
+    t, words = Tokenizer.from_file(PATH), K.WordEncoder(PATH, 2)
+    for w in ["(foo).", '"foo",', "foo),", "foo'.", '"foo".', "[1],", "f();", "foo-.", "(1).", "x\u0301.", "q\u0301.", "İ.", "\u0958!", "²,", "日本）。.", "«é».", "a<|endoftext|>.", "it's.", "'s.", "foo_,", "'.", "½."]:
+        ids, n = words.encode([w])
+        want = [*t.encode(w, add_special_tokens=False).ids, 2]
+        assert (ids.tolist(), n.tolist()) == (want, [len(want)]), w
+
+
 def test_nulls_repeats_empty(spark):
     docs = spark.createDataFrame([(None, "a"), (1, "b b"), (1, "b b"), (1, None)], "doc_id long, text string")
     got = K.token_output(docs, PATH).orderBy("start").collect()
