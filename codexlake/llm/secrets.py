@@ -30,9 +30,10 @@ _ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
-_SENSITIVE_TEXT = re.compile(r"(?ai)passw|passphrase|pwd|secret|token|api[_-]?key|credential|auth|private[_-]?key|access[_-]?key|signing[_-]?key")
+#: Found in every text with a name that name_score gives anything.
+_SENSITIVE_TEXT = re.compile(r"(?ai)pass[._-]*word|passwd|passphrase|pwd|secret|token|credential|auth|(?:api|access|private|signing)[._-]*key")
 _PAIR = re.compile(r"""["']?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,127})["']?[ \t]*(?:=>|:=|=(?!=)|:(?![:/]))[ \t]*""")
-_TERM = re.compile(r"""(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<ref>\$?\{?[A-Za-z_][A-Za-z0-9_.]*\}?)(?=[ \t]*(?:[;,)\n+]|$))|(?P<bare>[^\s"'#;,(){}\[\]]+))""")
+_TERM = re.compile(r"""(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<ref>\$?\{[A-Za-z_][A-Za-z0-9_.]*\}|\$?[A-Za-z_][A-Za-z0-9_.]*)(?=[ \t]*(?:[;,)\]}\r\n+#]|$)|[ \t]+//)|(?P<bare>[^\s"'#;,(){}\[\]]+))""")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: What a word of a name adds; two words that only count together.
@@ -84,6 +85,8 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
                     value, places = t["ref"], [t.span()]  # a bare word of a configuration
                 else:
                     whole = False
+            elif group == "bare" and "//" in t["bare"] and (got := known.get((head := t["bare"].split("//")[0]).lstrip("$"))):
+                value, places, at = value + got[0], places + got[1], t.start() + len(head)  # a name and a comment
             else:
                 value, places = value + t[group], [*places, t.span(group)]
             if not (p := _PLUS.match(text, at)):

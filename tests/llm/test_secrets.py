@@ -35,6 +35,28 @@ def test_lexer_follows_constants():
     assert S.spans('name = "Mary Sue 99"\nauthor: someone-else22\npwd = changeme') == []
 
 
+def _lexed(text):
+    return [text[s:e] for k, s, e in S.spans(text) if k == "lex"]
+
+
+def test_every_scored_name_is_lexed():
+    for name in ("stripe.api.key", "private.key", "access.key", "signing__key", "db.pass.word", "pass_word", "passPhrase", "API-.KEY", *S._WORDS, *(a + s + b for a, b in S._PAIRS for s in ("", ".", "_-"))):
+        text = f"{name} = 'aZ3kQ7xV2_live'"
+        scored = S.name_score(name) > 0
+        assert scored <= bool(S._SENSITIVE_TEXT.search(text)), name
+        assert not scored or S.spans(text), name
+    assert _lexed("stripe.api.key=sk_live_9aZ3kQ7xV2") == ["sk_live_9aZ3kQ7xV2"]
+    assert _lexed("pass_word: 'Tr0ub4dor&3'") == ["Tr0ub4dor&3"]
+
+
+def test_references_end():
+    for end in ("\r\n", " # note\n", "# note", " // note\r\n", "// note", "]", "}", " }", ")", "", "\n"):
+        text = f'KEY = "s3cr-Et9xY"\r\npassword = KEY{end}'
+        assert _lexed(text) == ["s3cr-Et9xY"], text
+    assert _lexed("{pwd: Tr0ub4dor3x}") == ["Tr0ub4dor3x"]
+    assert _lexed("pwd: Tr0ub4//dor3x") == ["Tr0ub4//dor3x"]
+
+
 def test_columns_pass_through(spark):
     docs = spark.createDataFrame([(1, "token=abcdefgh", 7)], "doc_id long, text string, secret_spans int")
     r = S.find_secrets(docs).first()
