@@ -13,7 +13,7 @@ literals of the plan.
 Defined cases: of repeated calls or results with one identifier the first by turn (then by content) counts and the
 number is told; a call without a result is `unanswered`, a result without a call is `orphan`; a call after unknown
 identifiers stands as if they were not named; calls on a cycle have no level; null or malformed arguments are invalid
-and serialised as null; a null identifier links to nothing; empty tables give no rows; further columns are left aside.
+and serialised as null; a text that does not parse as a tool message is dialogue; a null identifier links to nothing; empty tables give no rows; further columns are left aside.
 """
 
 from __future__ import annotations
@@ -99,10 +99,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> Da
     )
 
 
+def _said(text: Column) -> Column:
+    """What a text says as a tool message; null for all other texts, those that only talk of tool calls or are malformed among them."""
+    kind = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>,tool_call_id:string,content:string>"
+    said = F.when(text.contains("tool_call"), F.from_json(text, kind))
+    return F.when((F.size(said["tool_calls"]) > 0) | said["tool_call_id"].isNotNull(), said)
+
+
 def tool_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results written in messages (conv_id, turn, role, text): {"tool_calls": [{id, name, arguments, after}]} and {"tool_call_id", "content"}."""
-    kind = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>,tool_call_id:string,content:string>"
-    said = messages.where(F.col("text").contains("tool_call")).withColumn("said", F.from_json("text", kind))
+    said = messages.withColumn("said", _said(F.col("text"))).where("said IS NOT NULL")
     calls = said.where("said.tool_calls IS NOT NULL").select("conv_id", "turn", F.explode("said.tool_calls").alias("c"))
     calls = calls.select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.after").alias("after"))
     results = said.where("said.tool_call_id IS NOT NULL").select("conv_id", "turn", F.col("said.tool_call_id").alias("call_id"), F.col("said.content").alias("content"))
@@ -121,7 +127,7 @@ def dialogue(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def digest(messages: DataFrame) -> DataFrame:
     """Dialogue turns and tool messages of a whole table, linked."""
     messages = messages.select("conv_id", "turn", "role", "text")
-    pairs = [tool_messages(messages), dialogue(messages.where(~F.coalesce(F.col("text"), F.lit("")).contains("tool_call")))]
+    pairs = [tool_messages(messages), dialogue(messages.where(_said(F.col("text")).isNull()))]
     return link(pairs[0][0].unionByName(pairs[1][0]), pairs[0][1].unionByName(pairs[1][1]), REPLY)
 
 

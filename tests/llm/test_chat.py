@@ -53,3 +53,20 @@ def test_dialogue_against_sql(spark):
     got = C.digest(df).select(*rel.columns)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(rel.fetchall(), key=str)
     assert C.digest(df.limit(0)).count() == 0
+
+
+def test_talk_of_tool_calls_is_dialogue(spark):
+    said = json.dumps({"tool_calls": [call("a", "find", {"q": "x"})]})
+    turns = [
+        (1, 1, "user", "what is a tool_call?"), (1, 2, "assistant", 'a tool_call is {"tool_call_id": ...}'), (1, 3, "user", '{"tool_calls": [{"id": '), (1, 4, "assistant", "that is cut off"),
+        (1, 5, "user", '{"tool_calls": []}'), (1, 6, "assistant", '{"tool_call_id": null, "content": "x"}'), (1, 7, "user", '["tool_call_id"]'),
+    ]
+    schema = "conv_id long, turn long, role string, text string"
+    c = duckdb.connect()
+    c.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", turns)
+    rel = c.sql(C.ORACLE)
+    got = C.digest(spark.createDataFrame(turns, schema)).select(*rel.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rel.fetchall(), key=str)
+    tools = [(2, 1, "assistant", said), (2, 2, "tool", json.dumps({"tool_call_id": "a", "content": "3"}))]
+    assert [(r.call_id, r.status) for r in C.digest(spark.createDataFrame(tools, schema)).collect()] == [("a", "linked")]
