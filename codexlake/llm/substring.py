@@ -6,19 +6,21 @@ have equal anchors, so windows can only meet under one anchor. Steps:
 1. Sketch (one pass over the texts): maximal runs of windows with one anchor, as (anchor, hash of the run, place).
 2. Anchors seen in two documents or more are kept, by a grouped minimum and maximum; most text ends here.
 3. Of runs with equal words one stands for all, the one of the least doc_id; its words are fetched from its document.
-   Runs go to a shard by anchor. An anchor with more than `hot_runs` different runs would make a shard of its own, so
-   its runs go as single windows, which meet by their own hash and spread evenly.
-4. Each shard builds an FM-index of its passages and streams the passages through it: matching statistics of at least
+4. Passages go to a shard by anchor. Those of an anchor with more than `hot_runs` different passages are cut and dealt
+   anew by longer anchors, at last by whole windows, until no anchor is hot.
+5. Each shard builds an FM-index of its passages and streams the passages through it: matching statistics of at least
    `window` words are reported as intervals, each with the least doc_id that has the words.
-5. Intervals go back to all documents with such a run; words with a smaller doc_id are removed.
+6. Intervals go back to all documents with such a run; words with a smaller doc_id are removed.
 
-Scale: all exchanges but one carry hashes and places; texts are exchanged once, by doc_id, for steps 3 and 5 together.
+Scale: all exchanges but one carry hashes and places; texts are exchanged once, by document, for steps 3 and 6 together.
 Shards are runs of whole keys of about `shard_words` words. No exchange gathers a hot key: groupings are minima, and
-joins can be split. Words are compared as words in the shards; runs of one anchor are told apart by 64-bit hashes.
+joins are of written tables or between exchanged sides, which can be split. Words are compared as words in the shards;
+passages are told apart by two 64-bit hashes, of their anchor and of all their words.
 
 Defined cases: a null or empty text has no words and nothing is removed; a document with fewer words than a window
-stays whole; rows that repeat a doc_id are one document to this operator, each keeps what the first would; rows
-without a doc_id remove nothing and lose nothing; an empty table gives no rows; further columns are left aside.
+stays whole; a text of any length is one row of its scan, and only its own words are held; of rows that repeat a doc_id
+each is judged by its own text, and they take nothing from each other; rows without a doc_id remove nothing and lose
+nothing; an empty table gives no rows; further columns are left aside.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from codexlake.llm.common import texts_in, written
 from codexlake.llm.fm_index import FMIndex
 
 WINDOW, ANCHOR, HOT_RUNS, SHARD_WORDS = 50, 8, 128, 1 << 19
+#: Anchors of hot keys, before whole windows.
+LONGER = (24,)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,48 +89,53 @@ def anchor_runs(texts: list[list[bytes]], window: int = WINDOW, k: int = ANCHOR)
 
 
 def sketch(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(anchor, run, doc_id, start, windows) of every run of every document."""
-    kinds = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+    """(anchor, run, doc_id, text_key, start, windows) of every run of every document (doc_id, text, text_key)."""
+    kinds = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_in(batches, 1, 1 << 21):
             text, start, count, anchor, run = anchor_runs([words(t) for t in texts], window, k)
-            ids = part.column(0).to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((anchor, run, ids, start.astype(np.int32), count.astype(np.int32)), kinds.types, strict=True)], schema=kinds)
+            ids, keys = (part.column(c).to_numpy()[text] for c in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((anchor, run, ids, keys, start.astype(np.int32), count.astype(np.int32)), kinds.types, strict=True)], schema=kinds)
 
-    return docs.mapInArrow(scan, "anchor bigint, run bigint, doc_id bigint, start int, windows int")
+    return docs.mapInArrow(scan, "anchor bigint, run bigint, doc_id bigint, text_key bigint, start int, windows int")
 
 
-def passages(held: DataFrame, window: int, of_hot: bool) -> DataFrame:
-    """Words of chosen runs. held: doc_id, text, runs (anchor, run, start, windows, high).
+def passages(held: DataFrame, window: int) -> DataFrame:
+    """(key, run, doc_id, high, passage): the words of chosen runs. held: doc_id, text, runs (anchor, run, start, windows, high).
 
-    A row for each run (key: the anchor), or for each window of hot ones (key: its hash; at: its place in the run).
     doc_id is the run's least document, high its greatest.
     """
-    kinds = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("run", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("high", pa.int64()), ("passage", pa.string())])
+    kinds = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("doc_id", pa.int64()), ("high", pa.int64()), ("passage", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_in(batches, 1, 1 << 21):
             out: list[tuple] = []
             for doc, text, runs in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), strict=True):
-                own = text.split() if text.isascii() else [w.decode() for w in words(text)]
-                if text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split takes these for blanks too
-                    own = [w.decode() for w in words(text)]
-                for r in runs:
-                    s, n = r["start"], r["windows"]
-                    if not of_hot:
-                        out.append((r["anchor"], r["anchor"], r["run"], 0, doc, r["high"], " ".join(own[s : s + n + window - 1])))
-                        continue
-                    for i in range(n):
-                        said = " ".join(own[s + i : s + i + window])
-                        out.append((xxhash.xxh64_intdigest(said, 2) - (1 << 63), r["anchor"], r["run"], i, doc, r["high"], said))
+                own = words(text)
+                out += [(r["anchor"], r["run"], doc, r["high"], b" ".join(own[r["start"] : r["start"] + r["windows"] + window - 1]).decode()) for r in runs]
                 if len(out) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    return held.mapInArrow(scan, "key bigint, anchor bigint, run bigint, at int, doc_id bigint, high bigint, passage string")
+    return held.mapInArrow(scan, "key bigint, run bigint, doc_id bigint, high bigint, passage string")
+
+
+def reanchored(pieces: DataFrame, window: int, k: int) -> DataFrame:
+    """Passages cut into runs of windows with one longer anchor: the passage each comes from (of, of_run) and its first window there (at)."""
+    kinds = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("of", pa.int64()), ("of_run", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("high", pa.int64()), ("passage", pa.string())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in texts_in(batches, 4, 1 << 19):
+            own = [t.encode().split(b" ") for t in texts]
+            text, start, count, anchor, run = anchor_runs(own, window, k)
+            said = [b" ".join(own[t][a : a + n + window - 1]).decode() for t, a, n in zip(text.tolist(), start.tolist(), count.tolist(), strict=True)]
+            key, of_run, doc, high = (part.column(c).to_numpy()[text] for c in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((anchor, run, key, of_run, start.astype(np.int32), doc, high, said), kinds.types, strict=True)], schema=kinds)
+
+    return pieces.mapInArrow(scan, "key bigint, run bigint, of bigint, of_run bigint, at int, doc_id bigint, high bigint, passage string")
 
 
 def shard_matches(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
@@ -164,33 +173,44 @@ def shard_matches(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
     return ordered.mapInArrow(scan, "key bigint, run bigint, spans array<struct<start:int,end:int,least:bigint>>")
 
 
+def matches(pieces: DataFrame, window: int, longer: tuple[int, ...], hot_runs: int, shard_words: int) -> DataFrame:
+    """(key, run, spans) of passages (key, run, doc_id, high, passage), a written table: what shard_matches says of keys of up to hot_runs passages.
+
+    Passages of other keys are dealt by the next longer anchor in them; the last length is the window, where equal
+    windows are one passage and no key is hot.
+    """
+    if not longer:
+        return shard_matches(pieces, window, shard_words)
+    # written, so that a join with it is of two exchanged sides at most and a hot key's partition can be split
+    hot = written(pieces.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_runs).select("key"), "hot-keys")
+    if hot.isEmpty():
+        return shard_matches(pieces, window, shard_words)
+    cold = shard_matches(pieces.join(hot, "key", "left_anti"), window, shard_words)
+    parts = written(reanchored(pieces.join(hot, "key", "left_semi").select("key", "run", "doc_id", "high", "passage"), window, longer[0]), "reanchored")
+    seen = written(parts.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("high").alias("high")).where("low < high").select("key"), "anchors")
+    shared = parts.join(seen, "key", "left_semi")
+    distinct = written(shared.groupBy("key", "run").agg(F.min("doc_id").alias("doc_id"), F.max("high").alias("high"), F.min("passage").alias("passage")), "passages")
+    found = matches(distinct, window, longer[1:], hot_runs, shard_words)
+    moved = F.transform("spans", lambda s: F.struct((F.col("at") + s["start"]).alias("start"), (F.col("at") + s["end"]).alias("end"), s["least"].alias("least")))
+    back = parts.select("key", "run", "of", "of_run", "at").join(found, ["key", "run"]).select(F.col("of").alias("key"), F.col("of_run").alias("run"), moved.alias("spans"))
+    return cold.unionByName(back.groupBy("key", "run").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+
+
 def removals(docs: DataFrame, *, window: int = WINDOW, k: int = ANCHOR, hot_runs: int = HOT_RUNS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, spans) for documents (doc_id, text) that lose words: spans of words, (start, end)."""
+    """(doc_id, text_key, spans) for documents (doc_id, text, text_key) that lose words: spans of words, (start, end)."""
     rows = written(sketch(docs, window, k), "runs")
     # written, so that both sides of the join are exchanged for it and a hot anchor's partition can be split
     seen = written(rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "anchors")
     rows = written(rows.join(seen, "anchor", "left_semi"), "shared-runs")
-    runs = rows.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "start", "windows")).alias("first"), F.max("doc_id").alias("high"))
-    hot = runs.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_runs).select("anchor", F.lit(True).alias("hot"))
-    first = F.struct("anchor", "run", F.col("first.start").alias("start"), F.col("first.windows").alias("windows"), "high")
-    chosen = runs.join(hot, "anchor", "left").select(F.col("first.doc_id").alias("doc_id"), F.coalesce("hot", F.lit(False)).alias("hot"), first.alias("r"))
-
-    def pieces(of_hot: bool) -> DataFrame:
-        mine = chosen.where(F.col("hot") == of_hot).groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
-        return passages(docs.join(mine, "doc_id").select("doc_id", "text", "runs"), window, of_hot)  # the texts' exchange is shared by all uses
-
-    cold = shard_matches(pieces(False), window, shard_words)
-    # windows of one document alone take nothing from anyone
-    least = pieces(True).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("high").alias("high"), F.min("passage").alias("passage")).where("doc_id < high")
-    single = shard_matches(least.withColumn("run", F.lit(0).cast("long")), window, shard_words)
-    owners = single.select("key", F.get("spans", 0)["least"].alias("least"))
-    hot_windows = pieces(True).select("key", "anchor", "run", "at", "high")
-    placed = hot_windows.join(owners, (hot_windows.key == owners.key) & (owners.least < hot_windows.high))
-    placed = placed.groupBy("anchor", "run").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"), "least")).alias("spans"))
-    found = cold.select(F.col("key").alias("anchor"), "run", "spans").unionByName(placed)
+    runs = rows.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("first"), F.max("doc_id").alias("high"))
+    chosen = runs.groupBy("first.doc_id", "first.text_key").agg(F.collect_list(F.struct("anchor", "run", F.col("first.start").alias("start"), F.col("first.windows").alias("windows"), "high")).alias("runs"))
+    # rows that repeat a document whole give its passages once
+    held = docs.join(chosen, ["doc_id", "text_key"]).select("doc_id", "text", "runs")
+    pieces = passages(held, window).groupBy("key", "run").agg(*(F.first(c).alias(c) for c in ("doc_id", "high", "passage")))
+    found = matches(written(pieces, "passages"), window, tuple(x for x in LONGER if k < x < window) + (window,), hot_runs, shard_words)
     mine = F.transform(F.filter("spans", lambda s: s["least"] < F.col("doc_id")), lambda s: F.struct((F.col("start") + s["start"]).alias("start"), (F.col("start") + s["end"] + (window - 1)).alias("end")))
-    hits = rows.join(found, ["anchor", "run"]).select("doc_id", mine.alias("spans")).where(F.size("spans") > 0)
-    return hits.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    hits = rows.join(found.withColumnRenamed("key", "anchor"), ["anchor", "run"]).select("doc_id", "text_key", mine.alias("spans")).where(F.size("spans") > 0)
+    return hits.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, **more) -> DataFrame:
@@ -200,7 +220,7 @@ def without_repeats(docs: DataFrame, **more) -> DataFrame:
 
 def _applied(docs: DataFrame, digest_only: bool, **more) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    named = docs.where("doc_id IS NOT NULL")
+    named = docs.where("doc_id IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
     lost = removals(named, **more)
     last = "kept_sha256" if digest_only else "kept"
 
@@ -213,8 +233,8 @@ def _applied(docs: DataFrame, digest_only: bool, **more) -> DataFrame:
                 if spans:
                     gone = np.zeros(len(own) + 1, np.int64)
                     for s in spans:
-                        gone[min(s["start"], len(own))] += 1
-                        gone[min(s["end"], len(own))] -= 1
+                        gone[s["start"]] += 1
+                        gone[s["end"]] -= 1
                     gone = np.cumsum(gone[:-1]) > 0
                     own = [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
                 removed.append(counts[-1] - len(own))
@@ -222,7 +242,7 @@ def _applied(docs: DataFrame, digest_only: bool, **more) -> DataFrame:
                 kept.append(hashlib.sha256(said).hexdigest() if digest_only else said.decode())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", last])
 
-    both = named.join(lost, "doc_id", "left").select("doc_id", "text", "spans").unionByName(docs.where("doc_id IS NULL"), allowMissingColumns=True)
+    both = named.join(lost, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans").unionByName(docs.where("doc_id IS NULL"), allowMissingColumns=True)
     return both.mapInArrow(scan, f"doc_id bigint, n_words bigint, n_removed bigint, {last} string")
 
 
