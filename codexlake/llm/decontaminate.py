@@ -5,17 +5,20 @@ read that occurs in any item. A suffix of `window` words or more marks its last
 a window counts as a whole.
 
 Scale: documents are scanned once and never shuffled. The items are shipped to the executors in blocks whose size is
-measured first (`block_bytes`); a larger benchmark takes several blocks, each one more pass over rows in flight, so no
-task holds more than a block's automaton and nothing is dropped.
+measured first (`block_bytes`), one block at a time; a larger benchmark takes one pass over the documents for each
+block, written to the shared folder in between. A worker builds a block's automaton once for all its tasks and holds
+one automaton, about 90 bytes for a byte of items (366 MB for a block of 4 MB). Nothing is dropped.
 
-Defined cases: a null or empty text has no words, is never hit, and comes back as it is; items without words are
-passed over; repeated items count once per item_id, repeated documents are judged each by itself; an empty benchmark
+Defined cases: a null or empty text has no words, is never hit, and comes back as it is; a text of any length is read
+word by word; items without words are passed over; repeated items count once per item_id, repeated documents are judged each by itself; an empty benchmark
 hits nothing; further columns of the documents pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -24,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codexlake.llm.common import fresh, texts_in
+from codexlake.llm.common import fresh, texts_in, written
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Spans from so many words on are cut out of a text; a text with a larger share of hit words goes as a whole.
 MIN_SPAN_WORDS, MAX_COVERAGE = 1, 0.5
 
@@ -42,119 +45,145 @@ def words(text: str | None) -> list[bytes]:
 
 
 class ItemAutomaton:
-    """Generalised suffix automaton over the words of many items."""
-
-    def __init__(self, items: Iterable[tuple[object, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.code: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.items_of: dict[tuple[int, ...], set] = defaultdict(set)
-        self.shortest = window
-        short: dict[tuple[int, ...], set] = defaultdict(set)
-        for item, text in items:
-            ids = [self.code.setdefault(w, len(self.code)) for w in text]
-            if not ids:
-                continue
-            self._insert(ids)
-            if len(ids) < window:
-                short[tuple(ids)].add(item)
-                self.shortest = min(self.shortest, len(ids))
-            for i in range(len(ids) - window + 1):
-                self.items_of[tuple(ids[i : i + window])].add(item)
-        self.short_at: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-        for ids in short:
-            state = 0
+    """Generalised suffix automaton over the words of many items.
+
+    Transitions are one map, from state and word to state; lengths and links are arrays. A state stands for substrings
+    that end at the same places, of which one at most is `window` words long: items are named at that state, their home.
+    """
+
+    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
+        self.window, self.code = window, {}
+        coded = [(item, [self.code.setdefault(w, len(self.code)) for w in text]) for item, text in items]
+        self.width = max(1, len(self.code))
+        self.to: dict[int, int] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self._first, self._more = array("i", [-1]), {}
+        for _, ids in coded:
+            last = 0
             for c in ids:
-                state = self.next[state][c]
-            self.short_at[state].append(ids)
-        self.items_of.update(short)
+                last = self._extend(last, c)
+        del self._first, self._more
+        order = sorted(range(1, len(self.length)), key=self.length.__getitem__)
+        #: The state of the last `window` words of what a state stands for; 0 where that is shorter.
+        self.home = array("i", bytes(4 * len(self.length)))
+        for s in order:
+            if self.length[s] >= window:
+                self.home[s] = s if self.length[self.link[s]] < window else self.home[self.link[s]]
+        #: Items by home state; items shorter than a window by the state and length of the whole item.
+        self.items_at: dict[int, set[str]] = defaultdict(set)
+        self.short_at: dict[int, dict[int, set[str]]] = defaultdict(lambda: defaultdict(set))
+        for item, ids in coded:
+            state = 0
+            for i, c in enumerate(ids):
+                state = self.to[state * self.width + c]
+                if i >= window - 1:
+                    self.items_at[self.home[state]].add(item)
+            if 0 < len(ids) < window:
+                self.short_at[state][len(ids)].add(item)
         #: For each state, the nearest state on its suffix path, itself included, where a short item ends.
-        self.short_link = [-1] * len(self.next)
-        for s in sorted(range(len(self.next)), key=self.length.__getitem__):
-            self.short_link[s] = s if s in self.short_at else self.short_link[self.link[s]] if s else -1
-
-    def _insert(self, ids: list[int]) -> None:
-        last = 0
-        for c in ids:
-            last = self._extend(last, c)
+        self.short_link = array("i", bytes(4 * len(self.length) if self.short_at else 0))
+        for s in order if self.short_at else ():
+            self.short_link[s] = s if s in self.short_at else self.short_link[self.link[s]]
+
+    def _put(self, s: int, c: int, t: int) -> None:
+        if s * self.width + c not in self.to:
+            if self._first[s] < 0:
+                self._first[s] = c
+            else:
+                self._more.setdefault(s, []).append(c)
+        self.to[s * self.width + c] = t
+
+    def _new(self, length: int, link: int) -> int:
+        self.length.append(length)
+        self.link.append(link)
+        self._first.append(-1)
+        return len(self.length) - 1
 
     def _extend(self, last: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if c in nxt[last]:
-            q = nxt[last][c]
+        to, link, length, width = self.to, self.link, self.length, self.width
+        q = to.get(last * width + c)
+        if q is not None:
             return q if length[q] == length[last] + 1 else self._clone(last, c, q)
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = cur
+        cur, p = self._new(length[last] + 1, 0), last
+        while p != -1 and p * width + c not in to:
+            self._put(p, c, cur)
             p = link[p]
         if p != -1:
-            q = nxt[p][c]
+            q = to[p * width + c]
             link[cur] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
         return cur
 
     def _clone(self, p: int, c: int, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        clone = len(nxt)
-        nxt.append(dict(nxt[q]))
-        length.append(length[p] + 1)
-        link.append(link[q])
+        to, link, width = self.to, self.link, self.width
+        clone = self._new(self.length[p] + 1, link[q])
+        for x in (self._first[q], *self._more.get(q, ())):
+            if x >= 0:
+                self._put(clone, x, to[q * width + x])
         link[q] = clone
-        while p != -1 and nxt[p].get(c) == q:
-            nxt[p][c] = clone
+        while p != -1 and to.get(p * width + c) == q:
+            to[p * width + c] = clone
             p = link[p]
         return clone
 
-    def scan(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+    def scan(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Maximal spans of hit words, as (start, end), and the items with a window that occurs."""
-        known, nxt, link, length, window = self.code.get, self.next, self.link, self.length, self.window
-        ids = [known(w, -1) for w in text]
+        known, to, link, length, window, width = self.code.get, self.to.get, self.link, self.length, self.window, self.width
         spans: list[tuple[int, int]] = []
-        found: set = set()
+        homes: set[int] = set()
+        found: set[str] = set()
         state = matched = 0
         has_short = bool(self.short_at)
-        for i, c in enumerate(ids):
-            if c < 0:
+        for i, w in enumerate(text):
+            c = known(w)
+            if c is None:
                 state = matched = 0
                 continue
-            while state and c not in nxt[state]:
+            nxt = to(state * width + c)
+            while nxt is None and state:
                 state = link[state]
                 matched = length[state]
-            if c not in nxt[state]:
+                nxt = to(state * width + c)
+            if nxt is None:
                 continue
-            state = nxt[state][c]
+            state = nxt
             matched += 1
             reach = 0
             if matched >= window:
                 reach = window
-                found |= self.items_of[tuple(ids[i - window + 1 : i + 1])]
+                homes.add(self.home[state])
             if has_short:
                 s = self.short_link[state]
                 while s > 0:
-                    for own in self.short_at[s]:
-                        if len(own) <= matched:
-                            reach = max(reach, len(own))
-                            found |= self.items_of[own]
+                    for size, items in self.short_at[s].items():
+                        if size <= matched:
+                            reach = max(reach, size)
+                            found |= items
                     s = self.short_link[link[s]]
             if reach:
                 start = i + 1 - reach
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
                 spans.append((start, i + 1))
-        return spans, found
+        return spans, found.union(*(self.items_at[h] for h in homes))
+
+
+_LAST: dict[str, ItemAutomaton] = {}
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, list[bytes]]]]:
-    """The benchmark in blocks of about block_bytes of text, item ids as strings; their number follows from a count of bytes."""
+def _automaton(name: str, items: list[tuple[str, str]], window: int) -> ItemAutomaton:
+    """This worker's automaton of a block, built once for all its tasks; only the last block's is held."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = ItemAutomaton(((item, words(text)) for item, text in items), window)
+    return _LAST[name]
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """(item, text, block) of the benchmark, item ids as strings, dealt by hash to blocks of about block_bytes of text; and the number of blocks."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-int(total) // block_bytes)
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(max(1, n)))
-    return [[(r.item, words(r.text)) for r in items.where(part == k).toLocalIterator()] for k in range(n)]
+    n = max(1, -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    return (written(items, "benchmark") if n > 1 else items), n
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, names: tuple[str, str, str] = ("n_words", "hit_spans", "hit_items"), finish=None, finished: T.StructType | None = None) -> DataFrame:
@@ -166,13 +195,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     at, base, sc = docs.columns.index(text_col), len(docs.columns), docs.sparkSession.sparkContext
     kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
     frame = docs
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes) or [[]]
-    for k, block in enumerate(blocks):
-        last = finish if k == len(blocks) - 1 else None
-        shipped = sc.broadcast(block)  # block_bytes of text at most
-
-        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped, k=k, last=last) -> Iterator[pa.RecordBatch]:
-            automaton = ItemAutomaton(shipped.value, window)
+    items, n_blocks = _items(benchmark, item_col, item_text_col, block_bytes)
+    for k in range(n_blocks):
+        last = finish if k == n_blocks - 1 else None
+        # block_bytes of text at most, one block at a time
+        shipped, name = sc.broadcast([(r.item, r.text) for r in items.where(F.col("block") == k).select("item", "text").collect()]), uuid.uuid4().hex
+
+        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped, name=name, k=k, last=last) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(name, shipped.value, window)
             for part, texts in texts_in(batches, at):
                 counts, spans, items = [], [], []
                 for i, text in enumerate(texts):
@@ -189,6 +219,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
                 yield last(whole) if last else whole
 
         frame = frame.mapInArrow(scan, finished if last else out)
+        if k < n_blocks - 1:
+            frame = written(frame, "decontaminated")  # so that a task holds one block's automaton
     return frame
 
 

@@ -55,3 +55,13 @@ def test_empty(spark):
     d, b = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert D.digest(d, b).count() == 0
     assert D.digest(b.toDF("doc_id", "text"), d.toDF("item_id", "text")).first().n_hit == 0
+
+
+def test_long_text(spark):
+    """A text of 200,000 words with a passage at its end; scanned again by the second block's pass."""
+    passage = "one two three four five six seven eight nine ten eleven"
+    text = "word " * 200_000 + passage
+    b = spark.createDataFrame([(1, passage), (2, "word other " * 6)], "item_id long, text string")
+    for block in (1 << 20, 40):
+        r = D.find_contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), b, block_bytes=block).first()
+        assert (r.n_words, [tuple(x) for x in r.hit_spans], r.hit_items) == (200_011, [(200_000, 200_011)], ["1"])
