@@ -4,7 +4,8 @@ The lexer turns a text into name-literal pairs, carries constants from name to n
 literal by the sensitive words of the name it reaches and by its own look. What scores enough is a span of kind `lex`
 at the literal, unless a base span already covers it.
 
-Scale: one pass, no shuffle, state of one document at a time. Defined cases: a null text is empty; an empty text has
+Scale: one pass, no shuffle, state of one document at a time; texts without any name that scores are not lexed. Defined
+cases: a null text is empty; a text of any length is read whole; an empty text has
 no spans; repeated rows are judged each by itself; further columns pass through, whatever their names.
 """
 
@@ -30,14 +31,34 @@ _ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
-#: Found in every text with a name that name_score gives anything.
-_SENSITIVE_TEXT = re.compile(r"(?ai)pass[._-]*word|passwd|passphrase|pwd|secret|token|credential|auth|(?:api|access|private|signing)[._-]*key")
-_PAIR = re.compile(r"""["']?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,127})["']?[ \t]*(?:=>|:=|=(?!=)|:(?![:/]))[ \t]*""")
-_TERM = re.compile(r"""(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<ref>\$?\{[A-Za-z_][A-Za-z0-9_.]*\}|\$?[A-Za-z_][A-Za-z0-9_.]*)(?=[ \t]*(?:[;,)\]}\r\n+#]|$)|[ \t]+//)|(?P<bare>[^\s"'#;,(){}\[\]]+))""")
-_PLUS = re.compile(r"[ \t]*\+[ \t]*")
+#: Found in every text with a name that name_score gives anything, and in every text with a URL's user and password.
+_SENSITIVE_TEXT = re.compile(r"(?ai)pass[._-]*word|passwd|passphrase|pwd|secret|token|credential|auth|bearer|(?:api|access|private|signing)[._-]*key|://[^\s/@]*:[^\s/@]+@")
+#: What the scan stops at: comments, strings, elements, flags, names. Signs inside words start no comment and no string.
+_ITEM = re.compile(
+    r"""(?P<comment>(?<![^\s;{}(),])\#(?P<hash>[^\n]*)|(?<![:\w"'/])//(?P<slashes>[^\n]*)|/\*(?P<block>[\s\S]*?)(?:\*/|\Z)|<!--(?P<xml>[\s\S]*?)(?:-->|\Z))
+    |(?P<string>(?:(?<!\w)[rRbBuUfF]{1,2})?(?:\"\"\"(?P<d3>[\s\S]*?)\"\"\"|(?:(?<!\w)|(?<=[rRbBuUfF]))\'\'\'(?P<s3>[\s\S]*?)\'\'\'|"(?P<d1>(?:[^"\\\n]|\\.)*)"|(?<![A-Za-z0-9])'(?P<s1>(?:[^'\\\n]|\\.)*)'|(?<!\w)[rRbBuUfF]{1,2}'(?P<p1>(?:[^'\\\n]|\\.)*)'|`(?P<b1>[^`]*)`))
+    |<(?P<tag>[A-Za-z][\w.:-]*)(?:\s[^<>]*)?>(?P<body>[^<>\n]+)</(?P=tag)\s*>
+    |(?<!\S)(?P<flag>--?[A-Za-z][\w-]*)(?P<gap>=|[ \t]+(?!-))
+    |(?P<url>[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@"'`]*:)(?P<pw>[^\s@/"'`<>{}$]+)@
+    |(?P<scheme>\b[Bb]earer[ \t]+)(?P<bearer>[A-Za-z0-9._~+/-]{16,}=*)
+    |(?P<name>\$?[A-Za-z_][\w]*(?:[.-]+[A-Za-z_0-9]\w*)*)""", re.VERBOSE,
+)
+_STRINGS = ("d3", "s3", "d1", "s1", "p1", "b1")
+_OP = re.compile(r"[ \t]*\]?[ \t]*(?:(?::[ \t]*[A-Za-z_][\w.]*(?:\[[\w., |\[\]]*\])?\??[ \t]*=(?!=))|=>|:=|\+=|=(?!=)|(?P<colon>:(?![:/=])))[ \t]*")
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*(?:#[^\n]*)?\n")
+_REF = re.compile(r"\$\{(?P<braced>[A-Za-z_][\w.]*)(?::?[-=](?P<default>[^}\n]*))?\}|\$?(?P<ref>[A-Za-z_][\w.]*)(?=[ \t]*(?:[;,)\]}\r\n+#]|$)|[ \t]+//|[ \t]*/\*)")
+_BARE = re.compile(r"""[^\s"'`;,(){}\[\]<>]+""")
+_SCHEME = re.compile(r"(?:Bearer|Basic|Token|Digest)[ \t]+(?=\S)")
+_SETTER = re.compile(r"(?:set|with|put|add)(?=[A-Z_])")
+#: Between terms: blanks, comments and line ends around a plus; a next string after blanks, or after a line's end inside brackets.
+_SPACE = r"(?:[ \t\r\n]|\\\n|\#[^\n]*\n|//[^\n]*\n|/\*[\s\S]{0,4096}?\*/)*"
+_PLUS = re.compile(rf"{_SPACE}\+{_SPACE}")
+_NEXT_STRING = re.compile(r"(?:[ \t]|\\\r?\n)*(?=[rRbBuUfF]{0,2}[\"'])")
+_NEXT_STRING_INSIDE = re.compile(rf"{_SPACE}(?=[rRbBuUfF]{{0,2}}[\"'])")
+_OPEN = re.compile(r"(?:[ \t]*\()*[ \t\r\n]*")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: What a word of a name adds; two words that only count together.
-_WORDS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.8, "secret": 0.8, "token": 0.7, "apikey": 0.9, "credential": 0.7, "credentials": 0.7, "auth": 0.5}
+_WORDS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.8, "secret": 0.8, "token": 0.7, "apikey": 0.9, "credential": 0.7, "credentials": 0.7, "auth": 0.5, "authorization": 0.8, "bearer": 0.8}
 _PAIRS = {("api", "key"): 0.9, ("access", "key"): 0.8, ("private", "key"): 0.9, ("signing", "key"): 0.8, ("pass", "word"): 1.0}
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example.*|your[_-].*|<.*>|\$\{.*\}|none|null|true|false|undefined|todo|placeholder|password|secret|test(?:ing)?)$")
 
@@ -68,40 +89,166 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.2 * kinds + 0.1 * max(0.0, entropy - 2))
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, constant value, where its literals are) of each assignment in order; names are followed to their values."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    at = 0
-    while m := _PAIR.search(text, at):
-        at, value, places, whole = m.end(), "", [], True
-        while t := _TERM.match(text, at):
-            group = t.lastgroup
-            at = t.end()
-            if group == "ref":
-                got = known.get(t["ref"].strip("${}"))
+Place = tuple[int, int]
+Pair = tuple[str, str, list[Place]]
+
+
+class Lexer:
+    """Name-literal pairs of a text in source or configuration syntax, with constants carried along.
+
+    Read are: assignments (`=`, `:=`, `=>`, `+=`, `:`, with a type between or not), keys in quotes and in brackets,
+    block scalars, literals in one, three or back quotes, sums and neighbours of literals over lines, references to
+    names, `$names` and `${names:-with a default}`, elements, flags, setters, pairs of arguments, users' passwords in
+    URLs and bearer values; comments and literals that hold assignments are read like texts of their own.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+
+    def pairs(self, at: int = 0, end: int | None = None, depth: int = 0) -> Iterator[Pair]:
+        text, end = self.text, len(self.text) if end is None else end
+        while m := _ITEM.search(text, at, end):
+            kind, at = m.lastgroup, m.end()
+            if m["comment"] is not None:
+                if depth < 3:
+                    yield from self.pairs(*next(m.span(g) for g in ("hash", "slashes", "block", "xml") if m[g] is not None), depth + 1)
+            elif m["string"] is not None:
+                inner = next(g for g in _STRINGS if m[g] is not None)
+                if len(m[inner]) <= 128 and (op := _OP.match(text, at, end)):
+                    at = yield from self._assigned(m[inner], op, end, depth)
+                    continue
+                if text[: m.start()].rstrip(" \t\r\n")[-1:] == "(" if m.start() < 256 else text[m.start() - 256 : m.start()].rstrip(" \t\r\n")[-1:] == "(":
+                    comma = re.compile(r"[ \t]*,[ \t\r\n]*(?=[rRbBuUfF]{0,2}[\"'])").match(text, at, end)
+                    if comma and name_score(m[inner]):  # put("name", "value")
+                        value, places, at, whole = self._value(comma.end(), end, False)
+                        if whole and places:
+                            yield m[inner], value, places
+                        continue
+                if depth < 3 and re.search("[=:]", m[inner]):
+                    yield from self.pairs(*m.span(inner), depth + 1)
+            elif kind == "body":
+                yield m["tag"], m["body"].strip(), [self._trimmed(*m.span("body"))]
+            elif kind == "gap":
+                yield from self._flag(m, end)
+                at = m.end("flag") + 1
+            elif kind == "pw":
+                yield "password", m["pw"], [m.span("pw")]
+            elif kind == "bearer":
+                yield "bearer", m["bearer"], [m.span("bearer")]
+            else:
+                op = _OP.match(text, at, end)
+                if op and (m["name"][-1] != "-"):
+                    at = yield from self._assigned(m["name"], op, end, depth)
+                elif text[at : at + 1] == "(" and _SETTER.match(m["name"].rsplit(".", 1)[-1]):
+                    value, places, _, whole = self._value(at + 1, end, False)
+                    if whole and places:
+                        yield m["name"], value, places
+
+    def _flag(self, m: re.Match, end: int) -> Iterator[Pair]:
+        value, places, _, whole = self._value(m.end(), end, False, alone=True)
+        if whole and places:
+            yield m["flag"], value, places
+
+    def _assigned(self, name: str, op: re.Match, end: int, depth: int) -> Iterator[Pair]:
+        """The pair of an assignment; returns where it ends."""
+        line = self.text.rfind("\n", 0, op.start()) + 1
+        value, places, at, whole = self._value(op.end(), end, op["colon"] is not None, indent=len(self.text[line : op.start()]) - len(self.text[line : op.start()].lstrip(" \t-")))
+        if whole and places:
+            self.known[name.strip("${}")] = value, places
+            yield name, value, places
+        # what a literal holds may be assignments too
+        for s, e in places if depth < 3 else ():
+            if op.end() <= s and re.search("[=:]", self.text[s:e]):
+                yield from self.pairs(s, e, depth + 1)
+        return max(at, op.end())
+
+    def _trimmed(self, s: int, e: int) -> Place:
+        said = self.text[s:e]
+        return s + len(said) - len(said.lstrip()), e - (len(said) - len(said.rstrip()))
+
+    def _value(self, at: int, end: int, colon: bool, indent: int = 0, alone: bool = False) -> tuple[str, list[Place], int, bool]:
+        """(constant, places of its literals, end, whether all of it is constant) of an expression."""
+        text = self.text
+        if colon and (m := _BLOCK.match(text, at, end)):
+            return self._block(m.end(), end, indent)
+        m = _OPEN.match(text, at, end) if text[at : at + 1] == "(" else None
+        inside, at = bool(m), m.end() if m else at
+        value, places, whole = "", [], True
+        while at < end:
+            m = _ITEM.match(text, at, end)
+            if m and m["string"] is not None:
+                inner = next(g for g in _STRINGS if m[g] is not None)
+                s, e = m.span(inner)
+                scheme = _SCHEME.match(text, s, e)
+                value, places, at = value + self._filled(m[inner][scheme.end() - s if scheme else 0 :]), [*places, (scheme.end() if scheme else s, e)], m.end()
+                near = (_NEXT_STRING_INSIDE if inside else _NEXT_STRING).match(text, at, end)
+                if near and (near.end() > at or inside) and not alone:
+                    at = near.end()
+                    continue
+            elif m := _REF.match(text, at, end):
+                got, at = self.known.get(m["braced"] or m["ref"]), m.end()
                 if got:
                     value, places = value + got[0], places + got[1]
-                elif t["ref"][0] != "$" and not places:
-                    value, places = t["ref"], [t.span()]  # a bare word of a configuration
+                elif m["default"]:
+                    value, places = value + m["default"], [*places, m.span("default")]
+                elif m["ref"] and text[m.start()] != "$" and not places:
+                    if text[at : at + 1] == "+" and not text[at + 1 : at + 2].strip("\"'` \t\r\n") == "":
+                        m = _BARE.match(text, m.start(), end)  # with a plus in it
+                        at = m.end()
+                    value, places = m[0], [m.span()]  # a bare word of a configuration
                 else:
                     whole = False
-            elif group == "bare" and "//" in t["bare"] and (got := known.get((head := t["bare"].split("//")[0]).lstrip("$"))):
-                value, places, at = value + got[0], places + got[1], t.start() + len(head)  # a name and a comment
+            elif m := _BARE.match(text, at, end):
+                scheme = _SCHEME.match(text, at, end)
+                if scheme:
+                    at = scheme.end()
+                    continue
+                head = m[0].split("//")[0]
+                if head != m[0] and (got := self.known.get(head.lstrip("$"))):
+                    value, places, at = value + got[0], places + got[1], at + len(head)  # a name and a comment
+                elif (hash_ := m[0].find("#")) > 0 and (got := self.known.get(m[0][:hash_])):
+                    value, places, at = value + got[0], places + got[1], at + hash_
+                elif text[m.end() : m.end() + 1] in ("(", "["):
+                    return value, places, m.end(), False  # a call: its arguments are read on their own
+                else:
+                    value, places, at = value + m[0], [*places, m.span()], m.end()
             else:
-                value, places = value + t[group], [*places, t.span(group)]
-            if not (p := _PLUS.match(text, at)):
+                return value, places, at, False
+            if alone or not (p := _PLUS.match(text, at, end)):
                 break
             at = p.end()
-        if whole and places:
-            known[m["name"]] = value, places
-            yield m["name"], value, places
+        return value, places, at, whole
+
+    def _filled(self, said: str) -> str:
+        """A literal with the known names in braces put in."""
+        return re.sub(r"\$?\{([A-Za-z_][\w.]*)\}", lambda m: self.known[m[1]][0] if m[1] in self.known else m[0], said) if "{" in said else said
+
+    def _block(self, at: int, end: int, indent: int) -> tuple[str, list[Place], int, bool]:
+        """A block scalar: the lines that stand further in than their key."""
+        lines, places = [], []
+        while at < end:
+            stop = self.text.find("\n", at, end)
+            stop = end if stop < 0 else stop
+            said = self.text[at:stop]
+            if said.strip():
+                if len(said) - len(said.lstrip(" ")) <= indent:
+                    break
+                places.append(self._trimmed(at, stop))
+                lines.append(said.strip())
+            at = stop + 1
+        return "".join(lines), places, min(at, end), True
+
+
+def pairs(text: str) -> Iterator[Pair]:
+    """(name, constant value, where its literals are) of each assignment in order; names are followed to their values."""
+    return Lexer(text).pairs()
 
 
 def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
     if not text:
         return []
     found = base_spans(text)
-    if ("=" in text or ":" in text) and _SENSITIVE_TEXT.search(text):
+    if _SENSITIVE_TEXT.search(text):
         lexed = set()
         for name, value, places in pairs(text):
             score = name_score(name)
