@@ -44,7 +44,7 @@ _ITEM = re.compile(
     |(?P<name>\$?[A-Za-z_][\w]*(?:[.-]+[A-Za-z_0-9]\w*)*)""", re.VERBOSE,
 )
 _STRINGS = ("d3", "s3", "d1", "s1", "p1", "b1")
-_OP = re.compile(r"[ \t]*\]?[ \t]*(?:(?::[ \t]*[A-Za-z_][\w.]*(?:\[[\w., |\[\]]*\])?\??[ \t]*=(?!=))|=>|:=|\+=|=(?!=)|(?P<colon>:(?![:/=])))[ \t]*")
+_OP = re.compile(r"""[ \t]*\]?[ \t]*(?:(?::[ \t]*[A-Za-z_][\w.]*(?:\[[\w., |\[\]]*\])?\??(?:[ \t]+=(?!=)|=(?=[\"'])))|=>|:=|\+=|=(?!=)|(?P<colon>:(?![:/=])))[ \t]*""")
 _BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*(?:#[^\n]*)?\n")
 _REF = re.compile(r"\$\{(?P<braced>[A-Za-z_][\w.]*)(?::?[-=](?P<default>[^}\n]*))?\}|\$?(?P<ref>[A-Za-z_][\w.]*)(?=[ \t]*(?:[;,)\]}\r\n+#]|$)|[ \t]+//|[ \t]*/\*)")
 _BARE = re.compile(r"""[^\s"'`;,(){}\[\]<>]+""")
@@ -154,7 +154,8 @@ class Lexer:
         line = self.text.rfind("\n", 0, op.start()) + 1
         value, places, at, whole = self._value(op.end(), end, op["colon"] is not None, indent=len(self.text[line : op.start()]) - len(self.text[line : op.start()].lstrip(" \t-")))
         if whole and places:
-            self.known[name.strip("${}")] = value, places
+            if not depth:
+                self.known[name.strip("${}")] = value, places
             yield name, value, places
         # what a literal holds may be assignments too
         for s, e in places if depth < 3 else ():
