@@ -33,6 +33,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 
 #: Found in every text with a name that name_score gives anything, and in every text with a URL's user and password.
 _SENSITIVE_TEXT = re.compile(r"(?ai)pass[._-]*word|passwd|passphrase|pwd|secret|token|credential|auth|bearer|(?:api|access|private|signing)[._-]*key|://[^\s/@]*:[^\s/@]+@")
+#: One of these is in whatever _SENSITIVE_TEXT finds; plain searches come first.
+_PARTS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key", "://")
 #: What the scan stops at: comments, strings, elements, flags, names. Signs inside words start no comment and no string.
 _ITEM = re.compile(
     r"""(?P<comment>(?<![^\s;{}(),])\#(?P<hash>[^\n]*)|(?<![:\w"'/])//(?P<slashes>[^\n]*)|/\*(?P<block>[\s\S]*?)(?:\*/|\Z)|<!--(?P<xml>[\s\S]*?)(?:-->|\Z))
@@ -249,7 +251,8 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int
     if not text:
         return []
     found = base_spans(text)
-    if _SENSITIVE_TEXT.search(text):
+    low = text.lower()
+    if any(p in low for p in _PARTS) and _SENSITIVE_TEXT.search(text):
         lexed = set()
         for name, value, places in pairs(text):
             score = name_score(name)
