@@ -1,6 +1,7 @@
 """Connected components of an edge list by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and a join back, so a node with many neighbours is never gathered. Every round is
+Each step is a grouped minimum and a join back; the minima are written, so that adaptive execution can split a node
+with many neighbours. Every round is
 written to the shared folder, which cuts the lineage; rounds grow with the logarithm of the longest chain.
 """
 
@@ -15,7 +16,8 @@ from codexlake.llm.common import written
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a, b). Large: each node ties its greater neighbours to the least of its neighbours and itself; small: the smaller ones and itself."""
     both = edges.union(edges.select(F.col("b"), F.col("a"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    # written, so that both sides of the join are exchanged for it and a hub's partition can be split
+    least = written(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "least")
     tied = both.join(least, "a")
     if large:
         out = tied.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))

@@ -7,13 +7,13 @@ the beginning of a block permutation: documents fall by hash into about sqrt(n)
 them are put in the order of keyed hashes, and documents are taken until the quota is met. So the outcome for each
 source is one row: passes, and the order key up to which documents get one copy more.
 
-Scale: texts are counted once. Sources are never collected; each section search is one aggregate over one row per
+Scale: texts are counted once for the plan. Sources are never collected; each section search is one aggregate over one row per
 source. Only the one block of each source in which its quota ends is put in order, so a hot source costs about
 sqrt(n) rows in a task. Per-source rows are broadcast only if there are at most `broadcast_sources` of them; beyond
 that they are joined.
 
 Defined cases: a null source is a source of its own; a source without tokens keeps its documents once; a null text has
-no tokens; repeated rows of a doc_id share one fate; a budget beyond what the repetition limit allows is lowered to it;
+no tokens, one of any length is one count; repeated rows of a doc_id share one fate; a budget beyond what the repetition limit allows is lowered to it;
 an empty table stays empty; further columns pass through, whatever their names.
 """
 
@@ -96,20 +96,32 @@ def plan(slim: DataFrame, *, target: float = TARGET, max_repeats: float = MAX_RE
     return written(quotas.select("source", "n_blocks", "passes").join(ends, "source", "left"), "mixing-plan")
 
 
-def with_copies(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", seed: int = SEED, broadcast_sources: int = BROADCAST_SOURCES, **more) -> tuple[DataFrame, dict[str, str]]:
-    """docs with tokens and copies, and those columns' names."""
-    name = {k: fresh(k, docs.columns) for k in ("tokens", "copies")}
-    source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
-    slim = written(docs.select(source.alias("source"), F.col(id_col).alias("doc_id"), token_count(F.col(text_col)).alias("tokens")), "mixing-rows")
-    rows = plan(slim, seed=seed, **more).select(*(F.col(c).alias(f"_mix_{c}") for c in ("source", "n_blocks", "passes", "block_key", "doc_key")))
+def _slim(docs: DataFrame, text_col: str, source_col: str, id_col: str) -> DataFrame:
+    return written(docs.select(_named(F.col(source_col)).alias("source"), F.col(id_col).alias("doc_id"), token_count(F.col(text_col)).alias("tokens")), "mixing-rows")
+
+
+def _named(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("null"))
+
+
+def _copies(docs: DataFrame, rows: DataFrame, source: Column, doc_id: Column, name: str, seed: int, broadcast_sources: int) -> DataFrame:
+    """docs with the copies that a plan's rows give each."""
+    rows = rows.select(*(F.col(c).alias(f"_mix_{c}") for c in ("source", "n_blocks", "passes", "block_key", "doc_key")))
     if rows.limit(broadcast_sources + 1).count() <= broadcast_sources:
         rows = F.broadcast(rows)
-    block_key, doc_key = _keys(F.col("_mix_n_blocks"), F.col("_mix_source"), F.col(id_col), seed)
+    block_key, doc_key = _keys(F.col("_mix_n_blocks"), F.col("_mix_source"), doc_id, seed)
     due = (block_key < F.col("_mix_block_key")) | ((block_key == F.col("_mix_block_key")) & (doc_key <= F.col("_mix_doc_key")))
     # with no block in which the quota ends, the passes are all
     copies = F.col("_mix_passes") + F.when(F.coalesce(due, F.lit(False)), 1).otherwise(0)
-    out = docs.join(rows, source == F.col("_mix_source")).withColumns({name["tokens"]: token_count(F.col(text_col)), name["copies"]: copies})
-    return out.drop(*rows.columns), name
+    return docs.join(rows, source == F.col("_mix_source")).withColumn(name, copies).drop(*rows.columns)
+
+
+def with_copies(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", seed: int = SEED, broadcast_sources: int = BROADCAST_SOURCES, **more) -> tuple[DataFrame, dict[str, str]]:
+    """docs with tokens and copies, and those columns' names."""
+    name = {k: fresh(k, docs.columns) for k in ("tokens", "copies")}
+    rows = plan(_slim(docs, text_col, source_col, id_col), seed=seed, **more)
+    out = docs.withColumn(name["tokens"], token_count(F.col(text_col)))
+    return _copies(out, rows, _named(F.col(source_col)), F.col(id_col), name["copies"], seed, broadcast_sources), name
 
 
 def mix(docs: DataFrame, **more) -> DataFrame:
@@ -120,5 +132,7 @@ def mix(docs: DataFrame, **more) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    out, _ = with_copies(docs.select("doc_id", "text", "source"))
-    return out.select("doc_id", "source", "tokens", "copies")
+    """doc_id, source, tokens and copies of each document, from the rows that were counted once."""
+    slim = written(docs.select("doc_id", F.col("source").alias("own"), _named(F.col("source")).alias("source"), token_count(F.col("text")).alias("tokens")), "mixing-rows")
+    out = _copies(slim, plan(slim.select("source", "doc_id", "tokens")), F.col("source"), F.col("doc_id"), "copies", SEED, BROADCAST_SOURCES)
+    return out.select("doc_id", F.col("own").alias("source"), "tokens", "copies")

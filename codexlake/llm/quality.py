@@ -10,7 +10,7 @@ and that many rows of numbers reach the driver.
 
 Defined cases: a null text has no words and fails the base rule, an empty one too; labels without a document, null
 labels and tables without both classes teach nothing (the base rule alone decides); repeated rows are judged each by
-itself; further columns pass through, whatever their names.
+itself, and of those with one doc_id one teaches; a text of any length is one row's arrays; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -146,7 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
     some = some.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
     text = docs.select(F.col(id_col).alias("label_id"), F.col(f"`{text_col}`").alias("text"))
     stats, name = with_statistics(text.join(F.broadcast(some), "label_id"))  # max_labelled rows of two numbers
-    rows = stats.where(~base_failed(name)).select("label_id", "label", *(v.alias(k) for k, v in ratios(name).items())).limit(4 * max_labelled).collect()
+    # of rows that repeat a doc_id the least by label and ratios, so that max_labelled rows of numbers reach the driver
+    one = F.min(F.struct("label", *(v.alias(k) for k, v in ratios(name).items()))).alias("one")
+    rows = stats.where(~base_failed(name)).groupBy("label_id").agg(one).select("label_id", "one.*").collect()
     rows.sort(key=lambda r: tuple(r))
     x = {k: np.array([r[k] for r in rows], float) for k in (rows[0].asDict() if rows else ()) if k not in ("label_id", "label")}
     bad = np.array([r.label == 0 for r in rows], bool)

@@ -2,22 +2,24 @@
 
 Routing: the bits fall into radius + 1 blocks. Two fingerprints within the radius agree on one block at least, that is,
 one of the projected distances is 0; so each block value is a vantage shard of radius 0. A shard of more than
-`shard_rows` fingerprints is dealt on by Hamming distance to vantage points of its own, in rings; by the triangle
+`shard_rows` fingerprints is dealt on by Hamming distance to a vantage point of its own, in rings; by the triangle
 inequality only fingerprints within the radius of a ring's border can link across it, and those are sent to both
-sides. In a shard, a vantage-point tree answers which fingerprints lie within the radius, pruning branches the same
+sides. What is still too large after `RING_ROUNDS` rounds is dealt by blocks of other bits, again and again, until no
+shard is too large: that ends, as each round fixes more bits and a shard of equal fingerprints is one row. In a shard, a vantage-point tree answers which fingerprints lie within the radius, pruning branches the same
 way. So no link is lost, and no shard pairs everything.
 
 Scale: texts are read once and only fingerprints are shuffled; equal fingerprints (exact copies, hot groups) are one
 row from the first grouping on. A shard hands on a spanning forest of its links, never all pairs.
 
 Defined cases: a null, empty or wordless text has fingerprint 0, linked like any other; fewer words than a shingle are
-one shingle; repeated doc_ids belong to the component of each of their texts; null doc_ids are never a component's
+one shingle; a text of any length is one row of its scan; repeated doc_ids belong to the component of each of their texts; null doc_ids are never a component's
 name unless nothing else is there; an empty table gives no rows; further columns are left aside.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexlake.llm.common import texts_in, written
+from codexlake.llm.common import fresh, texts_in, written
 from codexlake.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-SHARD_ROWS, RING, LEAF = 2000, 8, 32
+SHARD_ROWS, RING, RING_ROUNDS, LEAF = 2000, 8, 3, 32
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -49,14 +51,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed integer."""
+    """(doc_id, fp) of (doc_id, text), and text_key if docs have it: the fingerprint's 64 bits as a signed integer."""
+    more = [c for c in ("text_key",) if c in docs.columns]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_in(batches, 1):
             found = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found), *part.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text", *more).mapInArrow(scan, "doc_id bigint, fp bigint" + "".join(f", {c} bigint" for c in more))
 
 
 # -- links in a shard ------------------------------------------------------------------------------------------------
@@ -140,21 +143,30 @@ def _links(shard: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
 # -- links over all shards -------------------------------------------------------------------------------------------
 
 
+def bit_classes(n: int, level: int) -> list[int]:
+    """Masks of n classes of the 64 bits, as signed integers; runs of bits at level 0, others at each level beyond."""
+    order = np.arange(64) if not level else np.random.default_rng(level).permutation(64)
+    masks = [sum(1 << int(b) for b in part) for part in np.array_split(order, n)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links (a, b) that connect what lies within radius among distinct fingerprints (fp)."""
-    n = radius + 1
-    bounds = [64 * k // n for k in range(n + 1)]
-    value = [F.shiftrightunsigned(F.col("fp"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(bounds, bounds[1:], strict=False)]
-    routed = distinct.select("fp", F.inline(F.array(*(F.struct(F.lit(k).alias("block"), v.alias("value")) for k, v in enumerate(value)))).alias("block", "value"))
-    vantages = [F.min_by("fp", F.xxhash64("fp", F.lit(k))) for k in range(3)]
-    full = routed.groupBy("block", "value").agg(F.count("*").alias("n"), F.array(*vantages).alias("vantages")).where(F.col("n") > shard_rows).drop("n")
-    far = lambda k: F.bit_count(F.col("fp").bitwiseXOR(F.get("vantages", k)))
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
     # the ring of a fingerprint, and the next one if that starts within the radius
-    rings = lambda k: F.when(F.col("vantages").isNull(), F.array(F.lit(0))).otherwise(F.sequence((far(k) / RING).cast("int"), ((far(k) + radius) / RING).cast("int")))
-    dealt = routed.join(full, ["block", "value"], "left")
-    for k in range(3):
-        dealt = dealt.withColumn(f"ring{k}", F.explode(rings(k)))
-    dealt = dealt.select(F.xxhash64("block", "value", "ring0", "ring1", "ring2").alias("shard"), "fp")
+    rings = F.sequence((far / RING).cast("int"), ((far + radius) / RING).cast("int"))
+    parts = lambda level: F.transform(F.array(*map(F.lit, bit_classes(radius + 1, level))), lambda m, k: F.xxhash64(k, m.bitwiseAND(F.col("fp"))))
+    rows, done, level = distinct.select("fp", F.explode(parts(0)).alias("shard")), [], 0
+    while True:
+        vantage = F.min_by("fp", F.xxhash64("fp", F.lit(level))).alias("vantage")
+        full = written(rows.groupBy("shard").agg(F.count("*").alias("n"), vantage).where(F.col("n") > shard_rows).drop("n"), "full-shards")
+        if full.isEmpty():
+            break
+        done.append(rows.join(full, "shard", "left_anti").select("shard", "fp"))
+        level += 1
+        dealt = rows.join(full, "shard").select("fp", "shard", F.explode(rings if level <= RING_ROUNDS else parts(level)).alias("part"))
+        rows = written(dealt.select("fp", F.xxhash64("shard", "part").alias("shard")), "dealt")
+    done.append(rows.select("shard", "fp"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -177,27 +189,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
         if held and len(held[0]):
             yield out(np.concatenate(held), np.concatenate(kept))
 
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(scan, "a bigint, b bigint")
+    return reduce(DataFrame.union, done).repartition("shard").sortWithinPartitions("shard").mapInArrow(scan, "a bigint, b bigint")
+
+
+def roots(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(fp, root): the least fingerprint of the component, of each fingerprint that has links."""
+    return written(components(links(distinct.select("fp"), radius, shard_rows)).withColumnRenamed("node", "fp"), "roots")
 
 
-def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def classes(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) from (doc_id, fp): the least doc_id that links reach."""
     prints = written(prints, "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct.select("fp"), radius))
-    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
-    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    # written, so that both sides of the last join are exchanged for it and a hot fingerprint's partition can be split
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    linked = written(distinct.join(roots(distinct, radius, shard_rows), "fp"), "linked")
+    # groupings are written, so that both sides of a join are exchanged for it and a hot key's partition can be split
+    least = written(linked.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    named = linked.join(least, "root").select("fp", "component_id")
     names = written(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "names")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs, same columns: of each component the document with the least doc_id, once; rows without a doc_id stay."""
-    found = classes(fingerprints(docs), radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    named = docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+def keep_one(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """docs, same columns: of each component one row, of the least doc_id and then the least text's hash; rows without a doc_id stay."""
+    key = fresh("_text_key", docs.columns)
+    named = docs.where("doc_id IS NOT NULL").withColumn(key, F.xxhash64("text"))
+    prints = fingerprints(named.select("doc_id", "text", F.col(key).alias("text_key")))
+    distinct = written(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("first")), "distinct")
+    joined = distinct.join(roots(distinct, radius, shard_rows), "fp", "left")
+    kept = written(joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", F.col("first.text_key").alias(key)), "kept")
+    one = named.join(kept, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ so Spark's commit protocol covers lost executors, and any store that Spark reach
     chunk index: for each block, for each plane: offset u64, size u32
     index offset u64 | "BPSX"
 
-Scale: one range exchange by doc_id puts documents in order; everything else is local to a partition. A piece closes at
+Scale: one range exchange by doc_id and text's hash puts documents in order; everything else is local to a partition. A piece closes at
 the first document end past `piece_ids` ids; a document is never split over pieces. Offsets of pieces come from sums
 over partitions, and then inside each, never from one pass over all rows.
 
 Defined cases: a null text is empty and gives only the end id; a null doc_id sorts first; documents that share a
-doc_id come in order of their text; an empty table gives no pieces; further columns are left aside.
+doc_id come in order of their text's hash (null first), and equal ones are written as often as they are; a text of any length is one
+document of one piece; an empty table gives no pieces; further columns are left aside.
 """
 
 from __future__ import annotations
@@ -259,8 +260,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = END_ID, mod
 
     spark = docs.sparkSession
     path = path or shared_path(spark, "token-ids")
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, schema).write.option("compression", "none").parquet(path)
+    # the text's hash takes part, so that many rows of one doc_id fall into several ranges
+    keyed = docs.select("doc_id", "text", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_key"))
+    ordered = keyed.repartitionByRange("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "text")
+    ordered.select("doc_id", "text").mapInArrow(encode, schema).write.option("compression", "none").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

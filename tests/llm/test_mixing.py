@@ -58,3 +58,9 @@ def test_empty_and_null(spark):
     assert got[1, "a"] == got[2, "a"] == 1 and len(got) == 4
     assert M.digest(docs.where("source = 'a'")).count() == 2
     assert M.digest(docs.limit(0)).count() == 0
+
+
+def test_digest_is_the_operators_result(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 17), f"s{i % 3 if i % 4 else 0}") for i in range(300)] + [(300, "long " * 200_000, "s1")], "doc_id long, text string, source string")
+    out, name = M.with_copies(docs)
+    assert sorted(map(tuple, M.digest(docs).collect())) == sorted(map(tuple, out.select("doc_id", "source", name["tokens"], name["copies"]).collect()))

@@ -60,3 +60,44 @@ def test_names_clash(spark):
     r = out.first()
     assert r.n_words == 5 and r.Kept == "k" and r[name["n_words"]] == 30 and name["kept"] == "_kept"
     assert out.where(F.col(name["kept"])).count() == 0
+
+
+def test_list_against_brute_force(spark):
+    """The first term of each list is the best of all cuts by FOIL gain; all rules are precise on what earlier ones leave; Spark's verdict is a plain reading of the list."""
+    for seed in range(4):
+        r = np.random.default_rng(seed)
+        n = 400
+        x = {"a": r.normal(size=n), "b": r.integers(0, 9, n).astype(float), "c": r.normal(size=n)}
+        bad = (x["a"] > 0.8) | ((x["b"] <= 2) & (x["c"] < -0.5))
+        part = np.arange(n) % 3 > 0
+        rules = Q.learn(x, bad, part)
+        assert rules
+        best = 0.0
+        for f, v in x.items():
+            for t in {float(q) for m in (bad, ~bad) for q in np.quantile(v[m], np.linspace(0, 1, Q.CUTS + 1))}:
+                for hit in ([z >= t for z in v], [z <= t for z in v]):
+                    p = sum(h and b and k for h, b, k in zip(hit, bad, part, strict=True))
+                    q = sum(h and not b and k for h, b, k in zip(hit, bad, part, strict=True))
+                    p0, n0 = int((bad & part).sum()), int((~bad & part).sum())
+                    if p:
+                        best = max(best, p * (np.log2(p / (p + q)) - np.log2(p0 / (p0 + n0))))
+        f, op, t = rules[0][0]
+        hit = (x[f] >= t if op == ">=" else x[f] <= t) & part
+        p, q = int((hit & bad).sum()), int((hit & ~bad).sum())
+        assert np.isclose(p * (np.log2(p / (p + q)) - np.log2((bad & part).sum() / part.sum())), best)
+        left, want = [True] * n, [0] * n
+        for k, rule in enumerate(rules, 1):
+            took = [i for i in range(n) if left[i] and all(x[f][i] >= t if op == ">=" else x[f][i] <= t for f, op, t in rule)]
+            assert sum(bad[i] for i in took) >= max(Q.MIN_COVER, Q.MIN_PRECISION * len(took))
+            for i in took:
+                left[i], want[i] = False, k
+        rows = spark.createDataFrame([(i, *(float(x[f][i]) for f in "abc")) for i in range(n)], "i int, a double, b double, c double")
+        assert [v.v for v in rows.select("i", Q.verdict(rules, {f: F.col(f) for f in "abc"}).alias("v")).orderBy("i").collect()] == want
+
+
+def test_repeated_ids_teach_once(spark):
+    """A labelled doc_id that many rows repeat teaches one row, whichever partitions they are in."""
+    docs = [(i % 40, " ".join(f"w{(i * 7 + k) % (50 if i % 2 else 1000)}{'$' * (i % 2)}" for k in range(60))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id long, quality int")
+    lists = [Q.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(n), labels, max_labelled=30) for n in (1, 5)]
+    assert lists[0] == lists[1] and lists[0]

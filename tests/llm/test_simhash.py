@@ -80,3 +80,26 @@ def test_documents(spark):
     assert got >= {(5, 3), (3, 3), (9, 8), (8, 8), (7, 7)} and len(got) == 6
     assert {x.doc_id for x in S.keep_one(docs).collect()} == {None, 3, 7, 8} and S.keep_one(docs).count() == 4
     assert S.digest(docs.limit(0)).count() == 0
+
+
+def test_dense_ball_is_dealt_until_shards_are_small(spark):
+    """All fingerprints within two bits of one: rings cannot part them, blocks of other bits do; chains lose no link."""
+    masks = [0, *(1 << a for a in range(24)), *((1 << a) | (1 << b) for a in range(24) for b in range(a))]
+    chain = [(255 << 56) + sum(1 << b for b in range(n)) for n in range(0, 40, 3)]
+    df = spark.createDataFrame([(m - (1 << 64) if m >> 63 else m,) for m in {*masks, *chain}], "fp long")
+    got = {}
+    for x in components(S.links(df, shard_rows=60)).collect():
+        got.setdefault(x.root, set()).add(x.node & (2**64 - 1))
+    assert sorted(map(len, got.values())) == sorted([len({*masks}), len(chain)])
+    for level in range(5):
+        m = [x & (2**64 - 1) for x in S.bit_classes(4, level)]
+        assert sum(m) == 2**64 - 1 and all(a & b == 0 for i, a in enumerate(m) for b in m[:i])
+
+
+def test_texts_under_one_id_and_long_texts(spark):
+    """A different text that repeats a doc_id stays; a repeated row goes; a text of 200,000 words is one fingerprint."""
+    a, b, long = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 50), ("b", 50), ("c", 200_000)))
+    docs = spark.createDataFrame([(1, a), (1, b), (1, b), (2, b), (3, long), (4, long + " end")], "doc_id long, text string")
+    assert sorted((x.doc_id, len(x.text)) for x in S.keep_one(docs).collect()) == [(1, len(a)), (1, len(b)), (3, len(long))]
+    found = {(x.doc_id, x.fingerprint, x.component_id) for x in S.digest(docs).collect()}
+    assert {(d, c) for d, _, c in found} == {(1, 1), (2, 1), (3, 3), (4, 3)} and (3, f"{brute_print(long):016x}", 3) in found

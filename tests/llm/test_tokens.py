@@ -48,3 +48,23 @@ def test_nulls_repeats_empty(spark):
     got = K.token_output(docs, PATH).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 2), (1, 2, 1), (1, 3, 3), (1, 6, 3)]
     assert K.token_output(docs.limit(0), PATH).count() == 0
+
+
+def test_repeated_ids_and_random_signs(spark):
+    """Many texts under one doc_id, signs, marks and emoji; against the tokenizer's own encoding."""
+    r = random.Random(11)
+    letters = "abcXYZ019 .,!?;:*#$%&()[]{}\"'`~^_-+=/\\|<>@ \n\t éßÅİ😀👩‍👩‍👧中文字ア‍́²½Ⅷ٣\u0085\x1cſﬁǅ’“”…—"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(1, 40))) for _ in range(3000)] + ["(foo).", '"foo",', "f();", "x </w>. y", None, ""] + ["long word, " * 50_000]
+    rows = [(r.randrange(3), t) for t in texts]
+    got = K.token_output(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATH).collect()
+    model = Tokenizer.from_file(PATH)
+    want = {}
+    for (d, _), e in zip(rows, model.encode_batch_fast([t or "" for _, t in rows], add_special_tokens=False), strict=True):
+        ids = np.array([*e.ids, 2], "<u4")
+        want.setdefault(d, []).append((len(ids), zlib.crc32(ids.tobytes())))
+    have = {}
+    for x in got:
+        have.setdefault(x.doc_id, []).append((x.n_tokens, x.ids_crc32))
+    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
+    ordered = sorted(got, key=lambda x: x.start)
+    assert [x.doc_id for x in ordered] == sorted(d for d, _ in rows) and [x.start for x in ordered] == list(np.cumsum([0, *(x.n_tokens for x in ordered)])[:-1])
