@@ -150,31 +150,42 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
-def reanchor(marks: DataFrame, texts: DataFrame, mark_id: str, mark_text: str, text_id: str, text_col: str, head: int = 48, block: int = 5000) -> DataFrame:
+def reanchor(marks: DataFrame, texts: DataFrame, mark_id: str, mark_text: str, text_id: str, text_col: str, head: int = 48, gram: int = 12) -> DataFrame:
     """(mark_id, status, text_id, at): the one place where a mark's first `head` characters, white space aside, occur.
 
-    Two occurrences or none leave a mark stranded. The heads are shipped to the texts, `block` of them at a time (a bound
-    of block x head characters); more marks take more passes over the texts.
+    Two occurrences or none leave a mark stranded. Of a head, the grams of `gram` characters at its first `gram` offsets
+    are filed; of a text, each gram that starts at a multiple of `gram`. A head that occurs has one of its filed grams at
+    such a place, so heads and texts meet by equal grams and a sure place, which is then compared. Heads shorter than two
+    grams are compared with all texts that hold them, in an anti-join's stead, as there is nothing to file.
     """
     heads = marks.select(mark_id, F.substring(bare(F.col(mark_text)), 1, head).alias("_head")).where("_head <> ''")
-    n_blocks = max(1, -(-heads.count() // block))
     stripped = texts.select(text_id, bare(F.col(text_col)).alias("_bare"))
-    found = None
-    for k in range(n_blocks):
-        some = heads.where(F.pmod(F.xxhash64(mark_id), F.lit(n_blocks)) == k)
-        hits = stripped.join(F.broadcast(some), F.col("_bare").contains(F.col("_head")))
-        again = F.expr("locate(_head, _bare, locate(_head, _bare) + 1)") > 0
-        part = hits.select(mark_id, text_id, F.expr("locate(_head, _bare)").alias("at"), F.when(again, 2).otherwise(1).alias("n"))
-        found = part if found is None else found.unionByName(part)
-    best = found.groupBy(mark_id).agg(F.sum("n").alias("n"), F.min(text_id).alias(text_id), F.min("at").alias("at"))
+    long = heads.where(F.length("_head") >= 2 * gram)
+    offsets = F.sequence(F.lit(0), F.lit(gram - 1))
+    filed = long.select(mark_id, "_head", F.explode(offsets).alias("_off")).withColumn("_gram", F.substring("_head", F.col("_off") + 1, F.lit(gram)))
+    slots = F.sequence(F.lit(0), F.greatest(F.floor(F.length("_bare") / gram) - 1, F.lit(0)).cast("int"))
+    placed = stripped.select(text_id, F.length("_bare").alias("_size"), "_bare", F.posexplode(F.transform(slots, lambda k: F.substring(F.col("_bare"), k * gram + 1, F.lit(gram)))).alias("_slot", "_gram"))
+    met = placed.join(filed, "_gram").withColumn("at", F.col("_slot") * gram - F.col("_off") + 1)
+    hits = met.where((F.col("at") >= 1) & (F.substring("_bare", F.col("at"), F.length("_head")) == F.col("_head"))).select(mark_id, text_id, "at")
+    short = heads.where(F.length("_head") < 2 * gram)
+    few = stripped.join(short, F.col("_bare").contains(F.col("_head")))
+    again = F.expr("locate(_head, _bare, locate(_head, _bare) + 1)")
+    hits = hits.unionByName(few.select(mark_id, text_id, F.explode(F.filter(F.array(F.expr("locate(_head, _bare)"), again), lambda x: x > 0)).alias("at")))
+    best = hits.groupBy(mark_id).agg(F.count("*").alias("n"), F.min(text_id).alias(text_id), F.min("at").alias("at"))
     one = F.col("n") == 1
     status = F.when(one, "found").when(F.col("n") > 1, "ambiguous").otherwise("absent")
     return marks.select(mark_id).join(best, mark_id, "left").select(mark_id, status.alias("status"), F.when(one, F.col(text_id)).alias(text_id), F.when(one, F.col("at")).alias("at"))
 
 
 def first_divergence(a: Column, b: Column) -> Column:
-    """The first place (from 1) where two texts differ, white space aside; null if they don't."""
-    x, y = F.split(bare(a), ""), F.split(bare(b), "")
-    n = F.greatest(F.size(x), F.size(y))
-    apart = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i)))
-    return F.when(bare(a) != bare(b), F.get(apart, 0) + 1)
+    """The first place (from 1) where two texts differ, white space aside; null if they don't. The common part is halved, so a text is compared a logarithm of its length times."""
+    let = lambda values, body: F.element_at(F.transform(F.array(F.struct(*values)), body), 1)
+    same = lambda p, n: F.left(p["x"], n) == F.left(p["y"], n)
+
+    def found(p: Column) -> Column:
+        start = F.struct(F.lit(0).alias("low"), F.least(F.length(p["x"]), F.length(p["y"])).alias("high"))
+        half = lambda s: F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+        step = lambda s, _: F.when(s["low"] >= s["high"], s).when(same(p, half(s)), F.struct(half(s).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), (half(s) - 1).alias("high")))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, step, lambda s: s["low"] + 1)
+
+    return let([bare(a).alias("x"), bare(b).alias("y")], lambda p: F.when(p["x"] != p["y"], found(p)))

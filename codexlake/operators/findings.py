@@ -37,9 +37,14 @@ def first_rule(contexts: Sequence[tuple[Column, str]]) -> Column:
     return F.coalesce(*(F.when(c, F.lit(name)) for c, name in contexts))
 
 
-def toc_verdict(misordered: Column, flattened: Column, chapters: Column, evidence: Column, listed: Column) -> Column:
-    """What a table of contents is, from evidence; the first that fits."""
+#: The verdicts, and how much evidence of chapters and how many listed ones count.
+MISORDERED, FLATTENED, OK, SUSPECT, SPARSE = "MISORDERED", "FLATTENED", "OK", "SUSPECT", "SPARSE"
+MIN_EVIDENCE, CHAPTERS_ENOUGH = 5, 2
+
+
+def toc_verdict(misordered: Column, misplaced: Column, chapters: Column, evidence: Column, listed: Column) -> Column:
+    """What a table of contents is; the first that fits. Listed chapters beyond two are enough, whatever the evidence."""
     return (
-        F.when(misordered > 0, "MISORDERED").when(flattened, "FLATTENED").when((chapters > 2) & ~((evidence >= 5) & (evidence > listed)), "OK")
-        .when((evidence >= 5) & (evidence > listed), "SUSPECT").otherwise("SPARSE")
+        F.when(misordered > 0, MISORDERED).when(misplaced > 0, FLATTENED).when(chapters > CHAPTERS_ENOUGH, OK)
+        .when((evidence >= MIN_EVIDENCE) & (evidence > listed), SUSPECT).otherwise(SPARSE)
     )

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexlake.functions.text import natural_key
+from codexlake.functions.text import fold, natural_key, search_key
 
 NONE_LABEL = "—"
 
@@ -119,3 +119,43 @@ def first_seen(rows: DataFrame, group: str, order: str) -> DataFrame:
 def leads(rows: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
     """The first row of each group."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("_rank = 1").drop("_rank")
+
+
+def matches(asked: str, fields: Sequence[Column], key: Column | None = None) -> Column:
+    """Whether rows answer a search: their folded key holds the folded question, or their fields as they are, in lower case, hold it as it is; nothing asked finds all."""
+    if not asked.strip():
+        return F.lit(True)
+    folded = search_key(*fields) if key is None else F.when(F.coalesce(key, F.lit("")) == "", fold(F.concat_ws(" ", *fields))).otherwise(key)
+    in_key = folded.contains(fold(F.lit(asked))) & (fold(F.lit(asked)) != "")
+    return in_key | F.lower(F.concat_ws(" ", *fields)).contains(asked.strip().lower())
+
+
+def shown(rows: DataFrame, hidden: str) -> DataFrame:
+    """Rows that are not hidden; a null hides nothing."""
+    return rows.where(~F.coalesce(F.col(hidden), F.lit(False)))
+
+
+def filled(value: Column, new: Column) -> Column:
+    """new where there is no value or an empty one."""
+    return F.coalesce(F.nullif(value, F.lit("")), new)
+
+
+def has_tag(tags: Column, tag: str) -> Column:
+    """Tags are kept trimmed and in lower case."""
+    return F.array_contains(tags, tag.strip().lower())
+
+
+def duplicates(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, n) of keys that more than one row has."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def series_position(index: Column, title: Column) -> list[Column]:
+    """Order in a series: numbered rows first, by number, then by title in natural order."""
+    return [index.isNull().asc(), index.asc_nulls_last(), natural_key(title).asc()]
+
+
+def ranked_counts(rows: DataFrame, name: str) -> DataFrame:
+    """(name, n, place): names by how often they occur, most first, names in order among equals. The ranking holds a row for each name."""
+    n = rows.groupBy(name).agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), name)).cast("long"))
