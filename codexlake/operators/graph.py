@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 def _kept(df: DataFrame) -> DataFrame:
     """df checkpointed, which cuts the lineage of rounds; in a local folder only where the cluster names none, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 

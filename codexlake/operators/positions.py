@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def span_text(elements: DataFrame, spans: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """(key, text) of spans (key, a, off_a, b, off_b): from off_a in element a up to off_b in element b."""
+def span_text(elements: DataFrame, spans: DataFrame, key: str, order: str, text: str, keep: bool = False) -> DataFrame:
+    """(key, text), with keep the spans' ends too, of spans (key, a, off_a, b, off_b): from off_a in element a up to off_b in element b."""
     rows = elements.select(key, order, F.col(text).alias("_text")).join(spans, key).where(F.col(order).between(F.col("a"), F.col("b")))
     part = F.when((F.col(order) == F.col("a")) & (F.col("a") == F.col("b")), F.substring("_text", F.col("off_a") + 1, F.col("off_b") - F.col("off_a")))
     part = part.when(F.col(order) == F.col("a"), F.substring("_text", F.col("off_a") + 1, F.length("_text"))).when(F.col(order) == F.col("b"), F.substring("_text", F.lit(1), F.col("off_b"))).otherwise(F.col("_text"))
     said = F.array_sort(F.collect_list(F.struct(F.col(order), part.alias("_part"))))
-    return rows.groupBy(key, "a", "off_a", "b", "off_b").agg(said.alias("_said")).select(key, F.array_join(F.transform("_said", lambda x: x["_part"]), "").alias(text))
+    return rows.groupBy(key, "a", "off_a", "b", "off_b").agg(said.alias("_said")).select(key, *(("a", "off_a", "b", "off_b") if keep else ()), F.array_join(F.transform("_said", lambda x: x["_part"]), "").alias(text))
 
 
 def variant_paths(rows: DataFrame, group: str, json: str) -> DataFrame:

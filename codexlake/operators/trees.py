@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,10 @@ def number(text: Column) -> Column:
 
 
 def table_cells(nodes: DataFrame) -> DataFrame:
-    """(page_id, table_id, row, col, row_span, col_span, header, text): a row for each cell; col counts the spans before it in its row."""
+    """(page_id, table_id, row, col, row_span, col_span, header, text): a row for each cell; col counts what stands before it, cells that reach down from rows above among them.
+
+    Which columns are taken follows from row to row, so the cells of one table, which one page bounds, are placed together.
+    """
     own = lambda c: F.col(c)
     cells = nodes.where("tag IN ('td', 'th')").select("page_id", "node_id", F.col("parent_id").alias("tr_id"), "pre", "tag", "text", "attrs")
     rows = nodes.where("tag = 'tr'").select("page_id", F.col("node_id").alias("tr_id"), F.col("pre").alias("tr_pre"), F.col("post").alias("tr_post"))
@@ -31,9 +35,22 @@ def table_cells(nodes: DataFrame) -> DataFrame:
     held = inside.groupBy("page_id", "tr_id", "tr_pre").agg(F.max_by("table_id", "t_pre").alias("table_id"))
     held = held.withColumn("row", F.row_number().over(Window.partitionBy("page_id", "table_id").orderBy("tr_pre")) - 1)
     span = lambda n: F.greatest(F.coalesce(F.element_at("attrs", n).try_cast("int"), F.lit(1)), F.lit(1))
-    placed = cells.join(held, ["page_id", "tr_id"]).withColumns({"row_span": span("rowspan"), "col_span": span("colspan")})
-    col = F.coalesce(F.sum("col_span").over(Window.partitionBy("page_id", "tr_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.select("page_id", "table_id", "row", col.cast("int").alias("col"), "row_span", "col_span", (F.col("tag") == "th").alias("header"), F.trim("text").alias("text"))
+    placed = cells.join(held, ["page_id", "tr_id"]).select("page_id", "table_id", "row", "pre", span("rowspan").alias("row_span"), span("colspan").alias("col_span"), (F.col("tag") == "th").alias("header"), F.trim("text").alias("text"))
+
+    def place(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values(["row", "pre"])
+        taken: dict[int, int] = {}  # column -> first row below the cell that holds it
+        cols, last, at = [], None, 0
+        for row, down, across in zip(table["row"], table["row_span"], table["col_span"], strict=True):
+            at = 0 if row != last else at
+            while taken.get(at, 0) > row:
+                at += 1
+            cols.append(at)
+            taken |= {at + k: row + down for k in range(across)}
+            at, last = at + across, row
+        return table.assign(col=cols).drop(columns="pre")[["page_id", "table_id", "row", "col", "row_span", "col_span", "header", "text"]]
+
+    return placed.groupBy("page_id", "table_id").applyInPandas(place, "page_id bigint, table_id int, row int, col int, row_span int, col_span int, header boolean, text string")
 
 
 def cascade(nodes: DataFrame, rules: DataFrame) -> DataFrame:

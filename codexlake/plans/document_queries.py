@@ -14,6 +14,19 @@ from codexlake.operators import sequence as sq
 from codexlake.operators import trees as tr
 from codexlake.plans.registry import query, read
 
+#: The node rows of the pages in SQL: a walk over the tags that keeps the open elements. nodes: page_id, node_id, anc (ancestors, outermost first), tag, class, said.
+_VOID = ", ".join(f"'{t}'" for t in sorted(dc.VOID))
+NODES = rf"""
+WITH RECURSIVE src AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script\b[^>]*>).*?</script\s*>', '\1</script>', 'g') AS h FROM pages),
+lists AS (SELECT page_id, regexp_extract_all(h, '<(/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>[^<]*', 1) AS t, regexp_extract_all(h, '<(/?[a-zA-Z][a-zA-Z0-9]*)([^>]*)>[^<]*', 2) AS a, regexp_extract_all(h, '<(/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]*)', 2) AS s FROM src),
+walk AS (SELECT page_id, 0 AS i, []::INTEGER[] AS ids, []::VARCHAR[] AS names, 0 AS n, NULL::INTEGER[] AS anc, NULL::VARCHAR AS tag, NULL::VARCHAR AS class, NULL::VARCHAR AS said FROM lists
+UNION ALL SELECT page_id, i, CASE WHEN begins THEN CASE WHEN x IN ({_VOID}) THEN ids ELSE ids || [n] END WHEN list_contains(names, x) THEN ids[1:keep] ELSE ids END, CASE WHEN begins THEN CASE WHEN x IN ({_VOID}) THEN names ELSE names || [x] END WHEN list_contains(names, x) THEN names[1:keep] ELSE names END,
+n + begins::INTEGER, CASE WHEN begins THEN ids END, CASE WHEN begins THEN x END, regexp_extract(attrs, 'class="([^"]*)"', 1), txt
+FROM (SELECT w.page_id, w.i + 1 AS i, w.ids, w.names, w.n, NOT starts_with(l.t[w.i + 1], '/') AS begins, lower(ltrim(l.t[w.i + 1], '/')) AS x, len(w.names) - list_position(list_reverse(w.names), lower(ltrim(l.t[w.i + 1], '/'))) AS keep, l.a[w.i + 1] AS attrs, l.s[w.i + 1] AS txt FROM walk w JOIN lists l ON l.page_id = w.page_id AND w.i < len(l.t))),
+own AS (SELECT page_id, ids[-1] AS node_id, string_agg(replace(replace(replace(replace(said, '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&amp;', '&'), '' ORDER BY i) AS said FROM walk WHERE i > 0 AND len(ids) > 0 AND names[-1] NOT IN ('script', 'style', 'rp') GROUP BY 1, 2),
+nodes AS (SELECT w.page_id, w.n - 1 AS node_id, w.anc, w.tag, w.class, coalesce(o.said, '') AS said FROM walk w LEFT JOIN own o ON o.page_id = w.page_id AND o.node_id = w.n - 1 WHERE w.tag IS NOT NULL)
+"""
+
 # -- texts -----------------------------------------------------------------------------------------------------------
 
 
@@ -251,14 +264,14 @@ def page_features(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.size(dc.headings(html)).cast("long").alias("n_headings"), html.rlike(r"(?i)<img\b").alias("has_image"), html.rlike(r"(?i)<table\b").alias("has_table"), html.rlike("(?i)copyright|©").alias("rights"))
 
 
-@query()
+@query(NODES + """SELECT tag, len(anc)::INTEGER AS depth, count(*) AS n, sum(length(said))::BIGINT AS chars FROM nodes GROUP BY ALL""")
 def html_node_table(spark, sf_dir):
     """Node rows by tag and depth; held against the parser's own walk in the tests."""
     nodes = dc.html_nodes(read(spark, sf_dir, "pages"))
     return nodes.groupBy("tag", "depth").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query()
+@query(NODES + """SELECT p.page_id, a.node_id AS ctx, p.node_id, row_number() OVER (PARTITION BY p.page_id, a.node_id ORDER BY p.node_id)::INTEGER AS at FROM nodes p JOIN nodes a ON a.page_id = p.page_id AND a.tag = 'article' AND list_contains(p.anc, a.node_id) WHERE p.tag = 'p'""")
 def axis_descendant(spark, sf_dir):
     """Paragraphs under each article, by position."""
     nodes = dc.html_nodes(read(spark, sf_dir, "pages"))
@@ -266,7 +279,7 @@ def axis_descendant(spark, sf_dir):
     return found.withColumn("at", dc.position()).select("page_id", "ctx", "node_id", "at")
 
 
-@query()
+@query(NODES + """SELECT * FROM (SELECT c.page_id, c.node_id AS ctx, b.node_id, row_number() OVER (PARTITION BY c.page_id, c.node_id ORDER BY b.node_id DESC)::INTEGER AS "at" FROM nodes c JOIN nodes b ON b.page_id = c.page_id AND b.anc[-1] IS NOT DISTINCT FROM c.anc[-1] AND b.node_id < c.node_id WHERE c.tag = 'p') WHERE "at" <= 2""")
 def axis_preceding_sibling(spark, sf_dir):
     """The first two elements before each paragraph, counted outwards."""
     nodes = dc.html_nodes(read(spark, sf_dir, "pages"))
@@ -274,12 +287,15 @@ def axis_preceding_sibling(spark, sf_dir):
     return found.withColumn("at", dc.position(reverse=True)).where("at <= 2").select("page_id", "ctx", "node_id", "at")
 
 
-@query()
+@query(NODES + """SELECT DISTINCT d.page_id, d.node_id FROM nodes d WHERE d.tag IN ('a', 'p') AND EXISTS (SELECT 1 FROM nodes x WHERE x.page_id = d.page_id AND x.tag IN ('article', 'ul') AND list_contains(d.anc, x.node_id)) AND NOT EXISTS (SELECT 1 FROM nodes x WHERE x.page_id = d.page_id AND x.tag = 'nav' AND list_contains(d.anc, x.node_id))""")
 def node_set_operations(spark, sf_dir):
     """Paragraphs and links in articles or lists, without those below navigation."""
     nodes = dc.html_nodes(read(spark, sf_dir, "pages"))
-    below = lambda tag: dc.axis(nodes, nodes.where(F.col("tag") == tag), "descendant").where("tag IN ('a', 'p')").select("page_id", "node_id").distinct()
-    return below("article").union(below("ul")).distinct().subtract(below("nav"))
+    # one parse and one join: which kinds of element hold a node
+    some = nodes.where("tag IN ('article', 'ul', 'nav')")
+    held = dc.axis(nodes.where("tag IN ('a', 'p')"), some, "descendant").join(some.select("page_id", F.col("node_id").alias("ctx"), F.col("tag").alias("by")), ["page_id", "ctx"])
+    kinds = held.groupBy("page_id", "node_id").agg(F.bool_or(F.col("by") != "nav").alias("_in"), F.bool_or(F.col("by") == "nav").alias("_out"))
+    return kinds.where("_in AND NOT _out").select("page_id", "node_id")
 
 
 # -- graphs and findings ---------------------------------------------------------------------------------------------
@@ -310,10 +326,6 @@ SELECT node, min(other) AS least FROM w GROUP BY 1
 """)
 def name_equivalence(spark, sf_dir):
     n = read(spark, sf_dir, "nation")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))  # only where the cluster names none, as in tests
     return gr.equivalence_classes(n.select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 6) % 25).alias("b")))
 
 
@@ -357,7 +369,7 @@ def first_rule_fires(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").groupBy(fired.alias("fired")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(NODES + """SELECT a.page_id, a.node_id, coalesce(bool_and(length(trim(p.said)) > 0), true) AS holds FROM nodes a LEFT JOIN nodes p ON p.page_id = a.page_id AND p.tag = 'p' AND list_contains(p.anc, a.node_id) WHERE a.tag = 'article' GROUP BY 1, 2""")
 def every_paragraph_has_text(spark, sf_dir):
     """Articles all of whose paragraphs have text."""
     nodes = dc.html_nodes(read(spark, sf_dir, "pages"))
@@ -367,7 +379,7 @@ def every_paragraph_has_text(spark, sf_dir):
     return tr.quantified(articles, found, F.col("said"), every=True)
 
 
-@query()
+@query(NODES + """SELECT tag, CASE WHEN class = 'ad' AND tag = 'div' THEN 'pink' WHEN class = 'ad' THEN 'red' WHEN tag = 'h1' THEN 'blue' WHEN tag = 'p' THEN 'grey' ELSE 'black' END AS value, count(*) AS n FROM nodes GROUP BY ALL""")
 def style_cascade(spark, sf_dir):
     """What a small sheet of rules gives the elements of the pages, by tag."""
     rules = spark.createDataFrame([(None, None, None, 0, 0, "color", "black"), ("p", None, None, 1, 1, "color", "grey"), (None, "ad", None, 1, 2, "color", "red"), ("h1", None, None, 1, 3, "color", "blue"), ("div", "ad", None, 1, 4, "color", "pink")], "tag string, class string, id string, origin int, ord int, property string, value string")
@@ -375,9 +387,15 @@ def style_cascade(spark, sf_dir):
     return tr.cascade(nodes, rules).join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).groupBy("tag", "value").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""
+SELECT c_custkey AS page_id, 0 AS table_id, x.* FROM customer, (VALUES (0, 0, 2, 1, true, 'k'), (0, 1, 1, 2, false, 'a'), (0, 3, 3, 1, false, 'z'), (1, 1, 1, 1, false, 'b'), (1, 2, 2, 1, false, 'c'), (2, 0, 1, 2, false, 'd'), (3, 0, 1, 1, false, 'e')) x("row", col, row_span, col_span, header, text) WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 0, 0, 0, 1, 3, true, c_name FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT c_custkey, 0, 1, 0, 1, 1, false, 'x' FROM customer WHERE c_custkey % 2 = 1
+""")
 def table_cells(spark, sf_dir):
-    return tr.table_cells(dc.html_nodes(read(spark, sf_dir, "pages")))
+    """Cells of tables whose spans push cells of later rows aside."""
+    spans = '<table><tr><th rowspan="2">k</th><td colspan="2">a</td><td rowspan="3">z</td></tr><tr><td>b</td><td rowspan="2">c</td></tr><tr><td colspan="2">d</td></tr><tr><td>e</td></tr></table>'
+    plain = F.concat(F.lit('<table><tr><th colspan="3">'), "c_name", F.lit("</th></tr><tr><td>x</td></tr></table>"))
+    return tr.table_cells(dc.html_nodes(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.when(F.col("c_custkey") % 2 == 0, spans).otherwise(plain).alias("html"))))
 
 
 @query("""

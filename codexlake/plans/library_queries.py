@@ -130,7 +130,7 @@ def class_tally(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     end = F.get(F.array(*map(F.lit, (".css", ".xhtml", ".jpg", ".bin"))), (F.col("event_id") % 4).cast("int"))
     files = e.select(F.concat(F.lit("f"), "event_id", end).alias("path"), "event_id")
-    a = files.where("event_id % 3 <> 1 OR event_id % 5 = 0").select("path", F.lit(1).alias("digest")).where(~F.col("path").rlike("never"))
-    b = files.where("event_id % 3 > 0 OR event_id % 5 = 0").select("path", F.when((F.col("event_id") % 3 == 2) | (F.col("event_id") % 3 == 1), 2).otherwise(1).alias("digest"))
+    a = files.where("event_id % 3 <> 1 OR event_id % 5 = 0").select("path", F.lit(1).alias("digest"))
+    b = files.where("event_id % 3 > 0 OR event_id % 5 = 0").select("path", F.when(F.col("event_id") % 3 > 0, 2).otherwise(1).alias("digest"))
     found = rc.keyed_diff(a.join(b.select("path"), "path", "left_semi"), b, ["path"], "digest")
     return lib.class_tally(found, "path", {r"\.css$": "style", r"\.x?html$": "text", r"\.(?:jpe?g|png|gif|svg)$": "image"})
