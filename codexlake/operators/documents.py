@@ -150,24 +150,24 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
-def reanchor(marks: DataFrame, texts: DataFrame, mark_id: str, mark_text: str, text_id: str, text_col: str, head: int = 48, gram: int = 12) -> DataFrame:
+def reanchor(marks: DataFrame, texts: DataFrame, mark_id: str, mark_text: str, text_id: str, text_col: str, head: int = 48, block: int = 12) -> DataFrame:
     """(mark_id, status, text_id, at): the one place where a mark's first `head` characters, white space aside, occur.
 
-    Two occurrences or none leave a mark stranded. Of a head, the grams of `gram` characters at its first `gram` offsets
-    are filed; of a text, each gram that starts at a multiple of `gram`. A head that occurs has one of its filed grams at
+    Two occurrences or none leave a mark stranded. Of a head, the grams of `block` characters at its first `block` offsets
+    are filed; of a text, each gram that starts at a multiple of `block`. A head that occurs has one of its filed grams at
     such a place, so heads and texts meet by equal grams and a sure place, which is then compared. Heads shorter than two
-    grams are compared with all texts that hold them, in an anti-join's stead, as there is nothing to file.
+    blocks have no sure gram and are compared with all texts.
     """
     heads = marks.select(mark_id, F.substring(bare(F.col(mark_text)), 1, head).alias("_head")).where("_head <> ''")
     stripped = texts.select(text_id, bare(F.col(text_col)).alias("_bare"))
-    long = heads.where(F.length("_head") >= 2 * gram)
-    offsets = F.sequence(F.lit(0), F.lit(gram - 1))
-    filed = long.select(mark_id, "_head", F.explode(offsets).alias("_off")).withColumn("_gram", F.substring("_head", F.col("_off") + 1, F.lit(gram)))
-    slots = F.sequence(F.lit(0), F.greatest(F.floor(F.length("_bare") / gram) - 1, F.lit(0)).cast("int"))
-    placed = stripped.select(text_id, F.length("_bare").alias("_size"), "_bare", F.posexplode(F.transform(slots, lambda k: F.substring(F.col("_bare"), k * gram + 1, F.lit(gram)))).alias("_slot", "_gram"))
-    met = placed.join(filed, "_gram").withColumn("at", F.col("_slot") * gram - F.col("_off") + 1)
+    long = heads.where(F.length("_head") >= 2 * block)
+    offsets = F.sequence(F.lit(0), F.lit(block - 1))
+    filed = long.select(mark_id, "_head", F.explode(offsets).alias("_off")).withColumn("_gram", F.substring("_head", F.col("_off") + 1, F.lit(block)))
+    slots = F.sequence(F.lit(0), F.greatest(F.floor(F.length("_bare") / block) - 1, F.lit(0)).cast("int"))
+    placed = stripped.select(text_id, F.length("_bare").alias("_size"), "_bare", F.posexplode(F.transform(slots, lambda k: F.substring(F.col("_bare"), k * block + 1, F.lit(block)))).alias("_slot", "_gram"))
+    met = placed.join(filed, "_gram").withColumn("at", F.col("_slot") * block - F.col("_off") + 1)
     hits = met.where((F.col("at") >= 1) & (F.substring("_bare", F.col("at"), F.length("_head")) == F.col("_head"))).select(mark_id, text_id, "at")
-    short = heads.where(F.length("_head") < 2 * gram)
+    short = heads.where(F.length("_head") < 2 * block)
     few = stripped.join(short, F.col("_bare").contains(F.col("_head")))
     again = F.expr("locate(_head, _bare, locate(_head, _bare) + 1)")
     hits = hits.unionByName(few.select(mark_id, text_id, F.explode(F.filter(F.array(F.expr("locate(_head, _bare)"), again), lambda x: x > 0)).alias("at")))
