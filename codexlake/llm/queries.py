@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codexlake.llm import chat, decontaminate, licenses, mixing, quality, secrets, sharding, simhash, substring, tokens
+from codexlake.llm import chat, collocations, decontaminate, licenses, mixing, quality, secrets, sharding, simhash, substring, tokens
 from codexlake.llm.common import table
 
 
@@ -51,9 +51,13 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring, op2_simhash, op3_token_planes, op4_tool_links, op5_temperature_mix, op6_secret_scan, op7_quality_rules, op8_best_fit_shards, op9_decontaminate, op10_license_sentences)}
+    return {f.__name__: f for f in (op1_substring, op2_simhash, op3_token_planes, op4_tool_links, op5_temperature_mix, op6_secret_scan, op7_quality_rules, op8_best_fit_shards, op9_decontaminate, op10_license_sentences, op11_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": substring.ORACLE, "op4_tool_links": chat.ORACLE, "op9_decontaminate": decontaminate.ORACLE, "op10_license_sentences": licenses.ORACLE}
+    return {"op1_substring": substring.ORACLE, "op4_tool_links": chat.ORACLE, "op9_decontaminate": decontaminate.ORACLE, "op10_license_sentences": licenses.ORACLE, "op11_collocations": collocations.ORACLE}
