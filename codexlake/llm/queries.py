@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codexlake.llm import chat, collocations, decontaminate, licenses, mixing, quality, secrets, sharding, simhash, substring, tokens, whitening
+from codexlake.llm import chat, collocations, decontaminate, embedding_dedup, licenses, mixing, quality, secrets, sharding, simhash, substring, tokens, whitening
 from codexlake.llm.common import table
 
 
@@ -59,8 +59,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring, op2_simhash, op3_token_planes, op4_tool_links, op5_temperature_mix, op6_secret_scan, op7_quality_rules, op8_best_fit_shards, op9_decontaminate, op10_license_sentences, op11_collocations, op12_whitening)}
+    return {f.__name__: f for f in (op1_substring, op2_simhash, op3_token_planes, op4_tool_links, op5_temperature_mix, op6_secret_scan, op7_quality_rules, op8_best_fit_shards, op9_decontaminate, op10_license_sentences, op11_collocations, op12_whitening, op13_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
