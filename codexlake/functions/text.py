@@ -32,10 +32,11 @@ def search_key(*fields: Column) -> Column:
     return F.when(plain == spelt, plain).otherwise(F.concat(plain, F.lit("|"), spelt))
 
 
-def natural_key(text: Column, width: int = 20) -> Column:
-    """A string that sorts as the natural order: digit runs by value, the rest by code point."""
+def natural_key(text: Column) -> Column:
+    """A string that sorts as the natural order: digit runs by value, the rest by code point. A run's count of digits stands before it, so runs of any length compare by value."""
     runs = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    value = lambda x: F.lpad(F.regexp_replace(x, "^0+(?=[0-9])", ""), width, "0")
+    bare = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    value = lambda x: F.concat(F.lpad(F.length(bare(x)).cast("string"), 10, "0"), bare(x))
     return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), value(x)).otherwise(x)), "")
 
 

@@ -17,14 +17,17 @@ TAG_GROUPS = {
     "heading": ("h1", "h2", "h3", "h4", "h5", "h6"), "inline": ("a", "b", "em", "i", "span", "strong", "sub", "sup", "code"), "block": ("p", "div", "blockquote", "pre", "section", "article", "header", "footer", "nav", "aside", "main"),
     "list": ("ul", "ol", "li", "dl", "dt", "dd"), "table": ("table", "thead", "tbody", "tr", "td", "th"), "media": ("img", "figure", "figcaption", "video", "audio", "svg"),
 }
+#: The tag of a run of text.
+TEXT = "#text"
 NODE_SCHEMA = "page_id bigint, node_id int, parent_id int, pre int, post int, depth int, ord int, tag string, attrs map<string,string>, text string"
 
 
 class _Nodes(HTMLParser):
-    """Node rows of one source: (id, parent, pre, post, depth, place among siblings, tag, attributes, own text)."""
+    """Node rows of one source: (id, parent, pre, post, depth, place among siblings, tag, attributes, own text); with `runs`, runs of text are nodes."""
 
-    def __init__(self):
+    def __init__(self, runs: bool = False):
         super().__init__(convert_charrefs=True)
+        self.runs = runs
         self.rows: list[list] = []
         self.open: list[int] = []
         self.children: list[int] = [0]
@@ -58,8 +61,13 @@ class _Nodes(HTMLParser):
             self._close()
 
     def handle_data(self, data):
-        if self.open and self.rows[self.open[-1]][6] not in HIDDEN:
-            self.rows[self.open[-1]][8] += data
+        if not self.open or self.rows[self.open[-1]][6] in HIDDEN:
+            return
+        if self.runs:
+            self.handle_starttag(TEXT, ())
+        self.rows[self.open[-1]][8] += data
+        if self.runs:
+            self._close()
 
     def done(self) -> list[list]:
         self.close()
@@ -68,14 +76,14 @@ class _Nodes(HTMLParser):
         return self.rows
 
 
-def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """A row for each element, in a form where every axis is a comparison of pre, post, parent_id and ord."""
+def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", runs: bool = False) -> DataFrame:
+    """A row for each element, in a form where every axis is a comparison of pre, post, parent_id and ord; with `runs`, for each run of text too."""
     kinds = pa.schema([("page_id", pa.int64()), *((n, pa.int32()) for n in ("node_id", "parent_id", "pre", "post", "depth", "ord")), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parser = _Nodes()
+                parser = _Nodes(runs)
                 parser.feed(html or "")
                 if rows := [(page, *r[:7], [*r[7].items()], r[8]) for r in parser.done()]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)

@@ -11,6 +11,7 @@ from codexlake.functions.names import front_matter
 from codexlake.functions.text import resolve_path
 from codexlake.operators import positions as ps
 from codexlake.operators import sequence as sq
+from codexlake.operators.graph import _kept
 
 #: How many links make a contents page, and how many indented labels are evidence of levels.
 MIN_CHAPTER_LINKS, MIN_INDENTED = 3, 3
@@ -82,17 +83,15 @@ def find(texts: DataFrame, needle: str, id_col: str, text_col: str, around: int
 def nested_by_indent(rows: DataFrame, group: str, order: str, label: str, least: int = MIN_INDENTED) -> DataFrame:
     """rows with parent (the order of the nearest earlier row of a smaller indent) and the label without its indent.
 
-    Only groups with `least` rows deeper than the shallowest have levels; the others stay flat. Indents are ranked in
-    their group first, so the levels to look at are as many as there are different indents, up to eight.
+    Only groups with `least` rows deeper than the shallowest have levels; the others stay flat.
     """
     indent = F.length(label) - F.length(F.regexp_replace(label, r"^[\s　]+", ""))
     out = rows.withColumn("_indent", indent)
     w = Window.partitionBy(group)
-    out = out.withColumn("_level", F.least(F.dense_rank().over(w.orderBy("_indent")), F.lit(8)))
-    out = out.withColumn("_deep", F.sum(F.when(F.col("_level") > 1, 1).otherwise(0)).over(w))
-    out = sq.parents_by_level(out, group, order, "_level", order, deepest=8)
+    out = out.withColumn("_least", F.min("_indent").over(w)).withColumn("_deep", F.sum((F.col("_indent") > F.col("_least")).cast("int")).over(w))
+    out = sq.parents_by_level(out, group, order, "_indent", order)
     nested = F.col("_deep") >= least
-    return out.withColumn("parent", F.when(nested, F.col("parent"))).withColumn(label, F.when(nested, F.regexp_replace(label, r"^[\s　]+", "")).otherwise(F.col(label))).drop("_indent", "_level", "_deep")
+    return out.withColumn("parent", F.when(nested, F.col("parent"))).withColumn(label, F.when(nested, F.regexp_replace(label, r"^[\s　]+", "")).otherwise(F.col(label))).drop("_indent", "_least", "_deep")
 
 
 def repaired_contents(declared: DataFrame, linked: DataFrame, headed: DataFrame, places: DataFrame, book: str) -> DataFrame:
@@ -119,17 +118,14 @@ def repaired_contents(declared: DataFrame, linked: DataFrame, headed: DataFrame,
     return nested_by_indent(placed.select(book, "place", "label", "target", "side"), book, "place", "label")
 
 
-def depth_and_count(entries: DataFrame, book: str, entry: str, parent: str, deepest: int = 64) -> DataFrame:
-    """(book, n, depth) of contents given as entries with parents. One join for each level there is."""
-    level = entries.where(F.col(parent).isNull()).select(book, F.col(entry).alias("_id"))
-    depths, k = [level.groupBy(book).agg(F.lit(1).alias("_d"))], 1
-    while k < deepest:
-        level = entries.select(book, F.col(entry).alias("_next"), F.col(parent).alias("_id")).join(level, [book, "_id"]).select(book, F.col("_next").alias("_id"))
-        if level.isEmpty():
-            break
-        k += 1
-        depths.append(level.groupBy(book).agg(F.lit(k).alias("_d")))
-    deep = reduce(DataFrame.unionByName, depths).groupBy(book).agg(F.max("_d").cast("long").alias("depth"))
+def depth_and_count(entries: DataFrame, book: str, entry: str, parent: str) -> DataFrame:
+    """(book, n, depth) of contents given as entries with parents. A round for each level there is, its entries checkpointed; entries on a cycle count, but have no depth."""
+    links = _kept(entries.select(book, F.col(entry).alias("_next"), F.col(parent).alias("_id")))
+    level, depths = _kept(links.where("_id IS NULL").select(book, F.col("_next").alias("_id"))), []
+    while not level.isEmpty():
+        depths.append(level.groupBy(book).agg(F.lit(len(depths) + 1).alias("_d")))
+        level = _kept(links.join(level, [book, "_id"]).select(book, F.col("_next").alias("_id")))
+    deep = reduce(DataFrame.unionByName, depths or [level.groupBy(book).agg(F.lit(0).alias("_d"))]).groupBy(book).agg(F.max("_d").cast("long").alias("depth"))
     return entries.groupBy(book).agg(F.count("*").alias("n")).join(deep, book, "left")
 
 

@@ -5,10 +5,13 @@ As-of lookups are a union and a running last over each key, never a range join;
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 def descents(rows: DataFrame, group: str, order: Sequence[str], value: str) -> DataFrame:
@@ -57,6 +60,47 @@ def location_of(left: DataFrame, boundaries: DataFrame, key: str, at: str) -> Da
     return rows.unionByName(marks).withColumn("_n", n).where("_side = 1").select(key, at, "_own.*", F.greatest("_n", F.lit(1)).alias("location"))
 
 
+def dyadic_cover(first: int, last: int) -> list[tuple[int, int]]:
+    """The fewest blocks (level, number) of 2 ** level places that make up first to last: two for each level at most."""
+    out, level = [], 0
+    while first <= last:
+        if first & 1:
+            out.append((level, first))
+            first += 1
+        if first <= last and not last & 1:
+            out.append((level, last))
+            last -= 1
+        first, last, level = first >> 1, last >> 1, level + 1
+    return out
+
+
+def tightest_span(points: DataFrame, spans: DataFrame, key: str, point_id: str, span_id: str) -> DataFrame:
+    """(key, point_id, span_id): the narrowest span of the key that holds a point, by (elements, offset) tuples, least id on a tie; null if none does.
+
+    points and spans have es, os, ee, oe: element and offset of start and end; an end that is null is the start. A span is
+    filed under the blocks of its elements' dyadic cover, whose number grows with the logarithm of its length, and a point
+    asks for the one block of each level that it lies in; so they meet once, by an equality.
+    """
+    whole = lambda d: d.withColumn("ee", F.coalesce("ee", "es")).withColumn("oe", F.coalesce("oe", "os")).where("es IS NOT NULL AND os IS NOT NULL")
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cover = [dyadic_cover(a, b) for a, b in zip(batch.column("es").to_pylist(), batch.column("ee").to_pylist(), strict=True)]
+            rows = batch.take(pa.array([k for k, c in enumerate(cover) for _ in c], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([x for c in cover for x, _ in c], pa.int32()), pa.array([x for c in cover for _, x in c], pa.int64())], names=[*rows.schema.names, "_level", "_block"])
+
+    own = whole(spans).select(key, F.col(span_id).alias("_span"), *(F.col(c).cast("long").alias(c) for c in ("es", "os", "ee", "oe"))).where("(es, os) <= (ee, oe)")
+    deepest = own.agg(F.max(F.col("ee") - F.col("es"))).first()[0]
+    levels = list(range((deepest or 0).bit_length() + 1))
+    filed = own.mapInArrow(file, StructType([*own.schema.fields, StructField("_level", IntegerType()), StructField("_block", LongType())]))
+    filed = filed.select(key, "_level", "_block", "_span", F.struct("es", "os").alias("_s"), F.struct("ee", "oe").alias("_e"), F.struct((F.col("ee") - F.col("es")).alias("e"), (F.col("oe") - F.col("os")).alias("o"), F.col("_span").alias("i")).alias("_width"))
+    asked = whole(points).select(key, F.col(point_id).alias("_point"), F.struct(F.col("es").cast("long").alias("es"), F.col("os").cast("long").alias("os")).alias("_ps"), F.struct(F.col("ee").cast("long").alias("ee"), F.col("oe").cast("long").alias("oe")).alias("_pe"), F.explode(F.array(*map(F.lit, levels))).alias("_level"))
+    asked = asked.withColumn("_block", F.expr("shiftright(_ps.es, _level)"))
+    met = asked.join(filed, [key, "_level", "_block"]).where((F.col("_s") <= F.col("_ps")) & (F.col("_pe") <= F.col("_e")))
+    best = met.groupBy(key, "_point").agg(F.min("_width").alias("_w")).select(key, F.col("_point").alias(point_id), F.col("_w.i").alias(span_id))
+    return points.select(key, point_id).join(best, [key, point_id], "left")
+
+
 def tightest_interval(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, interval_id: str, point_id: str, bucket: int) -> DataFrame:
     """(point_id, interval_id): the narrowest interval of the key that holds the point, least id on a tie; null if none does.
 
@@ -69,15 +113,30 @@ def tightest_interval(points: DataFrame, intervals: DataFrame, key: str, at: str
     return points.select(point_id).join(best, point_id, "left")
 
 
-def parents_by_level(rows: DataFrame, group: str, order: str, level: str, row_id: str, deepest: int = 6) -> DataFrame:
-    """rows with parent: the nearest earlier row of a lower level."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col(level) == k, F.struct(F.col(order).alias("_at"), F.col(row_id).alias("_id"))), ignorenulls=True).over(w) for k in range(1, deepest)]
-    out = rows
-    for k, c in enumerate(last, 1):
-        out = out.withColumn(f"_l{k}", c)
-    nearest = F.greatest(*(F.when(F.col(level) > k, F.col(f"_l{k}")) for k in range(1, deepest)), F.lit(None).cast(out.schema["_l1"].dataType))
-    return out.withColumn("parent", nearest["_id"]).drop(*(f"_l{k}" for k in range(1, deepest)))
+def parents_by_level(rows: DataFrame, group: str, order: str, level: str, row_id: str) -> DataFrame:
+    """rows with parent: the nearest earlier row of a lower level, however many levels there are; a row without a level has none and is nobody's.
+
+    One sweep over each group in order with a stack of open levels, which is all that a task holds.
+    """
+    kinds = pa.schema([("parent", to_arrow_type(rows.schema[row_id].dataType))])
+    at = [rows.columns.index(c) for c in (group, level, row_id)]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack = object(), []
+        for batch in batches:
+            out = []
+            for key, depth, name in zip(*(batch.column(k).to_pylist() for k in at), strict=True):
+                if key != now:
+                    now, stack = key, []
+                while stack and depth is not None and stack[-1][0] >= depth:
+                    stack.pop()
+                out.append(stack[-1][1] if stack and depth is not None else None)
+                if depth is not None:
+                    stack.append((depth, name))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kinds.types[0])], names=[*batch.schema.names, "parent"])
+
+    schema = StructType([*rows.schema.fields, StructField("parent", rows.schema[row_id].dataType)])
+    return rows.repartition(group).sortWithinPartitions(group, order).mapInArrow(sweep, schema)
 
 
 def merged_order(main: DataFrame, extra: DataFrame, group: str, key: str, order: str) -> DataFrame:

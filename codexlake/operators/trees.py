@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexlake.operators.graph import _kept
+
 
 def quantified(context: DataFrame, found: DataFrame, holds: Column, every: bool = False) -> DataFrame:
     """(page_id, node_id, holds) of context nodes: whether some, or every, node found from them satisfies. No node: some fails, every holds."""
@@ -75,3 +77,62 @@ def cascade(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 def dangling(references: DataFrame, targets: DataFrame) -> DataFrame:
     """(kind, n) of references (kind, key) without a target (kind, key): all kinds in one anti-join."""
     return references.join(targets.select("kind", "key").distinct(), ["kind", "key"], "left_anti").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def selected(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
+    """(page_id, node_id, rule): the nodes that each rule's selector means.
+
+    selectors: rule, step (from 1), child, tag, class, id (null: any): compounds from left to right, each with whether it
+    is a child of what the one before means, or anything below it. A round for each step: nodes meet compounds by the most
+    particular part, and keep those whose parent, or any ancestor, was reached by the step before. Ancestors are told by
+    one sweep in document order for each rule and page, not by pairs.
+    """
+    file = F.when(F.col("id").isNotNull(), F.concat(F.lit("#"), "id")).when(F.col("class").isNotNull(), F.concat(F.lit("."), "class")).when(F.col("tag").isNotNull(), F.col("tag")).otherwise("*")
+    filed = selectors.select(file.alias("_key"), "rule", "step", "child", F.col("tag").alias("_tag"), F.col("class").alias("_class"), F.col("id").alias("_id"))
+    classes = F.filter(F.split(F.coalesce(F.element_at("attrs", "class"), F.lit("")), r"\s+"), lambda x: x != "")
+    own_id = F.element_at("attrs", "id")
+    keys = F.array_compact(F.concat(F.array(F.lit("*"), F.col("tag"), F.concat(F.lit("#"), own_id)), F.transform(classes, lambda c: F.concat(F.lit("."), c))))
+    asked = nodes.select("page_id", "node_id", "parent_id", "pre", "post", "tag", classes.alias("_classes"), own_id.alias("_own"), F.explode(F.array_distinct(keys)).alias("_key"))
+    fits = [F.col("_tag").isNull() | (F.col("_tag") == F.col("tag")), F.col("_class").isNull() | F.array_contains("_classes", F.col("_class")), F.col("_id").isNull() | (F.col("_id") == F.col("_own"))]
+    met = _kept(asked.join(filed, "_key").where(reduce(lambda a, b: a & b, fits)).select("page_id", "node_id", "parent_id", "pre", "post", "rule", "step", "child"))
+    last = selectors.groupBy("rule").agg(F.max("step").alias("_last"))
+    reached = met.where("step = 1")
+    done = [reached]
+    for step in range(2, (selectors.agg(F.max("step")).first()[0] or 0) + 1):
+        now = met.where(F.col("step") == step)
+        by_parent = now.where("child").join(reached.select("page_id", "rule", F.col("node_id").alias("parent_id")), ["page_id", "rule", "parent_id"], "left_semi")
+        w = Window.partitionBy("page_id", "rule").orderBy("pre", "_side").rowsBetween(Window.unboundedPreceding, -1)
+        both = now.where("NOT child").withColumn("_side", F.lit(0)).unionByName(reached.withColumn("_side", F.lit(1)))
+        below = both.withColumn("_open", F.max(F.when(F.col("_side") == 1, F.col("post"))).over(w)).where("_side = 0 AND _open > pre").drop("_side", "_open")
+        reached = _kept(by_parent.select(*met.columns).unionByName(below.select(*met.columns)))
+        done.append(reached)
+    return reduce(DataFrame.unionByName, done).join(last, "rule").where("step = _last").select("page_id", "node_id", "rule").distinct()
+
+
+def winners(found: DataFrame, selectors: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(page_id, node_id, property, value) of the declaration that wins for each node that selected() found.
+
+    declarations: rule, origin, ord, property, value, important. The greatest (importance, origin, ids, classes, tags, ord)
+    wins; among important ones the lower origin does.
+    """
+    count = lambda c: F.count(c).cast("int").alias(f"_{c}")
+    weight = selectors.groupBy("rule").agg(count("id"), count("class"), count("tag"))
+    rank = F.struct("important", F.when(F.col("important"), -F.col("origin")).otherwise(F.col("origin")).alias("_o"), "_id", "_class", "_tag", "ord")
+    return found.join(declarations.join(weight, "rule"), "rule").groupBy("page_id", "node_id", "property").agg(F.max_by("value", rank).alias("value"))
+
+
+def inherited(nodes: DataFrame, declared: DataFrame, properties: tuple[str, ...]) -> DataFrame:
+    """(page_id, node_id, property, value, own): declared values, and for `properties` the value of the nearest ancestor that declares one.
+
+    Pointer doubling: a node without a value points to its parent, then to where that points, so the rounds grow with the
+    logarithm of the depth.
+    """
+    asked = nodes.select("page_id", "node_id", F.col("parent_id").alias("up"), F.explode(F.array(*map(F.lit, properties))).alias("property"))
+    state = _kept(asked.join(declared, ["page_id", "node_id", "property"], "left").withColumn("own", F.col("value").isNotNull()))
+    while not state.where("value IS NULL AND up IS NOT NULL").isEmpty():
+        above = state.select("page_id", "property", F.col("node_id").alias("up"), F.col("value").alias("_value"), F.col("up").alias("_up"))
+        step = state.join(above, ["page_id", "property", "up"], "left")
+        open_ = F.col("value").isNull()
+        state = _kept(step.select("page_id", "node_id", F.when(open_ & F.col("_value").isNull(), F.col("_up")).alias("up"), "property", F.coalesce("value", "_value").alias("value"), "own"))
+    rest = declared.where(~F.col("property").isin(*properties)).withColumn("own", F.lit(True))
+    return state.where("value IS NOT NULL").select("page_id", "node_id", "property", "value", "own").unionByName(rest.select("page_id", "node_id", "property", "value", "own"))
