@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
+
+from codexlake.operators.graph import _kept
 
 #: Elements that never have content; elements whose text is not shown.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -158,31 +162,105 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
-def reanchor(marks: DataFrame, texts: DataFrame, mark_id: str, mark_text: str, text_id: str, text_col: str, head: int = 48, block: int = 12) -> DataFrame:
-    """(mark_id, status, text_id, at): the one place where a mark's first `head` characters, white space aside, occur.
+_BASE = 0x9E3779B97F4A7C15
+
+
+def window_hashes(text: str, size: int, step: int = 1) -> np.ndarray:
+    """A hash of each run of `size` code points that starts at a multiple of `step`; equal runs have equal ones."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    codes = (codes ^ (codes << np.uint64(21))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    out = np.zeros(-(-n // step), np.uint64)
+    for k in range(size):
+        out = out * np.uint64(_BASE) + codes[k : k + n : step]
+    return out ^ (out >> np.uint64(29))
+
 
-    Two occurrences or none leave a mark stranded. Of a head, the grams of `block` characters at its first `block` offsets
-    are filed; of a text, each gram that starts at a multiple of `block`. A head that occurs has one of its filed grams at
-    such a place, so heads and texts meet by equal grams and a sure place, which is then compared. Heads shorter than two
-    blocks have no sure gram and are compared with all texts.
+def _filed(heads: DataFrame, mark_id: str, block: int) -> DataFrame:
+    """(mark, head, size, off, gram): of a head of two blocks and more the grams of one block at the first offsets; of a shorter one itself."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, offs, grams = [], [], [], []
+            for k, head in enumerate(batch.column(1).to_pylist()):
+                long = len(head) >= 2 * block
+                found = window_hashes(head[: 2 * block - 1], block) if long else window_hashes(head, len(head))
+                rows += [k] * len(found)
+                sizes += [block if long else len(head)] * len(found)
+                offs += range(len(found))
+                grams.append(found)
+            taken = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(sizes, pa.int32()), pa.array(offs, pa.int32()), pa.array(np.concatenate([*grams, np.zeros(0, np.uint64)]).view(np.int64))], names=[*taken.schema.names, "size", "off", "gram"])
+
+    kinds = StructType([StructField("mark", heads.schema[mark_id].dataType), StructField("head", StringType()), StructField("size", IntegerType()), StructField("off", IntegerType()), StructField("gram", LongType())])
+    return heads.select(F.col(mark_id).alias("mark"), "head").mapInArrow(hashed, kinds)
+
+
+def reanchor(marks: DataFrame, texts: DataFrame, mark_id: str, mark_text: str, text_id: str, text_col: str, head: int = 48, block: int = 12, stored: tuple[str, str] | None = None, intact: int = 16, most_filed: int = 1 << 20) -> DataFrame:
+    """(mark_id, status, text_id, at): where a mark lies in texts that were rebuilt, white space aside.
+
+    stored: columns of marks with the text and the place (from 1, white space aside) where a mark was; if its first
+    `intact` characters are there still, it stays. Else the one place where its first `head` characters occur counts; two
+    occurrences or none leave it stranded (ambiguous, absent).
+
+    Of a head, the grams of `block` characters at its first `block` offsets are filed, of a short one the head itself; of a
+    text, the grams of one block that start at a multiple of it, and all grams of the short heads' lengths, as hashes: work
+    and rows grow with the text's length. Up to `most_filed` filed grams go to the workers, which hand on only what they
+    hold; beyond that all grams meet them in a join. What meets is compared with the text itself, which crosses once.
     """
-    heads = marks.select(mark_id, F.substring(bare(F.col(mark_text)), 1, head).alias("_head")).where("_head <> ''")
-    stripped = texts.select(text_id, bare(F.col(text_col)).alias("_bare"))
-    long = heads.where(F.length("_head") >= 2 * block)
-    offsets = F.sequence(F.lit(0), F.lit(block - 1))
-    filed = long.select(mark_id, "_head", F.explode(offsets).alias("_off")).withColumn("_gram", F.substring("_head", F.col("_off") + 1, F.lit(block)))
-    slots = F.sequence(F.lit(0), F.greatest(F.floor(F.length("_bare") / block) - 1, F.lit(0)).cast("int"))
-    placed = stripped.select(text_id, F.length("_bare").alias("_size"), "_bare", F.posexplode(F.transform(slots, lambda k: F.substring(F.col("_bare"), k * block + 1, F.lit(block)))).alias("_slot", "_gram"))
-    met = placed.join(filed, "_gram").withColumn("at", F.col("_slot") * block - F.col("_off") + 1)
-    hits = met.where((F.col("at") >= 1) & (F.substring("_bare", F.col("at"), F.length("_head")) == F.col("_head"))).select(mark_id, text_id, "at")
-    short = heads.where(F.length("_head") < 2 * block)
-    few = stripped.join(short, F.col("_bare").contains(F.col("_head")))
-    again = F.expr("locate(_head, _bare, locate(_head, _bare) + 1)")
-    hits = hits.unionByName(few.select(mark_id, text_id, F.explode(F.filter(F.array(F.expr("locate(_head, _bare)"), again), lambda x: x > 0)).alias("at")))
-    best = hits.groupBy(mark_id).agg(F.count("*").alias("n"), F.min(text_id).alias(text_id), F.min("at").alias("at"))
-    one = F.col("n") == 1
-    status = F.when(one, "found").when(F.col("n") > 1, "ambiguous").otherwise("absent")
-    return marks.select(mark_id).join(best, mark_id, "left").select(mark_id, status.alias("status"), F.when(one, F.col(text_id)).alias(text_id), F.when(one, F.col("at")).alias("at"))
+    own = marks.select(mark_id, F.substring(bare(F.col(mark_text)), 1, head).alias("head"), *(stored or ())).where("head <> ''")
+    stripped = texts.select(F.col(text_id).alias("text_id"), bare(F.col(text_col)).alias("bare"))
+    filed = _kept(_filed(own.select(mark_id, "head"), mark_id, block))
+    sizes = [r[0] for r in filed.select("size").distinct().collect()]  # at most two blocks of them
+    grams = None
+    if filed.count() <= most_filed:
+        grams = np.unique(np.array([r[0] for r in filed.select("gram").distinct().collect()], np.int64))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                for size in sizes if text else ():
+                    step = block if size == block else 1
+                    found = window_hashes(text, size, step).view(np.int64)
+                    at = np.arange(len(found)) if grams is None else np.flatnonzero(grams[np.minimum(np.searchsorted(grams, found), len(grams) - 1)] == found)
+                    if len(at):
+                        taken = batch.column(0).take(pa.array(np.full(len(at), k)))
+                        yield pa.RecordBatch.from_arrays([taken, pa.array(np.full(len(at), size), pa.int32()), pa.array(at * step), pa.array(found[at])], names=["text_id", "size", "at", "gram"])
+
+    id_type, mark_type = stripped.schema["text_id"].dataType, marks.schema[mark_id].dataType
+    placed = stripped.mapInArrow(scan, StructType([StructField("text_id", id_type), StructField("size", IntegerType()), StructField("at", LongType()), StructField("gram", LongType())]))
+    met = placed.join(filed, ["size", "gram"]).select("text_id", (F.col("at") - F.col("off")).alias("at"), "mark", "head").where("at >= 0").distinct().withColumn("kept", F.lit(False))
+    if stored:
+        there = own.where(F.col(stored[0]).isNotNull() & (F.col(stored[1]) >= 1)).select(F.col(stored[0]).cast(id_type).alias("text_id"), (F.col(stored[1]) - 1).cast("long").alias("at"), F.col(mark_id).alias("mark"), F.left("head", F.lit(intact)).alias("head"), F.lit(True).alias("kept"))
+        met = met.unionByName(there)
+    met = _kept(met)
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = met.withColumn("bare", none("string")).withColumn("side", F.lit(1))
+    held = stripped.join(met.select("text_id").distinct(), "text_id", "left_semi").select("text_id", none("bigint").alias("at"), none(mark_type).alias("mark"), none("string").alias("head"), none("boolean").alias("kept"), "bare", F.lit(0).alias("side"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, said = None, []  # the texts of one id at a time
+        for batch in batches:
+            ok = []
+            for k, (name, at, head, text, side) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 5, 6)), strict=True)):
+                if not side:
+                    said = [*said, text] if name == now and said else [text]
+                    now = name
+                elif name == now:
+                    ok += [k for text in said if text is not None and text.startswith(head, at)]
+            yield batch.select(["text_id", "at", "mark", "kept"]).take(pa.array(ok, pa.int64()))
+
+    both = held.unionByName(asked).repartition("text_id").sortWithinPartitions("text_id", "side")
+    hits = both.mapInArrow(compare, StructType([StructField("text_id", id_type), StructField("at", LongType()), StructField("mark", mark_type), StructField("kept", BooleanType())]))
+    at = F.struct("text_id", (F.col("at") + 1).alias("at"))
+    best = hits.groupBy("mark").agg(F.min(F.when(F.col("kept"), at)).alias("_kept"), F.count_if(~F.col("kept")).alias("_n"), F.min(F.when(~F.col("kept"), at)).alias("_one"))
+    n = F.coalesce("_n", F.lit(0))
+    status = F.when(F.col("_kept").isNotNull(), "intact").when(n == 1, "found").when(n > 1, "ambiguous").otherwise("absent")
+    place = F.when(F.col("_kept").isNotNull(), F.col("_kept")).when(n == 1, F.col("_one"))
+    out = marks.select(F.col(mark_id).alias("mark")).join(best, "mark", "left").select(F.col("mark").alias(mark_id), status.alias("status"), place.alias("_p"))
+    return out.select(mark_id, "status", F.col("_p.text_id").alias(text_id), F.col("_p.at").cast("int").alias("at"))
 
 
 def first_divergence(a: Column, b: Column) -> Column:

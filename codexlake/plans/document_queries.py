@@ -120,6 +120,21 @@ def reanchor_status(spark, sf_dir):
     return dc.reanchor(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
 
 
+@query(r"""
+WITH m AS (SELECT doc_id, left(regexp_replace(text, '\s+', '', 'g'), 48) AS head, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN 'New opening. ' || text ELSE text END, '\s+', '', 'g') AS b FROM documents WHERE length(regexp_replace(text, '\s+', '', 'g')) > 0),
+c AS (SELECT x.doc_id, y.doc_id AS into_id, strpos(y.b, x.head) AS "at", CASE WHEN strpos(substr(y.b, strpos(y.b, x.head) + 1), x.head) > 0 THEN 2 ELSE 1 END AS n FROM m x JOIN m y ON contains(y.b, x.head)),
+g AS (SELECT doc_id, sum(n) AS n, min((into_id, "at")) AS p FROM c GROUP BY 1)
+SELECT m.doc_id AS mark, CASE WHEN doc_id % 3 <> 0 THEN 'intact' WHEN n = 1 THEN 'found' WHEN n > 1 THEN 'ambiguous' ELSE 'absent' END AS status, CASE WHEN doc_id % 3 <> 0 THEN doc_id WHEN n = 1 THEN p[1] END AS doc_id, CASE WHEN doc_id % 3 <> 0 THEN 1 WHEN n = 1 THEN p[2] END AS "at"
+FROM m LEFT JOIN g USING (doc_id)
+""")
+def reanchor_rebuilt(spark, sf_dir):
+    """A mark at the opening of each document, after every third document was rebuilt with words before it."""
+    docs = read(spark, sf_dir, "documents").where(F.length(dc.bare(F.col("text"))) > 0)
+    rebuilt = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("New opening. "), "text")).otherwise(F.col("text")).alias("text"))
+    marks = docs.select(F.col("doc_id").alias("mark"), "text", F.col("doc_id").alias("was"), F.lit(1).alias("place"))
+    return dc.reanchor(marks, rebuilt, "mark", "text", "doc_id", "text", stored=("was", "place"))
+
+
 # -- sequences -------------------------------------------------------------------------------------------------------
 
 
