@@ -1,19 +1,20 @@
 """Chat formatting by tool-call linking.
 
 Calls and results meet by a hash join on (conversation, identifier); calls are ordered topologically over what they
-come after; arguments are checked against schemas; each linked call is serialised as canonical JSON (keys in order of
-their UTF-8, no blanks, numbers in shortest form).
+come after; arguments are checked against schemas; each linked call is serialised as canonical JSON: keys in Spark's
+order of variant keys, no blanks, numbers as Spark's to_json writes them.
 
 Scale: native columns, one grouping per side and one join; the row is a call, never a whole conversation, so a hot
 conversation is only many rows. Identifiers that occur again are brought together before the join, so no identifier
 pairs all with all. Levels come from pointer doubling while every call comes after one at most (rounds: the logarithm
-of the longest chain), else from rounds of the longest path; each round is written to the shared folder. Schemas are
-literals of the plan.
+of the longest chain), else from rounds that place what comes after placed calls only (rounds: the longest path and one
+more, cycles or not); each round is written to the shared folder. Schemas are literals of the plan.
 
 Defined cases: of repeated calls or results with one identifier the first by turn (then by content) counts and the
 number is told; a call without a result is `unanswered`, a result without a call is `orphan`; a call after unknown
 identifiers stands as if they were not named; calls on a cycle have no level; null or malformed arguments are invalid
-and serialised as null; a text that does not parse as a tool message is dialogue; a null identifier links to nothing; empty tables give no rows; further columns are left aside.
+and serialised as null; a text that does not parse as a tool message is dialogue; a null identifier links to nothing; a text of any length is one row
+of its scan; empty tables give no rows; further columns are left aside.
 """
 
 from __future__ import annotations
@@ -69,13 +70,17 @@ def levels(calls: DataFrame) -> DataFrame:
             at = written(at.join(to, ["conv_id", "ptr"], "left").select("conv_id", "call_id", F.col("next").alias("ptr"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "levels")
             rounds += 1
         return at.select("conv_id", "call_id", F.when(F.col("ptr").isNull(), F.col("level")).alias("level"))
-    at = written(ids.withColumn("level", F.lit(0).cast("long")), "levels")
-    moved = True
-    while moved and rounds <= limit:
-        up = edges.join(at.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"]).groupBy("conv_id", "call_id").agg((F.max("level") + 1).alias("up"))
-        new = written(at.join(up, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("up", F.lit(0).cast("long")).alias("level"), (F.coalesce("up", F.lit(0)) != F.col("level")).alias("moved")), "levels")
-        moved, at, rounds = bool(new.where("moved").limit(1).count()), new.drop("moved"), rounds + 1
-    return at if not moved else at.select("conv_id", "call_id", F.when(F.col("level") < rounds, F.col("level")).alias("level"))
+    # a call is placed in the round after the last call that it comes after; what is never placed is on a cycle or behind one
+    waiting = edges.select("conv_id", "call_id").distinct()
+    front = placed = written(ids.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
+    while not front.isEmpty():
+        done = front.select("conv_id", F.col("call_id").alias("dep"))
+        freed = edges.join(done, ["conv_id", "dep"], "left_semi").select("conv_id", "call_id").distinct()
+        edges = written(edges.join(done, ["conv_id", "dep"], "left_anti"), "call-edges")
+        rounds += 1
+        front = written(freed.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(rounds).cast("long")), "levels")
+        placed = placed.unionByName(front)
+    return ids.join(placed, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "level")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> DataFrame:

@@ -180,7 +180,7 @@ def _automaton(name: str, items: list[tuple[str, str]], window: int) -> ItemAuto
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
     """(item, text, block) of the benchmark, item ids as strings, dealt by hash to blocks of about block_bytes of text; and the number of blocks."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()  # an item that repeats is one item
     n = max(1, -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
     return (written(items, "benchmark") if n > 1 else items), n

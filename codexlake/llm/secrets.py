@@ -5,12 +5,15 @@ literal by the sensitive words of the name it reaches and by its own look. What
 at the literal, unless a base span already covers it.
 
 Scale: one pass, no shuffle, state of one document at a time; texts without any name that scores are not lexed. Defined
-cases: a null text is empty; a text of any length is read whole; an empty text has
-no spans; repeated rows are judged each by itself; further columns pass through, whatever their names.
+cases: a null text is empty; a text of any length is read whole, in time
+that grows with its length; a constant of over MOST_CARRIED characters is not carried to other
+names; an empty text has no spans; repeated rows are judged each by itself; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -32,7 +35,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
 #: Found in every text with a name that name_score gives anything, and in every text with a URL's user and password.
-_SENSITIVE_TEXT = re.compile(r"(?ai)pass[._-]*word|passwd|passphrase|pwd|secret|token|credential|auth|bearer|(?:api|access|private|signing)[._-]*key|://[^\s/@]*:[^\s/@]+@")
+_SENSITIVE_TEXT = re.compile(r"(?ai)pass[._-]*word|passwd|passphrase|pwd|secret|token|credential|auth|bearer|(?:api|access|private|signing)[._-]*key|://[^\s/@:]*:[^\s/@]+@")
 #: One of these is in whatever _SENSITIVE_TEXT finds; plain searches come first.
 _PARTS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key", "://")
 #: What the scan stops at: comments, strings, elements, flags, names. Signs inside words start no comment and no string.
@@ -41,7 +44,7 @@ _ITEM = re.compile(
     |(?P<string>(?:(?<!\w)[rRbBuUfF]{1,2})?(?:\"\"\"(?P<d3>[\s\S]*?)\"\"\"|(?:(?<!\w)|(?<=[rRbBuUfF]))\'\'\'(?P<s3>[\s\S]*?)\'\'\'|"(?P<d1>(?:[^"\\\n]|\\.)*)"|(?<![A-Za-z0-9])'(?P<s1>(?:[^'\\\n]|\\.)*)'|(?<!\w)[rRbBuUfF]{1,2}'(?P<p1>(?:[^'\\\n]|\\.)*)'|`(?P<b1>[^`]*)`))
     |<(?P<tag>[A-Za-z][\w.:-]*)(?:\s[^<>]*)?>(?P<body>[^<>\n]+)</(?P=tag)\s*>
     |(?<!\S)(?P<flag>--?[A-Za-z][\w-]*)(?P<gap>=|[ \t]+(?!-))
-    |(?P<url>[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@"'`]*:)(?P<pw>[^\s@/"'`<>{}$]+)@
+    |(?P<url>[A-Za-z][A-Za-z0-9+.-]{0,31}://[^\s:/@"'`]*:)(?P<pw>[^\s@/"'`<>{}$]+)@
     |(?P<scheme>\b[Bb]earer[ \t]+)(?P<bearer>[A-Za-z0-9._~+/-]{16,}=*)
     |(?P<name>\$?[A-Za-z_][\w]*(?:[.-]+[A-Za-z_0-9]\w*)*)""", re.VERBOSE,
 )
@@ -58,6 +61,9 @@ _PLUS = re.compile(rf"{_SPACE}\+{_SPACE}")
 _NEXT_STRING = re.compile(r"(?:[ \t]|\\\r?\n)*(?=[rRbBuUfF]{0,2}[\"'])")
 _NEXT_STRING_INSIDE = re.compile(rf"{_SPACE}(?=[rRbBuUfF]{{0,2}}[\"'])")
 _OPEN = re.compile(r"(?:[ \t]*\()*[ \t\r\n]*")
+_LEAD = re.compile(r"[ \t-]*")
+#: What names bring into one value is at most so many characters and literals; a constant beyond that stays with its own name.
+MOST_CARRIED = 1 << 14
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: What a word of a name adds; two words that only count together.
 _WORDS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.8, "secret": 0.8, "token": 0.7, "apikey": 0.9, "credential": 0.7, "credentials": 0.7, "auth": 0.5, "authorization": 0.8, "bearer": 0.8}
@@ -106,6 +112,7 @@ class Lexer:
 
     def __init__(self, text: str):
         self.text, self.known = text, {}
+        self.line_ends = [m.start() for m in re.finditer("\n", text)]
 
     def pairs(self, at: int = 0, end: int | None = None, depth: int = 0) -> Iterator[Pair]:
         text, end = self.text, len(self.text) if end is None else end
@@ -153,10 +160,9 @@ class Lexer:
 
     def _assigned(self, name: str, op: re.Match, end: int, depth: int) -> Iterator[Pair]:
         """The pair of an assignment; returns where it ends."""
-        line = self.text.rfind("\n", 0, op.start()) + 1
-        value, places, at, whole = self._value(op.end(), end, op["colon"] is not None, indent=len(self.text[line : op.start()]) - len(self.text[line : op.start()].lstrip(" \t-")))
+        value, places, at, whole = self._value(op.end(), end, op["colon"] is not None, key=op.start())
         if whole and places:
-            if not depth:
+            if not depth and len(value) + len(places) <= MOST_CARRIED:
                 self.known[name.strip("${}")] = value, places
             yield name, value, places
         # what a literal holds may be assignments too
@@ -165,25 +171,40 @@ class Lexer:
                 yield from self.pairs(s, e, depth + 1)
         return max(at, op.end())
 
+    def _indent(self, at: int) -> int:
+        """How many blanks and dashes stand before what the line of a place begins with."""
+        k = bisect.bisect_left(self.line_ends, at)
+        start = self.line_ends[k - 1] + 1 if k else 0
+        return _LEAD.match(self.text, start, at).end() - start
+
     def _trimmed(self, s: int, e: int) -> Place:
         said = self.text[s:e]
         return s + len(said) - len(said.lstrip()), e - (len(said) - len(said.rstrip()))
 
-    def _value(self, at: int, end: int, colon: bool, indent: int = 0, alone: bool = False) -> tuple[str, list[Place], int, bool]:
-        """(constant, places of its literals, end, whether all of it is constant) of an expression."""
+    def _value(self, at: int, end: int, colon: bool, key: int = 0, alone: bool = False) -> tuple[str, list[Place], int, bool]:
+        """(constant, places of its literals, end, whether all of it is constant) of an expression; key: where an assignment's sign begins."""
         text = self.text
         if colon and (m := _BLOCK.match(text, at, end)):
-            return self._block(m.end(), end, indent)
+            return self._block(m.end(), end, self._indent(key))
         m = _OPEN.match(text, at, end) if text[at : at + 1] == "(" else None
         inside, at = bool(m), m.end() if m else at
-        value, places, whole = "", [], True
+        said, places, whole, carried = [], [], True, 0
+
+        def add(value: str, more: list[Place], known: bool = False) -> None:
+            nonlocal carried
+            carried += known * (len(value) + len(more))
+            if carried <= MOST_CARRIED:
+                said.append(value)
+                places.extend(more)
+
         while at < end:
             m = _ITEM.match(text, at, end)
             if m and m["string"] is not None:
                 inner = next(g for g in _STRINGS if m[g] is not None)
                 s, e = m.span(inner)
                 scheme = _SCHEME.match(text, s, e)
-                value, places, at = value + self._filled(m[inner][scheme.end() - s if scheme else 0 :]), [*places, (scheme.end() if scheme else s, e)], m.end()
+                at = m.end()
+                add(self._filled(m[inner][scheme.end() - s if scheme else 0 :]), [(scheme.end() if scheme else s, e)])
                 near = (_NEXT_STRING_INSIDE if inside else _NEXT_STRING).match(text, at, end)
                 if near and (near.end() > at or inside) and not alone:
                     at = near.end()
@@ -191,14 +212,15 @@ class Lexer:
             elif m := _REF.match(text, at, end):
                 got, at = self.known.get(m["braced"] or m["ref"]), m.end()
                 if got:
-                    value, places = value + got[0], places + got[1]
+                    add(*got, True)
                 elif m["default"]:
-                    value, places = value + m["default"], [*places, m.span("default")]
+                    add(m["default"], [m.span("default")])
                 elif m["ref"] and text[m.start()] != "$" and not places:
                     if text[at : at + 1] == "+" and not text[at + 1 : at + 2].strip("\"'` \t\r\n") == "":
                         m = _BARE.match(text, m.start(), end)  # with a plus in it
                         at = m.end()
-                    value, places = m[0], [m.span()]  # a bare word of a configuration
+                    said.clear()
+                    add(m[0], [m.span()])  # a bare word of a configuration
                 else:
                     whole = False
             elif m := _BARE.match(text, at, end):
@@ -206,25 +228,36 @@ class Lexer:
                 if scheme:
                     at = scheme.end()
                     continue
-                head = m[0].split("//")[0]
+                head = m[0].split("//", 1)[0]
                 if head != m[0] and (got := self.known.get(head.lstrip("$"))):
-                    value, places, at = value + got[0], places + got[1], at + len(head)  # a name and a comment
+                    add(*got, True)  # a name and a comment
+                    at += len(head)
                 elif (hash_ := m[0].find("#")) > 0 and (got := self.known.get(m[0][:hash_])):
-                    value, places, at = value + got[0], places + got[1], at + hash_
+                    add(*got, True)
+                    at += hash_
                 elif text[m.end() : m.end() + 1] in ("(", "["):
-                    return value, places, m.end(), False  # a call: its arguments are read on their own
+                    return "".join(said), places, m.end(), False  # a call: its arguments are read on their own
                 else:
-                    value, places, at = value + m[0], [*places, m.span()], m.end()
+                    add(m[0], [m.span()])
+                    at = m.end()
             else:
-                return value, places, at, False
+                return "".join(said), places, at, False
             if alone or not (p := _PLUS.match(text, at, end)):
                 break
             at = p.end()
-        return value, places, at, whole
+        return "".join(said), places, at, whole and carried <= MOST_CARRIED
 
     def _filled(self, said: str) -> str:
         """A literal with the known names in braces put in."""
-        return re.sub(r"\$?\{([A-Za-z_][\w.]*)\}", lambda m: self.known[m[1]][0] if m[1] in self.known else m[0], said) if "{" in said else said
+        left = MOST_CARRIED
+
+        def put(m: re.Match) -> str:
+            nonlocal left
+            got = self.known.get(m[1])
+            left -= len(got[0]) if got else 0
+            return got[0] if got and left >= 0 else m[0]
+
+        return re.sub(r"\$?\{([A-Za-z_][\w.]*)\}", put, said) if "{" in said else said
 
     def _block(self, at: int, end: int, indent: int) -> tuple[str, list[Place], int, bool]:
         """A block scalar: the lines that stand further in than their key."""
@@ -258,7 +291,10 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int
             score = name_score(name)
             if score and score + literal_score(value) >= threshold and literal_score(value):
                 lexed.update(places)
-        found += [("lex", s, e) for s, e in lexed if not any(a <= s and e <= b for _, a, b in found)]
+        own = sorted((a, b) for _, a, b in found)
+        starts, reach = [a for a, _ in own], [*itertools.accumulate((b for _, b in own), max)]
+        # covered if any of those that begin no later reaches as far
+        found += [("lex", s, e) for s, e in lexed if not ((k := bisect.bisect_right(starts, s)) and reach[k - 1] >= e)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

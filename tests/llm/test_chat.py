@@ -1,6 +1,7 @@
 import json
 
 import duckdb
+from pyspark.sql import functions as F
 
 from codexlake.llm import chat as C
 
@@ -70,3 +71,20 @@ def test_talk_of_tool_calls_is_dialogue(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(rel.fetchall(), key=str)
     tools = [(2, 1, "assistant", said), (2, 2, "tool", json.dumps({"tool_call_id": "a", "content": "3"}))]
     assert [(r.call_id, r.status) for r in C.digest(spark.createDataFrame(tools, schema)).collect()] == [("a", "linked")]
+
+
+def test_levels_by_frontier(spark):
+    """Branching calls beside a cycle: rounds follow the depth, not the number of edges; what a cycle leads to has no level."""
+    import os
+
+    from codexlake.llm.common import shared_dir
+
+    calls = [("c", f"x{k}", [f"x{k // 2}", f"x{k // 3}"] if k else []) for k in range(500)] + [("c", "p", ["q", "x3"]), ("c", "q", ["p"]), ("c", "r", ["q"]), ("d", "p", ["gone", "p2"]), ("d", "p2", None)]
+    df = spark.createDataFrame([(c, i, a) for c, i, a in calls], "conv_id string, call_id string, after array<string>").withColumn("after", F.coalesce("after", F.array().cast("array<string>")))
+    before = len(os.listdir(shared_dir(spark).removeprefix("file:")))
+    got = {(r.conv_id, r.call_id): r.level for r in C.levels(df).collect()}
+    depth = {0: 0}
+    for k in range(1, 500):
+        depth[k] = 1 + max(depth[k // 2], depth[k // 3])
+    assert got == {("c", f"x{k}"): depth[k] for k in range(500)} | {("c", "p"): None, ("c", "q"): None, ("c", "r"): None, ("d", "p"): 1, ("d", "p2"): 0}
+    assert len(os.listdir(shared_dir(spark).removeprefix("file:"))) - before <= 2 * (max(depth.values()) + 3)

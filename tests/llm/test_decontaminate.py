@@ -65,3 +65,9 @@ def test_long_text(spark):
     for block in (1 << 20, 40):
         r = D.find_contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), b, block_bytes=block).first()
         assert (r.n_words, [tuple(x) for x in r.hit_spans], r.hit_items) == (200_011, [(200_000, 200_011)], ["1"])
+
+
+def test_an_item_that_repeats_is_one_item(spark):
+    items = spark.createDataFrame([("a", "one two three four five six seven eight nine ten")] * 3000 + [("b", "x y")], "item_id string, text string")
+    rows, n = D._items(items, "item_id", "text", 200)
+    assert n == 1 and rows.count() == 2

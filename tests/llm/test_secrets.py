@@ -4,6 +4,9 @@ import hashlib
 import json
 import random
 import re
+import time
+
+import pytest
 
 from codexlake.llm import secrets as S
 
@@ -117,3 +120,17 @@ def test_against_json_and_ini():
         parser = configparser.ConfigParser()
         parser.read_string(ini)
         assert dict((n, v) for n, v, _ in S.pairs(ini) if n in plain) == dict(parser["main"]), ini
+
+
+@pytest.mark.parametrize("text", ["token = abc\n" + "a+" * 400_000, "{" + ",".join(f'"token{k}": "abcD3fgh{k}"' for k in range(20_000)) + "}", "secret = " + " + ".join(['"a"'] * 100_000), 'a0 = "xy"\n' + "\n".join(f"a{k + 1} = a{k} + a{k}" for k in range(60)) + "\ntoken = a60", "token ://" + ":" * 400_000, "token = '" + "'" * 200_000])
+def test_time_grows_with_the_length(text):
+    began = time.process_time()
+    S.spans(text)
+    assert time.process_time() - began < 20
+
+
+def test_long_constants_are_not_carried():
+    assert [k for k, *_ in S.spans("password_x = 'Zq8' + 'r7Lm2'")] == ["lex", "lex"]
+    long = "Zq8r7Lm2" * S.MOST_CARRIED
+    assert S.spans(f"a = '{long}'\nsecret_key = a") == [] and S.spans(f"secret_key = '{long}'") == [("lex", 14, 14 + len(long))]
+    assert [k for k, *_ in S.spans("    - pass_word: |\n        Zq8r7Lm2\n      other: 1")] == ["lex"]
