@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Spelt-out forms of Latin letters in search keys.
 LATIN_EXPANSIONS = {"ä": "ae", "ö": "oe", "ø": "oe", "œ": "oe", "ü": "ue", "ß": "ss", "æ": "ae"}
@@ -21,6 +24,16 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), "[^a-z0-9]", "")
 
 
+@F.arrow_udf(StringType())
+def _decomposed(texts: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(texts, form="NFKD")
+
+
+def fold_any(text: Column) -> Column:
+    """text in lower case without the marks of any script: compatibility decomposition in Arrow batches, the rest in the JVM."""
+    return F.lower(F.regexp_replace(_decomposed(text), r"\p{Mn}+", ""))
+
+
 def expand_latin(text: Column) -> Column:
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), LATIN_EXPANSIONS.items(), F.lower(text))
 

@@ -135,6 +135,13 @@ def reanchor_rebuilt(spark, sf_dir):
     return dc.reanchor(marks, rebuilt, "mark", "text", "doc_id", "text", stored=("was", "place"))
 
 
+@query("SELECT doc_id, md5(lower(strip_accents(text))) AS folded, length(strip_accents(text)) AS n FROM documents")
+def folded_documents(spark, sf_dir):
+    """Whole texts without marks."""
+    folded = read(spark, sf_dir, "documents").select("doc_id", fn.fold_any(F.col("text")).alias("folded"))
+    return folded.select("doc_id", F.md5(F.col("folded").cast("binary")).alias("folded"), F.length("folded").cast("long").alias("n"))
+
+
 # -- sequences -------------------------------------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codexlake.plans.registry import query, read
 from codexlake.streaming import sync
+from codexlake.streaming import throttle as th
 
 
 def _folder(spark: SparkSession) -> str:
@@ -56,3 +57,37 @@ def pulse_dedup(spark, sf_dir):
     running = sync.distinct_pulses(rows, "at", "user_id").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{at}/out")
+
+
+#: What a user's progress says when it is told only after a hundredth more than last time.
+TOLD = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, value / 1000 AS fraction, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT user_id, event_id, fraction, rn, fraction >= 1 OR fraction >= -0.99 AS told, CASE WHEN fraction >= 1 OR fraction >= -0.99 THEN fraction ELSE -1.0 END AS last FROM e WHERE rn = 1
+UNION ALL SELECT e.user_id, e.event_id, e.fraction, e.rn, e.fraction >= 1 OR e.fraction >= w.last + 0.01, CASE WHEN e.fraction >= 1 OR e.fraction >= w.last + 0.01 THEN e.fraction ELSE w.last END FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+SELECT user_id, event_id, fraction FROM w WHERE told
+"""
+
+
+def _fractions(events: DataFrame) -> DataFrame:
+    return events.select("user_id", "ts", "event_id", (F.col("value") / 1000).alias("fraction"))
+
+
+@query(TOLD)
+def progress_told(spark, sf_dir):
+    """The batch's fold."""
+    return th.throttled(_fractions(read(spark, sf_dir, "events")), "user_id", "fraction", ["ts", "event_id"]).select("user_id", "event_id", "fraction")
+
+
+@query(TOLD)
+def stream_progress_told(spark, sf_dir):
+    """The same as a stream, with the last value told of each user as state."""
+    at, name = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = th.throttled_stream(_fractions(_stream(spark, sf_dir)), "user_id", "fraction", ["ts", "event_id"])
+        running = rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+    return spark.read.schema(rows.schema).parquet(f"{at}/out").select("user_id", "event_id", "fraction")

@@ -10,6 +10,7 @@ from codexlake.operators import rewrite as rw
 from codexlake.operators import sections as se
 from codexlake.operators import sequence as sq
 from codexlake.operators import trees as tr
+from codexlake.operators import volumes as vo
 from codexlake.plans.document_queries import NODES
 from codexlake.plans.registry import query, read
 
@@ -165,3 +166,61 @@ def note_attachments(spark, sf_dir):
     spans = rows.select((F.col("l_orderkey") % 40).alias("book"), "id", (F.col("l_partkey") % 500).alias("es"), (F.col("l_suppkey") % 90).alias("os"), F.expr("CASE WHEN l_returnflag <> 'N' THEN l_partkey % 500 + CAST(l_quantity AS BIGINT) % 7 * (l_linenumber - 1) END").alias("ee"), F.expr("CASE WHEN l_linestatus = 'O' THEN l_suppkey % 90 + l_linenumber * 3 END").alias("oe"))
     notes = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("note"), (F.col("o_orderkey") % 40).alias("book"), (F.col("o_custkey") % 500).alias("es"), (F.col("o_orderkey") % 97).alias("os"), F.lit(None).cast("long").alias("ee"), F.lit(None).cast("long").alias("oe"))
     return sq.tightest_span(notes, spans, "book", "note", "id").withColumnRenamed("id", "highlight")
+
+
+# -- collections and reading orders ----------------------------------------------------------------------------------
+
+#: Users as collections: events are documents; an opening needs two of three kinds of evidence.
+COLLECTION = """WITH d AS (SELECT user_id AS book, event_id AS ord, 'd' || event_id AS path, (event_type = 'signup')::INTEGER + (value > 50)::INTEGER + (event_id % 4 = 0)::INTEGER >= 2 AS opens FROM events),
+v AS (SELECT book, ord, path, CASE WHEN sum(opens::INTEGER) OVER (PARTITION BY book) < 2 THEN 1 ELSE greatest(sum(opens::INTEGER) OVER (PARTITION BY book ORDER BY ord), 1) END::BIGINT AS volume FROM d)"""
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Documents with their volumes, references among documents, sheets, fonts and images, and the files that there are."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("book"), F.col("event_id").alias("ord"), "event_type", "value")
+    kinds = {"label": F.col("event_type") == "signup", "rights": F.col("value") > 50, "contents": F.col("ord") % 4 == 0}
+    evidence = e.select("book", "ord", F.explode(F.array_compact(F.array(*(F.when(c, k) for k, c in kinds.items())))).alias("kind"))
+    documents = vo.voted_cuts(e.select("book", "ord", F.concat(F.lit("d"), "ord").alias("path")), evidence, "book", "ord")
+    books = e.select("book").distinct()
+    name = lambda letter, n: F.concat(F.lit(letter), n)
+    n = books.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    own = e.select("book", name("d", F.col("ord")).alias("src"), F.explode(F.array(name("r", F.col("ord") % 40), name("d", F.col("ord") + 7))).alias("dst"))
+    more = n.where("n % 3 <> 0").select("book", name("r", F.col("n")).alias("src"), name("r", (F.col("n") * 3 + 1) % 47).alias("dst"))
+    files = n.select("book", name("r", F.col("n")).alias("path")).unionByName(documents.select("book", "path"))
+    return documents, own.unionByName(more), files
+
+
+@query(COLLECTION + """, g AS (SELECT DISTINCT book, volume, 'r' || (ord % 40) AS path FROM v), e AS (SELECT 'r' || n AS src, 'r' || ((n * 3 + 1) % 47) AS dst FROM range(40) t(n) WHERE n % 3 <> 0 AND (n * 3 + 1) % 47 < 40),
+c AS (WITH RECURSIVE w AS (SELECT book, volume, path FROM g UNION SELECT w.book, w.volume, e.dst FROM w JOIN e ON e.src = w.path) SELECT * FROM w),
+m AS (SELECT book, path, count(*) > 1 AS many FROM c GROUP BY 1, 2), u AS (SELECT c.book, c.volume, count(*) AS resources, count(*) FILTER (many) AS shared FROM c JOIN m USING (book, path) GROUP BY 1, 2)
+SELECT v.book, v.volume, min(ord) AS first, max(ord) AS last, count(*) AS documents, max(resources) AS resources, max(shared) AS shared FROM v JOIN u ON u.book = v.book AND u.volume = v.volume GROUP BY 1, 2""")
+def volume_closure(spark, sf_dir):
+    """Volumes of the collections, with what their documents reach through sheets and fonts."""
+    return vo.volume_resources(*_collection(spark, sf_dir), "book", "ord")
+
+
+#: Conversations as books: turns are a spine, the navigation names two of three of them by their text.
+SPINE = """WITH d AS (SELECT conv_id AS book, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, text, 'f' || right('0' || ((turn * 7) % 10), 2) AS file FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY CASE WHEN book % 4 = 0 THEN '' ELSE left(text, 3) END, turn) AS place FROM d WHERE turn % 3 <> 1)"""
+
+
+def _spine(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("at"), "text", F.concat(F.lit("d"), F.col("turn")).alias("id"))
+    docs = c.withColumn("file", F.concat(F.lit("f"), F.lpad((F.col("at") * 7 % 10).cast("string"), 2, "0")))
+    key = F.when(F.col("book") % 4 == 0, "").otherwise(F.left("text", F.lit(3)))
+    named = c.where("at % 3 <> 1").select("book", F.row_number().over(Window.partitionBy("book").orderBy(key, "at")).alias("place"), "id", F.left("text", F.lit(5)).alias("label"))
+    return docs, named
+
+
+@query(SPINE + """, a AS (SELECT d.book, d.turn, d.pos, last_value(n.place IGNORE NULLS) OVER (PARTITION BY d.book ORDER BY d.pos ROWS UNBOUNDED PRECEDING) AS anchor FROM d LEFT JOIN n USING (book, turn))
+SELECT book, 'd' || turn AS id, pos::INTEGER AS "at", (row_number() OVER (PARTITION BY book ORDER BY anchor NULLS FIRST, pos) - 1)::INTEGER AS proposed FROM a""")
+def spine_order(spark, sf_dir):
+    return vo.repaired_order(*_spine(spark, sf_dir), "book")
+
+
+@query(SPINE + """, a AS (SELECT d.*, last_value(n.place IGNORE NULLS) OVER (PARTITION BY d.book ORDER BY d.pos ROWS UNBOUNDED PRECEDING) AS anchor, 'd' || d.turn AS id FROM d LEFT JOIN n USING (book, turn)),
+p AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY anchor NULLS FIRST, pos) - 1 AS proposed, id < lag(id) OVER (PARTITION BY book ORDER BY pos) AS i, file < lag(file) OVER (PARTITION BY book ORDER BY pos) AS f FROM a),
+x AS (SELECT book, place, left(text, 5) AS label, lead(pos) OVER (PARTITION BY book ORDER BY place) < pos AS fell FROM n), y AS (SELECT book, count(*) FILTER (fell) AS descents, arg_min(label, place) FILTER (fell) AS said FROM x GROUP BY 1)
+SELECT p.book, coalesce(max(descents), 0) AS descents, CASE WHEN max(descents) > 0 THEN count(*) FILTER (pos <> proposed) ELSE 0 END AS moved, count(*) >= 3 AND (NOT bool_or(coalesce(i, false)) OR NOT bool_or(coalesce(f, false))) AS machine_sorted, max(said) AS first_out_of_order FROM p LEFT JOIN y ON y.book = p.book GROUP BY p.book""")
+def spine_misordering(spark, sf_dir):
+    return vo.misordering(*_spine(spark, sf_dir), "book")
