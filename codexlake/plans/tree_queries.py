@@ -13,6 +13,8 @@ from codexlake.operators import trees as tr
 from codexlake.operators import volumes as vo
 from codexlake.plans.document_queries import NODES
 from codexlake.plans.registry import query, read
+from codexlake.plans.stream_queries import _folder as shared_folder
+from codexlake.sources import archives as ar
 
 #: Line items in one order per order: the children of a tree's root.
 LINES = "WITH l AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_returnflag AS flag, l_linestatus AS status, l_quantity AS q FROM lineitem)"
@@ -224,3 +226,16 @@ x AS (SELECT book, place, left(text, 5) AS label, lead(pos) OVER (PARTITION BY b
 SELECT p.book, coalesce(max(descents), 0) AS descents, CASE WHEN max(descents) > 0 THEN count(*) FILTER (pos <> proposed) ELSE 0 END AS moved, count(*) >= 3 AND (NOT bool_or(coalesce(i, false)) OR NOT bool_or(coalesce(f, false))) AS machine_sorted, max(said) AS first_out_of_order FROM p LEFT JOIN y ON y.book = p.book GROUP BY p.book""")
 def spine_misordering(spark, sf_dir):
     return vo.misordering(*_spine(spark, sf_dir), "book")
+
+
+# -- e-books ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id % 40 || '.epub' AS archive, (row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id))::INTEGER AS spine, 'OEBPS/c' || lpad(page_id::VARCHAR, 8, '0') || '.xhtml' AS path, md5(html) AS html FROM pages")
+def books_written_and_read(spark, sf_dir):
+    """Pages as e-books in the shared folder, and their chapters read back from the archives in reading order."""
+    pages = read(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("book"), "page_id", "html", "url")
+    at = f"{shared_folder(spark)}/books"
+    ar.write_archives(ar.book_members(pages, "book", "page_id", "html", "url"), at)
+    found = ar.chapters(spark, at, glob="*.epub")
+    return found.select("archive", (F.col("spine") + 1).alias("spine"), "path", F.md5(F.col("html").cast("binary")).alias("html"))
