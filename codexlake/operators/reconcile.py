@@ -109,7 +109,13 @@ def edit_tags(tags: Column, add: Column, remove: Column) -> Column:
     return F.array_except(F.array_union(tags, add), remove)
 
 
-def first_owner(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """rows with kept (the first of a key) and owner (its row's place), so that later ones are told as conflicts."""
+def first_owner(rows: DataFrame, key: str, order: Sequence[Column], name: str) -> DataFrame:
+    """rows with owner (the name of the first row of their key) and kept (whether that is they), so that all others are told as conflicts with it; a null key has no owner."""
     w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("kept", F.row_number().over(w) == 1)
+    known = F.col(key).isNotNull()
+    return rows.withColumn("owner", F.when(known, F.first(name).over(w))).withColumn("kept", ~known | (F.row_number().over(w) == 1))
+
+
+def conflicts(owned: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, owner, name): a row for each row of first_owner() that another one came before."""
+    return owned.where("NOT kept").select(key, "owner", name)

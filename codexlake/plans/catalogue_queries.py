@@ -290,9 +290,14 @@ def type_count_diff(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count_if(~odd).alias("n_a"), F.count_if(odd).alias("n_b"), zero(F.sum(F.when(~odd, size))).alias("bytes_a"), zero(F.sum(F.when(odd, size))).alias("bytes_b"))
 
 
-@query("SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) = 1 AS kept FROM part")
+@query("SELECT p_partkey, p_brand, first_value(p_partkey) OVER w AS owner, row_number() OVER w = 1 AS kept FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey)")
 def first_owner(spark, sf_dir):
-    return rc.first_owner(read(spark, sf_dir, "part"), "p_brand", [F.col("p_size").desc(), F.col("p_partkey")]).select("p_partkey", "p_brand", "kept")
+    return rc.first_owner(read(spark, sf_dir, "part"), "p_brand", [F.col("p_size").desc(), F.col("p_partkey")], "p_partkey").select("p_partkey", "p_brand", "owner", "kept")
+
+
+@query("SELECT p_type, owner, p_partkey FROM (SELECT p_type, p_partkey, first_value(p_partkey) OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS owner FROM part) WHERE owner <> p_partkey")
+def owner_conflicts(spark, sf_dir):
+    return rc.conflicts(rc.first_owner(read(spark, sf_dir, "part"), "p_type", [F.col("p_retailprice"), F.col("p_partkey")], "p_partkey"), "p_type", "p_partkey")
 
 
 @query("""

@@ -15,8 +15,10 @@ def sniff(content: Column, path: Column) -> Column:
     out = None
     for magic, kind in MAGIC:
         out = F.when(head.startswith(magic), kind) if out is None else out.when(head.startswith(magic), kind)
+    # what such a container holds is told by its second word
+    webp = head.startswith("52494646") & (F.hex(F.substring(content, 9, 4)) == "57454250")
     mobi = F.decode(F.substring(content, 61, 8), "ISO-8859-1") == "BOOKMOBI"
-    return out.when(mobi, "mobi").otherwise(F.coalesce(F.nullif(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)), F.lit("")), F.lit("unknown")))
+    return F.when(webp, "webp").otherwise(out.when(mobi, "mobi").otherwise(F.coalesce(F.nullif(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)), F.lit("")), F.lit("unknown"))))
 
 
 def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
