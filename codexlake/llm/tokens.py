@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import struct
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -118,8 +119,8 @@ class WordEncoder:
     Right for tokenizers that split at white space and between letters and other signs before their model runs, ignore
     case and normalise characters one by one, so that no id spans two words; the tests hold it against the tokenizer's
     own encoding of whole texts. New words are taken apart into stem and closing signs where the stem ends in a letter or
-    digit (else the signs belong to the stem's own run of signs), and stems of letters alone are encoded many at a time,
-    told apart by the mark that the vocabulary puts on a word's last id.
+    digit (else the signs belong to the stem's own run of signs). Stems of a-z alone go to the merges straight; stems of other
+    letters are encoded many at a time, told apart by the mark that the vocabulary puts on a word's last id.
     """
 
     def __init__(self, path: str, end_id: int, most_words: int = 1 << 19):
@@ -130,6 +131,9 @@ class WordEncoder:
         vocabulary = self.model.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        # words of a-z go to the vocabulary's merges straight, where normaliser and splitter leave such words as they are
+        probe, normalizer, splitter = "abcdefghijklmnopqrstuvwxyz", self.model.normalizer, self.model.pre_tokenizer
+        self.plain = (not normalizer or normalizer.normalize_str(probe) == probe) and (not splitter or [w for w, _ in splitter.pre_tokenize_str(probe)] == [probe])
         self.forget()
 
     def forget(self) -> None:
@@ -151,6 +155,15 @@ class WordEncoder:
 
     def _encode_new(self, parts: list[bytes]) -> None:
         """Enters the parts into ids_of."""
+        if self.plain:
+            merge, rest, pack = self.model.model.tokenize, [], struct.pack
+            for p in parts:
+                if p.isalpha() and p.islower():  # a-z alone
+                    ids = [t.id for t in merge(p.decode())]
+                    self.ids_of[p] = pack(f"<{len(ids)}I", *ids)
+                else:
+                    rest.append(p)
+            parts = rest
         letters = [(p, t) for p in parts if (t := p.decode()).isalpha()]
         others = [p for p in parts if not p.decode().isalpha()]
         for i in range(0, len(letters), 1000):
@@ -195,18 +208,21 @@ class WordEncoder:
         """All ids, each text's end id included, and the count of ids of each text."""
         if len(self.codes) > self.most:
             self._clear()
-        codes: list[int] = []
+        codes, end, n = [], np.zeros(1, np.int64), 0
         ends = np.empty(len(texts), np.int64)
         code = self.codes.__getitem__
         for i, text in enumerate(texts):
             if text:
-                codes += map(code, text.encode().split())
-            codes.append(0)
-            ends[i] = len(codes)
+                own = text.encode().split()
+                codes.append(np.fromiter(map(code, own), np.int64, len(own)))
+                n += len(own)
+            codes.append(end)
+            n += 1
+            ends[i] = n
         if self.codes.new:
             self._learn(self.codes.new)
             self.codes.new = []
-        at = np.array(codes, np.int64)
+        at = np.concatenate([np.zeros(0, np.int64), *codes])
         sizes = self.sizes[at]
         before = np.cumsum(sizes)
         ids = self.pool[np.repeat(self.starts[at] - before + sizes, sizes) + np.arange(int(before[-1]) if len(at) else 0)]
