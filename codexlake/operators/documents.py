@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
@@ -263,6 +264,22 @@ def reanchor(marks: DataFrame, texts: DataFrame, mark_id: str, mark_text: str, t
     return out.select(mark_id, "status", F.col("_p.text_id").alias(text_id), F.col("_p.at").cast("int").alias("at"))
 
 
+def char_counts(texts: DataFrame, by: str, text_col: str) -> DataFrame:
+    """(by, ch, n): how often each character but blanks, tabs and line ends occurs. Counted batch by batch, so that a row of a few hundred characters, not of one, goes on to the sum."""
+    plain = texts.select(by, F.regexp_replace(text_col, r"[ \t\n\r]+", "").alias("_text")).where("_text <> ''")
+    kind = plain.schema[by].dataType
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in batch.column(0).unique().to_pylist():
+                mine = pc.fill_null(pc.equal(batch.column(0), group), False) if group is not None else pc.is_null(batch.column(0))
+                codes, n = np.unique(np.frombuffer("".join(batch.column(1).filter(mine).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(codes), batch.schema.types[0]), pa.array([chr(c) for c in codes.tolist()]), pa.array(n)], names=[by, "ch", "n"])
+
+    counted = plain.mapInArrow(count, StructType([StructField(by, kind), StructField("ch", StringType()), StructField("n", LongType())]))
+    return counted.groupBy(by, "ch").agg(F.sum("n").alias("n"))
+
+
 def first_divergence(a: Column, b: Column) -> Column:
     """The first place (from 1) where two texts differ, white space aside; null if they don't. The common part is halved, so a text is compared a logarithm of its length times."""
     let = lambda values, body: F.element_at(F.transform(F.array(F.struct(*values)), body), 1)

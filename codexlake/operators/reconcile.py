@@ -45,10 +45,16 @@ def bag_diff(a: DataFrame, b: DataFrame, key: str, value: str, order: str) -> Da
     return sides.select(key, F.inline(rows)).where("n > 0")
 
 
-def multiset_diff(a: DataFrame, b: DataFrame, item: str) -> DataFrame:
-    """(item, n_a, n_b, lost, gained) of two bags of items."""
-    side = lambda d, own: d.select(item, F.lit(own).alias("_a"), F.lit(1 - own).alias("_b"))
+def multiset_diff(a: DataFrame, b: DataFrame, item: str, count: str | None = None) -> DataFrame:
+    """(item, n_a, n_b, lost, gained) of two bags of items; count: a column with how often a row's item occurs, if rows are sums already."""
+    n = F.col(count) if count else F.lit(1)
+    side = lambda d, own: d.select(item, (n * own).alias("_a"), (n * (1 - own)).alias("_b"))
     both = side(a, 1).unionByName(side(b, 0)).groupBy(item).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))  # one grouping; nulls meet
+    return bag_losses(both)
+
+
+def bag_losses(both: DataFrame) -> DataFrame:
+    """Rows with n_a and n_b, and what the second bag lost and gained."""
     return both.select("*", F.greatest(F.col("n_a") - F.col("n_b"), F.lit(0)).alias("lost"), F.greatest(F.col("n_b") - F.col("n_a"), F.lit(0)).alias("gained"))
 
 

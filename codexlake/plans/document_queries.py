@@ -32,8 +32,7 @@ nodes AS (SELECT w.page_id, w.n - 1 AS node_id, w.anc, w.tag, w.class, coalesce(
 
 @query(r"SELECT lang, ch, count(*) AS n FROM (SELECT lang, unnest(string_split(regexp_replace(text, '[ \t\n\r]+', '', 'g'), '')) AS ch FROM documents) GROUP BY ALL")
 def char_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = F.split(F.regexp_replace("text", r"[ \t\n\r]+", ""), "")
-    return read(spark, sf_dir, "documents").select("lang", F.explode(chars).alias("ch")).where("ch <> ''").groupBy("lang", "ch").agg(F.count("*").alias("n"))
+    return dc.char_counts(read(spark, sf_dir, "documents"), "lang", "text")
 
 
 @query(r"""
@@ -41,8 +40,10 @@ WITH c AS (SELECT doc_id % 2 AS side, unnest(string_split(regexp_replace(text, '
 SELECT ch, n_a, n_b, greatest(n_a - n_b, 0) AS lost, greatest(n_b - n_a, 0) AS gained FROM n
 """)
 def char_multiset_diff(spark, sf_dir):
-    chars = read(spark, sf_dir, "documents").select((F.col("doc_id") % 2).alias("side"), F.explode(F.split(F.regexp_replace("text", r"[ \t\n\r]+", ""), "")).alias("ch")).where("ch <> ''")
-    return rc.multiset_diff(chars.where("side = 0"), chars.where("side = 1"), "ch")
+    counted = dc.char_counts(read(spark, sf_dir, "documents").select((F.col("doc_id") % 2).alias("side"), "text"), "side", "text")
+    # one scan: the sides are columns of one grouping
+    n = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
+    return rc.bag_losses(counted.groupBy("ch").agg(n(0).alias("n_a"), n(1).alias("n_b")))
 
 
 @query("""
