@@ -97,3 +97,16 @@ def reciprocal(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Edges (a, b), a below b, that run both ways: how note references are told."""
     x = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
     return x.where("a < b").join(x.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
+
+
+def note_pairs(links: DataFrame, book: str) -> DataFrame:
+    """(book, reference, note, kind) of links (book, src, dst, at) between anchors that point to one another.
+
+    at is the place of src in reading order: what comes first is the reference. Where both stand at one place the order
+    tells nothing, and kind is `unordered`, the lesser anchor first; where the way back is told at several places, the
+    first counts. Links of an anchor to itself are no pair.
+    """
+    ends = links.where("src <> dst").groupBy(book, "src", "dst").agg(F.min("at").alias("at"))
+    back = ends.select(book, F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("at").alias("_back"))
+    both = ends.join(back, [book, "src", "dst"]).where((F.col("at") < F.col("_back")) | ((F.col("at") == F.col("_back")) & (F.col("src") < F.col("dst"))))
+    return both.select(book, F.col("src").alias("reference"), F.col("dst").alias("note"), F.when(F.col("at") == F.col("_back"), "unordered").otherwise("ordered").alias("kind"))

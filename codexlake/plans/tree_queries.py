@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codexlake.operators import documents as dc
+from codexlake.operators import graph as gr
 from codexlake.operators import rewrite as rw
 from codexlake.operators import sections as se
 from codexlake.operators import sequence as sq
@@ -228,6 +229,16 @@ def spine_misordering(spark, sf_dir):
     return vo.misordering(*_spine(spark, sf_dir), "book")
 
 
+@query("""
+WITH l AS (SELECT l_suppkey % 50 AS book, l_partkey % 90 AS src, (l_orderkey * 7 + l_linenumber) % 90 AS dst, l_quantity::BIGINT AS pos FROM lineitem), e AS (SELECT book, src, dst, min(pos) AS pos FROM l WHERE src <> dst GROUP BY 1, 2, 3)
+SELECT x.book, x.src AS reference, x.dst AS note, CASE WHEN x.pos = y.pos THEN 'unordered' ELSE 'ordered' END AS kind FROM e x JOIN e y ON x.book = y.book AND x.src = y.dst AND x.dst = y.src WHERE x.pos < y.pos OR (x.pos = y.pos AND x.src < x.dst)
+""")
+def note_references(spark, sf_dir):
+    """Anchors that point to one another, told apart as reference and note by their order."""
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("book"), (F.col("l_partkey") % 90).alias("src"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 90).alias("dst"), F.col("l_quantity").cast("long").alias("at"))
+    return gr.note_pairs(rows, "book")
+
+
 # -- e-books ---------------------------------------------------------------------------------------------------------
 
 

@@ -34,3 +34,10 @@ def test_dense_and_random(spark):
         assert {x.node for x in G.on_cycles(df).collect()} == {a for a in want if a in want[a]}
         both = _closure([*edges, *((b, a) for a, b in edges)])
         assert {x.node: x.least for x in G.equivalence_classes(df, "src", "dst").collect()} == {a: min(v) for a, v in both.items()}
+
+
+def test_note_pairs(spark):
+    links = [(1, "r", "n", 5), (1, "n", "r", 90), (1, "n", "r", 3000), (1, "x", "y", 2), (1, "s", "s", 1), (1, "b", "a", 4), (1, "a", "b", 4), (2, "n", "r", 1), (2, "r", "n", 2), (3, None, "q", 1), (3, "q", None, 2)]
+    df = spark.createDataFrame(links, "book int, src string, dst string, at int")
+    assert sorted(map(tuple, G.note_pairs(df, "book").collect())) == [(1, "a", "b", "unordered"), (1, "r", "n", "ordered"), (2, "n", "r", "ordered")]
+    assert G.note_pairs(df.limit(0), "book").count() == 0
