@@ -10,7 +10,9 @@ proven bound and are broadcast. Slots come from counts of cells of about `cell_r
 neither a hot group nor a shard is ever gathered in one task.
 
 Defined cases: a null text has no bytes and is a group of its own; equal rows share size, checksum and shard and get
-slots of their own; with fewer groups than shards some shards stay empty; an empty table gives no rows.
+slots of their own; a text of any length is one row's size and digest, and one that outgrows a shard fills one; with
+fewer groups than shards some shards stay empty; an empty table gives no rows; further columns, whatever their names,
+are left aside.
 """
 
 from __future__ import annotations

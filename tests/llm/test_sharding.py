@@ -47,3 +47,10 @@ def test_small_tables(spark):
     docs = spark.createDataFrame([(None, None), (3, "a")], "doc_id long, text string")
     assert B.digest(docs.limit(0)).count() == 0
     assert {x.law for x in B.digest(docs).collect()} == {"bytes"}
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    rows = [(1, "x" * 3_000_000, 7, "s"), (2, "a", 8, "t"), (3, None, 9, None), (4, "a", 8, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size int, shard string")
+    got = {r.doc_id: (r.size, r.slot) for r in B.digest(docs).collect()}
+    assert {d: s for d, (s, _) in got.items()} == {1: 3_000_008, 2: 9, 3: 8, 4: 9} and all(slot >= 0 for _, slot in got.values())
