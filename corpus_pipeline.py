@@ -1,4 +1,9 @@
-"""A corpus pipeline of five operators; each stage takes and returns documents, the last one the written token ids."""
+"""A corpus pipeline of five operators; each stage takes and returns documents, the last one the written token ids.
+
+Defined cases of all stages: a null text counts as empty; rows that repeat whole count each but where a stage says
+otherwise; texts of any length are rows of a scan; further columns, whatever their names, go through to the last stage;
+an empty table gives none. Rows with a null doc_id go through near-dedup as they are.
+"""
 
 from __future__ import annotations
 
@@ -10,17 +15,17 @@ from codexlake.llm.common import shared_path, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rule nor the learned decision list rejects."""
+    """Documents that neither the base rule nor the learned decision list rejects; without labels the base rule alone judges, and empty texts fail it."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the least doc_id; texts without words are one group, and two different texts under one doc_id are two documents."""
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without what they share with benchmark items."""
+    """Documents without what they share with benchmark items; without items they stay as they are."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
