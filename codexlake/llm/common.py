@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A word, as most contracts here have it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A table for bytes.translate: A-Z to a-z.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,17 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexlake.llm.common import fresh, texts_in, written
+from codexlake.llm import near_copies
+from codexlake.llm.common import LOWER, fresh, texts_in, written
 from codexlake.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 SHARD_ROWS, RING, RING_ROUNDS, LEAF = 2000, 8, 3, 32
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Bit k is 1 if it is set in over half of the shingles' XXH64."""
-    own = text.encode().translate(_LOWER).split() if text else []
+    own = text.encode().translate(LOWER).split() if text else []
     if not own:
         return 0
     joined = b" ".join(own)
@@ -51,15 +51,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of (doc_id, text), and text_key if docs have it: the fingerprint's 64 bits as a signed integer."""
-    more = [c for c in ("text_key",) if c in docs.columns]
+    """(doc_id, fp) of (doc_id, text): the fingerprint's 64 bits as a signed integer."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_in(batches, 1):
             found = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found), *part.columns[2:]], names=["doc_id", "fp", *more])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text", *more).mapInArrow(scan, "doc_id bigint, fp bigint" + "".join(f", {c} bigint" for c in more))
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, fp bigint")
 
 
 # -- links in a shard ------------------------------------------------------------------------------------------------
@@ -209,14 +208,24 @@ def classes(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs, same columns: of each component one row, of the least doc_id and then the least text's hash; rows without a doc_id stay."""
+def keep_one(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, percent: int | None = near_copies.PERCENT) -> DataFrame:
+    """docs, same columns: of each group one row, of the least doc_id and then the least text's hash; rows without a doc_id stay.
+
+    A group is what links reach: fingerprints within radius, and, by an exact check that follows them, texts whose
+    five-word shingles have a Jaccard similarity of percent / 100 or more (None: no such check).
+    """
     key = fresh("_text_key", docs.columns)
     named = docs.where("doc_id IS NOT NULL").withColumn(key, F.xxhash64("text"))
-    prints = fingerprints(named.select("doc_id", "text", F.col(key).alias("text_key")))
-    distinct = written(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("first")), "distinct")
-    joined = distinct.join(roots(distinct, radius, shard_rows), "fp", "left")
-    kept = written(joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", F.col("first.text_key").alias(key)), "kept")
+    texts = written(named.select(F.col(key).alias("key"), "text").dropDuplicates(["key"]), "texts")
+    prints = written(fingerprints(texts.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "fp"), "fingerprints")
+    distinct = written(prints.select("fp").distinct(), "distinct")
+    of_root = prints.join(roots(distinct, radius, shard_rows), "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
+    least = written(of_root.groupBy("root").agg(F.min("key").alias("class")), "least")
+    classes = written(of_root.join(least, "root").select("key", "class"), "classes")
+    if percent is not None:
+        classes = written(near_copies.merged(texts, classes, percent), "classes")
+    firsts = written(named.groupBy(F.col(key).alias("key")).agg(F.min("doc_id").alias("doc_id")), "firsts")
+    kept = written(firsts.join(classes, "key").groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.doc_id", F.col("first.key").alias(key)), "kept")
     one = named.join(kept, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
     return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
