@@ -7,11 +7,14 @@ nothing else don't meet. They are kept as bits of a fixed size; two shingles on
 
 Groups: a shingle's texts first meet one leader of the group, `LEADS` times; pairs that are similar make their classes
 one, and a pair inside one class is never looked at again. So a group of copies costs its size. What is left, texts of
-different classes that share a rare shingle, is paired and compared. Every pair that meets is compared exactly.
+different classes that share a rare shingle, meets in a join whose condition counts the bits in which their parities
+differ: a lower bound of the shingles in which they differ, so it only drops pairs that cannot be similar. Every pair
+beyond it is compared exactly, shingle by shingle.
 
 Scale: texts are read twice; one exchange of the prefixes (a fifth of the shingles, 20 bytes each), from which only
 shingles of two texts or more go on. That step streams a shingle's rows and holds one of them. Texts that are mostly hot
-passages, differently joined, cost the square of the group they meet in, spread over the join's partitions.
+passages, differently joined, cost the square of the group they meet in: comparisons of bits inside the join, whose
+large partitions adaptive execution splits. Above some 2,000 shingles the parities drop little, and pairs go on to texts.
 
 Defined cases: texts without words have no shingle and link with nothing here; fewer words than five are one shingle; a
 text of any length is one row of its scan; a null text has no words; an empty table gives no links; texts are told apart by key.
@@ -31,7 +34,7 @@ from codexlake.llm.common import LOWER, texts_in, written
 from codexlake.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
-HOT, HOT_BITS, LEADS = 16, 26, 2
+HOT, HOT_BITS, LEADS, WORDS = 16, 26, 2, 16
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -143,6 +146,21 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
     return both.mapInArrow(scan, "a_class bigint, b_class bigint")
 
 
+def parities(texts: DataFrame) -> DataFrame:
+    """(key, bits) of (key, text): `WORDS` longs, of whose bits each is the parity of the shingles that fall on it."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, some in texts_in(batches, 1):
+            out = np.zeros((len(some), 64 * WORDS), np.uint8)
+            for row, text in zip(out, some, strict=True):
+                row[:] = np.bincount(shingles(text) % (64 * WORDS), minlength=64 * WORDS) & 1
+            longs = np.packbits(out, axis=1, bitorder="little").view("<i8").reshape(-1)
+            ends = pa.array(np.arange(0, len(longs) + 1, WORDS, np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(longs))], names=["key", "bits"])
+
+    return texts.select("key", "text").mapInArrow(scan, "key bigint, bits array<bigint>")
+
+
 def merged(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, hot: int = HOT, leads: int = LEADS) -> DataFrame:
     """(key, class) anew: classes that a similar pair of (key, text) ties are one, named by the least of them."""
     rows = shared_prefixes(texts, hot_bits(texts, percent, hot), percent).join(classes, "key")
@@ -171,5 +189,11 @@ def merged(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, hot: in
         classes = written(renamed(classes, named).select("key", "class"), "near-classes")
     groups = written(rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("token"), "near-groups")
     rows = written(rows.join(groups, "token"), "prefixes")
-    rest = rows.select("token", *side("a")).join(rows.select("token", *side("b")), "token").where("a_class < b_class")
-    return renamed(classes, tied(rest)).select("key", "class")
+    keys = rows.select("key").distinct()
+    bits = written(parities(texts.join(keys, "key", "left_semi")), "parities")
+    rows = written(rows.join(bits, "key").select("token", "key", "n", "class", *(F.col("bits")[i].alias(f"w{i}") for i in range(WORDS))), "prefixes")
+    both = rows.select("token", *side("a"), *(F.col(f"w{i}").alias(f"a{i}") for i in range(WORDS))).join(rows.select("token", *side("b"), *(F.col(f"w{i}").alias(f"b{i}") for i in range(WORDS))), "token")
+    # the bits in which two texts differ are at most the shingles in which they differ
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    return renamed(classes, tied(both.where(F.col("a_class") < F.col("b_class")).where(near))).select("key", "class")
