@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least doc_id; texts without words are one group, and two different texts under one doc_id are two documents."""
+    """One document of each group of near copies (by fingerprints, then exactly by five-word shingles), that of the least doc_id; texts without words are one group, and two different texts under one doc_id are two documents."""
     return simhash.keep_one(docs)
 
 
