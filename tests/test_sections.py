@@ -83,3 +83,9 @@ def test_digit_runs_of_any_length(spark):
     names = ["a1" + "0" * 24, "a2" + "0" * 20, "a" + "0" * 30 + "3", "a12", "a2", "a", "b1", "2", "10", "", "a2b10", "a2b9"]
     got = [r.s for r in spark.createDataFrame([(s,) for s in names], "s string").orderBy(fn.natural_key(F.col("s"))).collect()]
     assert got == ["", "2", "10", "a", "a2", "a2b9", "a2b10", "a" + "0" * 30 + "3", "a12", "a2" + "0" * 20, "a1" + "0" * 24, "b1"]
+
+
+def test_titles_with_an_open_reference(spark):
+    """A heading that is cut inside a reference keeps what is written."""
+    nodes = dc.html_nodes(spark.createDataFrame([(1, "<body><h1>x&amp;&amp</h1><p>y</p></body>")], "page_id long, html string"), runs=True)
+    assert {r.title for r in se.section_bodies(nodes).collect()} == {"x&&amp"}
