@@ -1,18 +1,22 @@
 """Passes over document trees: merged runs, fused lists, blocks lifted out of inlines, wrapped runs, normal tables, no empty boxes.
 
 A tree here is a row for each node: page_id, node and parent (strings), at (an array that orders siblings), tag, attrs,
-text. A pass takes and returns such rows and changes only the rows that it moves or makes; siblings are told by a window
-over their parent, chains of inlines and empty boxes by rounds over tree levels that end when nothing changes. Nodes that
-a pass makes are named after the node they come from, so names never meet. numbered() gives pre, post, depth and
-place anew. Trees of many pages are rewritten together; a page's nodes are never gathered in one row or task.
+text. A pass takes and returns such rows and changes only the rows that it moves or makes; siblings, parents and children
+are told by windows whose keys begin with the page, so rows that are dealt by page are not exchanged again; chains of
+inlines go by rounds over tree levels. Nodes that a pass makes are named after the node they come from, so names never
+meet. numbered() gives pre, post, depth and place anew; there one page, as in the parser, is the most that a task holds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from codexlake.operators.documents import TEXT
 from codexlake.operators.graph import _kept
@@ -29,31 +33,89 @@ _SIBLINGS = ["page_id", "parent"]
 
 
 def opened(nodes: DataFrame) -> DataFrame:
-    """Node rows (page_id, node_id, parent_id, pre, tag, attrs, text) as a tree; runs of white space alone are left out."""
+    """Node rows (page_id, node_id, parent_id, pre, tag, attrs, text) as a tree, dealt by page; runs of white space alone are left out."""
     tree = nodes.select("page_id", F.col("node_id").cast("string").alias("node"), F.col("parent_id").cast("string").alias("parent"), F.array(F.col("pre").cast("long")).alias("at"), "tag", "attrs", "text")
-    return tree.where((F.col("tag") != TEXT) | F.col("text").rlike(r"\S"))
+    return tree.where((F.col("tag") != TEXT) | F.col("text").rlike(r"\S")).repartition("page_id")
+
+
+def _places(page: np.ndarray, node: pa.Array, parent: pa.Array, said: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(r, up, size, depth, ord, said): preorder place in the page from 1, row of the parent or -1, nodes and said ones in the subtree; depth -1: no root leads there. Rows are in order of page, parent and place."""
+    n = len(page)
+    codes = pa.chunked_array([node, parent], pa.string()).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    most, of = codes.max(initial=0) + 1, np.cumsum(np.r_[0, page[1:] != page[:-1]][:n])
+    key, want = of * most + codes[:n], np.where(codes[n:] > 0, of * most + codes[n:], -1)
+    by_key = np.argsort(key, kind="stable")
+    at = np.minimum(np.searchsorted(key[by_key], want), n - 1)
+    up = np.where((want >= 0) & (key[by_key[at]] == want), by_key[at], -1)
+    kids = np.bincount(up[up >= 0], minlength=n)
+    first = np.flatnonzero((up >= 0) & (np.r_[-2, up[:-1]] != up))
+    begins = np.zeros(n, np.int64)
+    begins[up[first]] = first
+    depth, size, held = np.full(n, -1), np.ones(n, np.int64), said.astype(np.int64)
+    levels = [np.flatnonzero(codes[n:] == 0)]
+    while len(levels[-1]):
+        depth[levels[-1]] = len(levels) - 1
+        many = kids[levels[-1]]
+        levels.append(np.repeat(begins[levels[-1]] - np.cumsum(many) + many, many) + np.arange(many.sum()))
+    for level in levels[:0:-1]:
+        np.add.at(size, up[level], size[level])
+        np.add.at(held, up[level], held[level])
+    r, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for k, level in enumerate(levels[:-1]):
+        group = up[level] if k else of[level]
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        start = np.repeat(starts, np.diff(np.r_[starts, len(level)]))
+        before = np.cumsum(size[level]) - size[level]
+        r[level] = (r[group] if k else 0) + 1 + before - before[start]
+        place[level] = np.arange(len(level)) - start
+    return r, up, size, depth, place, held
+
+
+def _placed(tree: DataFrame, keep: list[str], said: Column | None = None) -> DataFrame:
+    """The columns `keep` of a tree with node_id, parent_id, pre, post, depth, ord and, with `said`, how many nodes of the subtree it holds for.
+
+    A window brings a page's rows together and puts siblings in order, by an exchange only where they are not dealt by page; whole
+    pages are then numbered batch by batch.
+    """
+    numbers = [StructField(c, IntegerType()) for c in ("node_id", "parent_id", "pre", "post", "depth", "ord", "said")]
+    schema = StructType([*(tree.schema[c] for c in keep), *numbers])
+    w = Window.partitionBy("page_id").orderBy("parent", "at", "node")
+    rows = tree.where("page_id IS NOT NULL").withColumn("_said", F.coalesce(said, F.lit(False)) if said is not None else F.lit(False)).withColumn("_r", F.row_number().over(w))
+    # _r is read, so that the window stays in the plan
+    rows = rows.select(F.col("page_id").alias("_page"), F.col("node").alias("_node"), F.when(F.col("_r") > 0, F.col("parent")).alias("_parent"), "_said", *keep)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of a page that may go on
+
+        def done() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            page = t["_page"].to_numpy()
+            r, up, size, depth, place, n = _places(page, t["_node"].combine_chunks(), t["_parent"].combine_chunks(), t["_said"].to_numpy())
+            pre = 2 * r - 1 - depth
+            found = (r - 1, np.where(up >= 0, r[up] - 1, 0), pre, pre + 2 * size - 1, depth, place, n)
+            out = t.select(keep)
+            for field, values in zip(numbers, found, strict=True):
+                out = out.append_column(field.name, pa.array(values, pa.int32(), mask=up < 0 if field.name == "parent_id" else None))
+            yield from (out if (depth >= 0).all() else out.filter(pa.array(depth >= 0))).to_batches()
+
+        for batch in batches:
+            page = batch.column(0).to_numpy()
+            cut = int(np.argmax(page == page[-1])) if len(page) else 0
+            if held and len(page) and page[-1] != held[-1].column(0)[0].as_py() or cut:
+                held.append(batch.slice(0, cut))
+                yield from done()
+                held = []
+            if len(page):
+                held.append(batch.slice(cut))
+        if held:
+            yield from done()
+
+    return rows.mapInArrow(number, schema)
 
 
 def numbered(tree: DataFrame) -> DataFrame:
     """The tree as node rows: node_id, parent_id, pre, post, depth and ord are given anew. Rows that no root leads to are left out."""
-    tree = _kept(tree.select(*COLUMNS))
-    here = F.struct("at", "node")
-    level = _kept(tree.where("parent IS NULL").select("page_id", "node", F.array(here).alias("path")))
-    levels = []
-    while not level.isEmpty():
-        levels.append(level)
-        level = _kept(tree.join(level.select("page_id", F.col("node").alias("parent"), "path"), _SIBLINGS).select("page_id", "node", F.concat("path", F.array(here)).alias("path")))
-    if not levels:
-        levels = [level]
-    paths = _kept(reduce(DataFrame.unionByName, levels).withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy("path"))))
-    # a node counts in the subtree of each node on its path
-    size = paths.select("page_id", F.explode("path.node").alias("node")).groupBy("page_id", "node").agg(F.count("*").cast("int").alias("size"))
-    depth = F.size("path") - 1
-    rows = tree.join(paths.select("page_id", "node", "r", depth.alias("depth")), ["page_id", "node"]).join(size, ["page_id", "node"])
-    up = paths.select("page_id", F.col("node").alias("parent"), (F.col("r") - 1).alias("parent_id"))
-    rows = rows.join(up, _SIBLINGS, "left").withColumn("ord", F.row_number().over(Window.partitionBy(*_SIBLINGS).orderBy("at", "node")) - 1)
-    pre = 2 * F.col("r") - 1 - F.col("depth")
-    return rows.select("page_id", (F.col("r") - 1).alias("node_id"), "parent_id", pre.alias("pre"), (pre + 2 * F.col("size") - 1).alias("post"), "depth", "ord", "tag", "attrs", "text")
+    return _placed(tree, ["page_id", "tag", "attrs", "text"]).select("page_id", "node_id", "parent_id", "pre", "post", "depth", "ord", "tag", "attrs", "text")
 
 
 def _runs(member: Column) -> tuple[Column, Column]:
@@ -67,10 +129,12 @@ def merged_runs(tree: DataFrame) -> DataFrame:
     """Sibling runs of text that follow one another are one."""
     text = F.col("tag") == TEXT
     run, _ = _runs(text)
-    rows = tree.withColumn("_run", F.when(text, run))
+    rows = tree.withColumn("_run", F.when(text, run)).withColumn("_own", F.when(~text, F.col("node")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "node", "text"))), lambda x: x["text"])
-    one = rows.where(text).groupBy(*_SIBLINGS, "_run").agg(F.min(F.struct("at", "node")).alias("_first"), F.array_join(parts, "").alias("text"))
-    return rows.where(~text).select(*COLUMNS).unionByName(one.select("page_id", "_first.node", "parent", "_first.at", F.lit(TEXT).alias("tag"), F.create_map().cast("map<string,string>").alias("attrs"), "text"))
+    attrs = F.when(F.first(text), F.create_map().cast("map<string,string>")).otherwise(F.first("attrs"))
+    said = F.when(F.first(text), F.array_join(parts, "")).otherwise(F.first("text"))
+    one = rows.groupBy(*_SIBLINGS, "_run", "_own").agg(F.min(F.struct("at", "node")).alias("_first"), F.first("tag").alias("tag"), attrs.alias("attrs"), said.alias("text"))
+    return one.select("page_id", "_first.node", "parent", "_first.at", "tag", "attrs", "text")
 
 
 def fused_lists(tree: DataFrame) -> DataFrame:
@@ -78,10 +142,11 @@ def fused_lists(tree: DataFrame) -> DataFrame:
     w = Window.partitionBy(*_SIBLINGS).orderBy("at", "node")
     goes = F.col("tag").isin("ol", "ul") & F.coalesce(F.lag("tag").over(w) == F.col("tag"), F.lit(False))
     rows = tree.withColumn("_goes", goes)
-    first = F.last(F.when(~F.col("_goes"), F.col("node")), ignorenulls=True).over(w)
-    moved = rows.withColumn("_into", first).where("_goes").select("page_id", F.col("node").alias("parent"), "_into")
-    kept = rows.where(~F.col("_goes")).select(*COLUMNS)
-    return kept.join(moved, _SIBLINGS, "left").withColumn("parent", F.coalesce("_into", "parent")).select(*COLUMNS)
+    rows = rows.withColumn("_into", F.last(F.when(~F.col("_goes"), F.col("node")), ignorenulls=True).over(w))
+    # a list that goes meets its items and tells them where they go
+    rows = rows.withColumn("_key", F.when(F.col("_goes"), F.col("node")).otherwise(F.col("parent")))
+    rows = rows.withColumn("_to", F.max(F.when(F.col("_goes"), F.col("_into"))).over(Window.partitionBy("page_id", "_key")))
+    return rows.where(~F.col("_goes")).withColumn("parent", F.coalesce("_to", "parent")).select(*COLUMNS)
 
 
 def _split_chains(tree: DataFrame) -> DataFrame:
@@ -167,49 +232,68 @@ def _linked_runs(tree: DataFrame, linked: DataFrame) -> DataFrame:
 
 def wrapped_runs(tree: DataFrame, box: str = "div") -> DataFrame:
     """Where inlines and blocks stand side by side, each run of inlines gets a box."""
-    inline = F.col("tag").isin(*INLINE)
-    hosts = tree.where(F.col("tag").isin(*MIXED)).select("page_id", F.col("node").alias("parent"))
-    both = tree.groupBy(*_SIBLINGS).agg(F.bool_or(inline).alias("_i"), F.bool_or(~inline).alias("_b")).where("_i AND _b").select(*_SIBLINGS).join(hosts, _SIBLINGS, "left_semi").withColumn("_mixed", F.lit(True))
-    run, _ = _runs(inline)
-    rows = tree.join(both, _SIBLINGS, "left").withColumn("_run", F.when(inline & F.col("_mixed"), run))
-    first = F.min(F.struct("at", "node")).over(Window.partitionBy(*_SIBLINGS, "_run"))
-    rows = rows.withColumn("_first", F.when(F.col("_run").isNotNull(), first))
+    child = F.col("_side") == 1
+    inline = child & F.col("tag").isin(*INLINE)
+    # a host meets its children
+    rows = tree.withColumn("_side", F.explode(F.when(F.col("tag").isin(*MIXED), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    rows = rows.withColumn("_key", F.when(child, F.col("parent")).otherwise(F.col("node")))
+    kin = Window.partitionBy("page_id", "_key")
+    w = kin.orderBy("_side", "at", "node")
+    starts = inline & ~F.coalesce(F.lag(inline).over(w), F.lit(False))
+    rows = rows.withColumn("_starts", starts).withColumn("_first", F.last(F.when(F.col("_starts"), F.struct("at", "node")), ignorenulls=True).over(w))
+    rows = rows.withColumn("_mixed", F.col("_key").isNotNull() & F.bool_or(~child).over(kin) & F.bool_or(inline).over(kin) & F.bool_or(child & ~F.col("tag").isin(*INLINE)).over(kin))
+    rows = rows.where(child).withColumn("_in", inline & F.col("_mixed"))
     name = F.concat("_first.node", F.lit("/box"))
-    made = rows.where("_first IS NOT NULL").select("page_id", name.alias("node"), "parent", F.col("_first.at").alias("at")).distinct()
-    made = made.select("page_id", "node", "parent", "at", F.lit(box).alias("tag"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit("").alias("text"))
-    return rows.withColumn("parent", F.coalesce(name, "parent")).select(*COLUMNS).unionByName(made)
+    # the first of a run brings its box along
+    rows = rows.withColumn("_box", F.explode(F.when(F.col("_in") & F.col("_starts"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    made = F.col("_box")
+    return rows.select(
+        "page_id", F.when(made, name).otherwise(F.col("node")).alias("node"), F.when(F.col("_in") & ~made, name).otherwise(F.col("parent")).alias("parent"), "at", F.when(made, F.lit(box)).otherwise(F.col("tag")).alias("tag"),
+        F.when(made, F.create_map().cast("map<string,string>")).otherwise(F.col("attrs")).alias("attrs"), F.when(made, F.lit("")).otherwise(F.col("text")).alias("text"),
+    )
 
 
 def normal_tables(tree: DataFrame) -> DataFrame:
     """Tables get their sections: rows of header cells alone go to a head, the others to a body; the column group stands first."""
-    tables = tree.where("tag = 'table'").select("page_id", F.col("node").alias("parent"), F.col("at").alias("_t_at"))
-    child = tree.join(tables, _SIBLINGS)
-    groups = child.where("tag = 'colgroup'").select("page_id", "node", F.col("parent").alias("_table"), "at", "_t_at")
-    deeper = tree.where("tag = 'colgroup'").join(child.select("page_id", F.col("node").alias("parent"), F.col("parent").alias("_table"), "_t_at"), _SIBLINGS).select("page_id", "node", "_table", "at", "_t_at")
-    group = groups.unionByName(deeper).groupBy("page_id", "_table", "_t_at").agg(F.min(F.struct("at", "node")).alias("_first")).select("page_id", F.col("_first.node").alias("node"), "_table", F.concat("_t_at", F.array(F.lit(-2).cast("long"))).alias("_at"))
-    tree = tree.join(group, ["page_id", "node"], "left").withColumn("parent", F.coalesce("_table", "parent")).withColumn("at", F.coalesce("_at", "at")).select(*COLUMNS)
-    sections = child.groupBy(*_SIBLINGS).agg(F.bool_or(F.col("tag").isin("thead", "tbody", "tfoot")).alias("_has"))
-    plain = tables.join(sections, _SIBLINGS, "left").where("NOT coalesce(_has, false)").select("page_id", "parent", "_t_at")
-    cells = tree.where("tag IN ('td', 'th')").groupBy("page_id", F.col("parent").alias("node")).agg(F.bool_and(F.col("tag") == "th").alias("_head"))
-    rows = tree.where("tag <> 'colgroup'").join(plain, _SIBLINGS).join(cells, ["page_id", "node"], "left").withColumn("_head", F.coalesce("_head", F.lit(False)))
-    name = lambda head: F.concat("parent", F.when(head, "/head").otherwise("/body"))
-    wanted = rows.select("page_id", "parent", "_t_at", "_head").unionByName(plain.join(rows, _SIBLINGS, "left_anti").withColumn("_head", F.lit(False))).distinct()
-    made = wanted.select("page_id", name(F.col("_head")).alias("node"), "parent", F.concat("_t_at", F.array(F.when(F.col("_head"), -1).otherwise(0).cast("long"))).alias("at"), F.when(F.col("_head"), "thead").otherwise("tbody").alias("tag"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit("").alias("text"))
-    moved = rows.select("page_id", "node", name(F.col("_head")).alias("_section"))
-    return tree.join(moved, ["page_id", "node"], "left").withColumn("parent", F.coalesce("_section", "parent")).select(*COLUMNS).unionByName(made)
+    tag, child = F.col("tag"), F.col("_side") == 1
+    group = tag == "colgroup"
+    # as a child (1) a node learns of its parent and siblings, as a parent (0) of its children
+    rows = tree.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
+    kin = Window.partitionBy("page_id", F.when(child, F.col("parent")).otherwise(F.col("node")))
+    rows = rows.withColumns({
+        "_t_at": F.max(F.when(~child & (tag == "table"), F.col("at"))).over(kin), "_has": F.bool_or(child & tag.isin("thead", "tbody", "tfoot")).over(kin), "_rows": F.bool_or(child & ~group).over(kin), "_head": F.bool_and(F.when(child & tag.isin("td", "th"), tag == "th")).over(kin),
+    })
+    # both are brought together; a column group also asks its parent for the table around that
+    rows = rows.withColumn("_side", F.explode(F.when(child & group, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col("_side")))))
+    asks = F.col("_side") == 2
+    own = Window.partitionBy("page_id", F.when(asks, F.col("parent")).otherwise(F.col("node")))
+    held = F.when(child & F.col("_t_at").isNotNull(), F.struct(F.col("parent").alias("node"), F.col("_t_at").alias("at")))
+    rows = rows.withColumn("_up", F.max(held).over(own)).withColumn("_cells", F.bool_and(F.when(F.col("_side") == 0, F.col("_head"))).over(own)).withColumn("_empty", F.bool_or(F.when(F.col("_side") == 0, ~F.coalesce(F.col("_has") | F.col("_rows"), F.lit(False)))).over(own))
+    rows = rows.where(asks | (child & ~group))
+    in_table = F.col("parent").isNotNull() & F.col("_t_at").isNotNull()
+    table = F.when(group, F.when(in_table, F.struct(F.col("parent").alias("node"), F.col("_t_at").alias("at"))).otherwise(F.col("_up")))
+    row = ~group & in_table & ~F.col("_has")
+    rows = rows.withColumn("_table", table).withColumn("_row", row).withColumn("_head", F.when(row, F.coalesce("_cells", F.lit(False))))
+    first = F.row_number().over(Window.partitionBy("page_id", F.coalesce("_table.node", F.when(F.col("_row"), F.col("parent")), "node"), F.when(group, F.lit("group")).when(F.col("_row"), F.col("_head").cast("string"))).orderBy("at", "node")) == 1
+    rows = rows.withColumn("_first", first)
+    leads = group & F.col("_first") & F.col("_table").isNotNull()
+    name = lambda held, head: F.concat(held, F.when(head, "/head").otherwise("/body"))
+    place = lambda at, k: F.concat(at, F.array(F.lit(k).cast("long") if isinstance(k, int) else k.cast("long")))
+    none = F.create_map().cast("map<string,string>")
+    made = lambda held, at, head: F.struct(name(held, head).alias("node"), held.alias("parent"), place(at, F.when(head, -1).otherwise(0)).alias("at"), F.when(head, "thead").otherwise("tbody").alias("tag"), none.alias("attrs"), F.lit("").alias("text"))
+    own = F.struct(
+        "node", F.when(leads, F.col("_table.node")).when(F.col("_row"), name(F.col("parent"), F.col("_head"))).otherwise(F.col("parent")).alias("parent"), F.when(leads, place(F.col("_table.at"), -2)).otherwise(F.col("at")).alias("at"), "tag", "attrs", "text"
+    )
+    # the first row of a section brings it along, and a table without rows its body
+    section = F.when(F.col("_row") & F.col("_first"), F.array(made(F.col("parent"), F.col("_t_at"), F.col("_head")), own)).when((tag == "table") & F.col("_empty"), F.array(made(F.col("node"), F.col("at"), F.lit(False)), own)).otherwise(F.array(own))
+    return rows.select("page_id", F.explode(section).alias("_n")).select("page_id", "_n.*").select(*COLUMNS)
 
 
 def pruned(tree: DataFrame) -> DataFrame:
-    """Without boxes that nothing stands in, box by box upwards; what has an id, a source, a class or a style stays."""
-    tree = _kept(tree.select(*COLUMNS))
+    """Without boxes that nothing stands in; what has an id, a source, a class or a style stays. Rows that no root leads to are left out."""
     holds = reduce(lambda a, b: a | b, (F.element_at("attrs", k).isNotNull() for k in KEEPS))
     stays = ~F.col("tag").isin(*PRUNED) | (F.coalesce(F.length("text"), F.lit(0)) > 0) | F.coalesce(holds, F.lit(False))
-    front = seen = _kept(tree.where(stays).select("page_id", "node", "parent"))
-    while not front.isEmpty():
-        above = front.select("page_id", F.col("parent").alias("node")).distinct()
-        front = _kept(tree.select("page_id", "node", "parent").join(above, ["page_id", "node"]).join(seen, ["page_id", "node"], "left_anti"))
-        seen = _kept(seen.unionByName(front))
-    return tree.join(seen, ["page_id", "node"], "left_semi")
+    return _placed(tree, COLUMNS, stays).where("said > 0").select(*COLUMNS)
 
 
 def optimized(nodes: DataFrame) -> DataFrame:

@@ -26,13 +26,19 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.row_number().over(w).cast("long").alias("i"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_quantity").alias("q"))
 
 
-def _node(rows: DataFrame, name: str, parent: str | None, at: tuple, tag, text="", attrs: str = "CAST(map() AS map<string, string>)") -> DataFrame:
-    """Tree rows of line rows; name and parent are SQL, at the places of the path."""
-    return rows.select("page_id", F.expr(name).alias("node"), F.expr(parent or "CAST(NULL AS STRING)").alias("parent"), F.array(*(F.expr(str(a)).cast("long") for a in at)).alias("at"), F.expr(tag).alias("tag"), F.expr(attrs).alias("attrs"), F.expr(text or "''").alias("text"))
+def _node(name: str, parent: str | None, at: tuple, tag: str, text: str = "''", attrs: str = "CAST(map() AS map<string, string>)", where: str = "true"):
+    """What lines that `where` holds for give as a node; name, parent and all else are SQL, at the places of the path."""
+    fields = F.expr(name).alias("node"), F.expr(parent or "CAST(NULL AS STRING)").alias("parent"), F.array(*(F.expr(str(a)).cast("long") for a in at)).alias("at"), F.expr(tag).alias("tag"), F.expr(attrs).alias("attrs"), F.expr(text).alias("text")
+    return F.when(F.expr(where), F.struct(*fields))
 
 
-def _root(lines: DataFrame, tag: str) -> DataFrame:
-    return _node(lines.select("page_id").distinct(), "'r'", None, (0,), f"'{tag}'")
+def _root(tag: str):
+    return _node("'r'", None, (0,), f"'{tag}'", where="i = 1")
+
+
+def _tree(lines: DataFrame, *nodes) -> DataFrame:
+    """Tree rows, where the lines are: an order's first line brings what the order has once."""
+    return lines.select("page_id", F.explode(F.array_compact(F.array(*nodes))).alias("_n")).select("page_id", "_n.*")
 
 
 def _outline(tree: DataFrame) -> DataFrame:
@@ -44,8 +50,7 @@ def _outline(tree: DataFrame) -> DataFrame:
 o AS (SELECT page_id, 0 AS i, 0 AS depth, 'p' AS tag, '' AS text FROM l GROUP BY page_id UNION ALL SELECT page_id, i, 1, 'br', '' FROM n WHERE NOT t UNION ALL SELECT page_id, min(i), 1, '#text', string_agg(i || ';', '' ORDER BY i) FROM n WHERE t GROUP BY page_id, run)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS "at", depth, tag, text FROM o""")
 def merged_runs(spark, sf_dir):
-    x = _lines(spark, sf_dir)
-    tree = _root(x, "p").unionByName(_node(x, "CAST(i AS STRING)", "'r'", ("i",), "if(status = 'O', '#text', 'br')", "if(status = 'O', concat(i, ';'), '')"))
+    tree = _tree(_lines(spark, sf_dir), _root("p"), _node("CAST(i AS STRING)", "'r'", ("i",), "if(status = 'O', '#text', 'br')", "if(status = 'O', concat(i, ';'), '')"))
     return _outline(rw.merged_runs(tree))
 
 
@@ -53,17 +58,15 @@ def merged_runs(spark, sf_dir):
 o AS (SELECT page_id, 0 AS i, 0 AS k, 0 AS depth, 'div' AS tag, '' AS text FROM l GROUP BY page_id UNION ALL SELECT page_id, i, 0, 1, tag, '' FROM g WHERE NOT goes UNION ALL SELECT page_id, i, 1, 2, 'li', i || '' FROM g WHERE tag <> 'p')
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, k) AS "at", depth, tag, text FROM o""")
 def fused_lists(spark, sf_dir):
-    x = _lines(spark, sf_dir)
-    lists = _node(x, "CAST(i AS STRING)", "'r'", ("i",), "CASE flag WHEN 'A' THEN 'ul' WHEN 'R' THEN 'ol' ELSE 'p' END")
-    return _outline(rw.fused_lists(_root(x, "div").unionByName(lists).unionByName(_node(x.where("flag <> 'N'"), "concat(i, '.li')", "CAST(i AS STRING)", ("i",), "'li'", "CAST(i AS STRING)"))))
+    lists = _node("CAST(i AS STRING)", "'r'", ("i",), "CASE flag WHEN 'A' THEN 'ul' WHEN 'R' THEN 'ol' ELSE 'p' END")
+    return _outline(rw.fused_lists(_tree(_lines(spark, sf_dir), _root("div"), lists, _node("concat(i, '.li')", "CAST(i AS STRING)", ("i",), "'li'", "CAST(i AS STRING)", where="flag <> 'N'"))))
 
 
 @query(LINES + """, n AS (SELECT *, flag <> 'R' AS inl FROM l), m AS (SELECT page_id, bool_or(inl) AND bool_or(NOT inl) AS mixed FROM n GROUP BY 1), g AS (SELECT n.*, mixed, inl AND NOT coalesce(lag(inl) OVER (PARTITION BY n.page_id ORDER BY i), false) AS starts FROM n JOIN m USING (page_id)),
 o AS (SELECT page_id, 0 AS i, 0 AS k, 0 AS depth, 'div' AS tag, '' AS text FROM m UNION ALL SELECT page_id, i, 0, 1, 'div', '' FROM g WHERE mixed AND starts UNION ALL SELECT page_id, i, 1, CASE WHEN mixed AND inl THEN 2 ELSE 1 END, CASE flag WHEN 'A' THEN 'b' WHEN 'N' THEN 'i' ELSE 'p' END, i || '' FROM g)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, k) AS "at", depth, tag, text FROM o""")
 def wrapped_runs(spark, sf_dir):
-    x = _lines(spark, sf_dir)
-    return _outline(rw.wrapped_runs(_root(x, "div").unionByName(_node(x, "CAST(i AS STRING)", "'r'", ("i",), "CASE flag WHEN 'A' THEN 'b' WHEN 'N' THEN 'i' ELSE 'p' END", "CAST(i AS STRING)"))))
+    return _outline(rw.wrapped_runs(_tree(_lines(spark, sf_dir), _root("div"), _node("CAST(i AS STRING)", "'r'", ("i",), "CASE flag WHEN 'A' THEN 'b' WHEN 'N' THEN 'i' ELSE 'p' END", "CAST(i AS STRING)"))))
 
 
 @query(LINES + """, p AS (SELECT page_id, page_id % 3 = 0 AS has FROM l GROUP BY 1), o AS (
@@ -75,15 +78,11 @@ UNION ALL SELECT page_id, [CASE WHEN page_id % 3 <> 0 AND NOT (flag = 'A' AND st
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS "at", depth, tag, text FROM o""")
 def normal_tables(spark, sf_dir):
     """An order is a table, a line a row of two cells; every third has a body, every second a column group at its end."""
-    x = _lines(spark, sf_dir)
-    third, pages = "if(page_id % 3 = 0, 'body', 'r')", x.select("page_id").distinct()
-    parts = [
-        _root(x, "table"), _node(pages.where("page_id % 3 = 0"), "'body'", "'r'", (1,), "'tbody'"), _node(pages.where("page_id % 2 = 0"), "'cols'", third, (9_999,), "'colgroup'"),
-        _node(x, "CAST(i AS STRING)", third, ("i",), "'tr'"), _node(x, "concat(i, '.a')", "CAST(i AS STRING)", (1,), "if(flag = 'A', 'th', 'td')", "concat(i, 'a')"), _node(x, "concat(i, '.b')", "CAST(i AS STRING)", (2,), "if(status = 'F', 'th', 'td')", "concat(i, 'b')"),
-    ]
-    tree = parts[0]
-    for p in parts[1:]:
-        tree = tree.unionByName(p)
+    third = "if(page_id % 3 = 0, 'body', 'r')"
+    tree = _tree(
+        _lines(spark, sf_dir), _root("table"), _node("'body'", "'r'", (1,), "'tbody'", where="i = 1 AND page_id % 3 = 0"), _node("'cols'", third, (9_999,), "'colgroup'", where="i = 1 AND page_id % 2 = 0"),
+        _node("CAST(i AS STRING)", third, ("i",), "'tr'"), _node("concat(i, '.a')", "CAST(i AS STRING)", (1,), "if(flag = 'A', 'th', 'td')", "concat(i, 'a')"), _node("concat(i, '.b')", "CAST(i AS STRING)", (2,), "if(status = 'F', 'th', 'td')", "concat(i, 'b')"),
+    )
     return _outline(rw.normal_tables(tree))
 
 
@@ -92,9 +91,8 @@ UNION ALL SELECT page_id, i, 0, 1, 'section', '' FROM n WHERE said OR named UNIO
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, k) AS "at", depth, tag, text FROM o""")
 def pruned_boxes(spark, sf_dir):
     """A section, a box in it and a span in that for each line; some spans have text, some sections an id."""
-    x = _lines(spark, sf_dir)
-    sections = _node(x, "CAST(i AS STRING)", "'r'", ("i",), "'section'", attrs="if(status = 'F' AND q > 25, map('id', CAST(i AS STRING)), CAST(map() AS map<string, string>))")
-    return _outline(rw.pruned(_root(x, "body").unionByName(sections).unionByName(_node(x, "concat(i, '.d')", "CAST(i AS STRING)", (1,), "'div'")).unionByName(_node(x, "concat(i, '.s')", "concat(i, '.d')", (1,), "'span'", "if(flag = 'R', CAST(i AS STRING), '')"))))
+    section = _node("CAST(i AS STRING)", "'r'", ("i",), "'section'", attrs="if(status = 'F' AND q > 25, map('id', CAST(i AS STRING)), CAST(map() AS map<string, string>))")
+    return _outline(rw.pruned(_tree(_lines(spark, sf_dir), _root("body"), section, _node("concat(i, '.d')", "CAST(i AS STRING)", (1,), "'div'"), _node("concat(i, '.s')", "concat(i, '.d')", (1,), "'span'", "if(flag = 'R', CAST(i AS STRING), '')"))))
 
 
 @query(LINES + """, n AS (SELECT *, flag = 'R' AS blk, coalesce(sum((flag = 'R')::INTEGER) OVER (PARTITION BY page_id ORDER BY i), 0) AS f FROM l), m AS (SELECT page_id, bool_or(blk) AS some, bool_or(NOT blk) AS any_run, min_by(blk, i) AS first_blk FROM n GROUP BY 1),
@@ -104,10 +102,7 @@ UNION ALL SELECT page_id, i, 3, CASE WHEN blk THEN 1 ELSE 3 END, CASE WHEN blk T
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, k) AS "at", depth, tag, text FROM o""")
 def lifted_blocks(spark, sf_dir):
     """Lines in a b in an em: some are blocks, which part both."""
-    x = _lines(spark, sf_dir)
-    pages = x.select("page_id").distinct()
-    tree = _root(x, "div").unionByName(_node(pages, "'em'", "'r'", (0,), "'em'")).unionByName(_node(pages, "'b'", "'em'", (0,), "'b'"))
-    return _outline(rw.lifted_blocks(tree.unionByName(_node(x, "CAST(i AS STRING)", "'b'", ("i",), "if(flag = 'R', 'p', 'code')", "CAST(i AS STRING)"))))
+    return _outline(rw.lifted_blocks(_tree(_lines(spark, sf_dir), _root("div"), _node("'em'", "'r'", (0,), "'em'", where="i = 1"), _node("'b'", "'em'", (0,), "'b'", where="i = 1"), _node("CAST(i AS STRING)", "'b'", ("i",), "if(flag = 'R', 'p', 'code')", "CAST(i AS STRING)"))))
 
 
 @query(NODES + """, b AS (SELECT n.page_id, n.node_id, EXISTS (SELECT 1 FROM nodes p WHERE p.page_id = n.page_id AND p.tag = 'p' AND list_contains(p.anc, n.node_id)) AS holds FROM nodes n WHERE n.tag = 'b'),

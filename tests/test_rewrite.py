@@ -70,3 +70,9 @@ def test_all_passes(spark):
     nodes = tree_of(spark, "<div><ul><li>a</li></ul><ul><li>b</li></ul><p>x<!-- -->y<b>bold<div></div><p>inner</p></b></p><table><tr><th>h</th></tr></table></div>")
     assert outline(rw.optimized(nodes))[0] == ["div", " ul", "  li", "   'a'", "  li", "   'b'", " p", "  div", "   'xy'", "   b", "    'bold'", "  p", "   'inner'", " table", "  thead", "   tr", "    th", "     'h'"]
     assert rw.optimized(nodes.limit(0)).count() == 0
+
+
+def test_numbers_take_one_exchange(spark):
+    """Rows that are dealt by page are numbered where they are, without rounds of jobs over levels."""
+    plan = rw.numbered(rw.opened(tree_of(spark, "<div><p>a</p></div>")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
