@@ -418,7 +418,7 @@ def table_cells(spark, sf_dir):
     """Cells of tables whose spans push cells of later rows aside."""
     spans = '<table><tr><th rowspan="2">k</th><td colspan="2">a</td><td rowspan="3">z</td></tr><tr><td>b</td><td rowspan="2">c</td></tr><tr><td colspan="2">d</td></tr><tr><td>e</td></tr></table>'
     plain = F.concat(F.lit('<table><tr><th colspan="3">'), "c_name", F.lit("</th></tr><tr><td>x</td></tr></table>"))
-    return tr.table_cells(dc.html_nodes(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.when(F.col("c_custkey") % 2 == 0, spans).otherwise(plain).alias("html"))))
+    return tr.table_cells(dc.html_nodes(read(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey").select(F.col("c_custkey").alias("page_id"), F.when(F.col("c_custkey") % 2 == 0, spans).otherwise(plain).alias("html"))))
 
 
 @query("""
