@@ -6,6 +6,9 @@ As-of lookups are a union and a running last over each key, never a range join;
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from codexlake.operators.graph import _kept
+
 
 def descents(rows: DataFrame, group: str, order: Sequence[str], value: str) -> DataFrame:
     """(group, n, first_at): how often value falls below the one before, and the first place (of the first order column)."""
@@ -78,10 +83,63 @@ def tightest_span(points: DataFrame, spans: DataFrame, key: str, point_id: str,
     """(key, point_id, span_id): the narrowest span of the key that holds a point, by (elements, offset) tuples, least id on a tie; null if none does.
 
     points and spans have es, os, ee, oe: element and offset of start and end; an end that is null is the start. A span is
-    filed under the blocks of its elements' dyadic cover, whose number grows with the logarithm of its length, and a point
-    asks for the one block of each level that it lies in; so they meet once, by an equality.
+    what it holds of its first element, of its last one and the elements between; one in a single element is a run of
+    offsets. Runs are filed under the blocks of their dyadic cover, whose number grows with the logarithm of their length,
+    and of all that is filed alike the narrowest stays. A place meets that one row of each block that it lies in, and the
+    narrowest of the starts before it and of the ends behind it in its element by running minima: points and the spans
+    around them never make pairs. Only points that are ranges themselves meet the spans one by one.
     """
     whole = lambda d: d.withColumn("ee", F.coalesce("ee", "es")).withColumn("oe", F.coalesce("oe", "os")).where("es IS NOT NULL AND os IS NOT NULL")
+    ends = ("es", "os", "ee", "oe")
+    own = whole(spans).select(key, F.col(span_id).alias("_span"), *(F.col(c).cast("long").alias(c) for c in ends)).where(F.col(key).isNotNull() & F.expr("(es, os) <= (ee, oe)"))
+    asked = whole(points).select(key, F.col(point_id).alias("_point"), *(F.col(c).cast("long").alias(c) for c in ends)).where(F.col(key).isNotNull())
+    between, within, starts, stops = range(4)
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for k, (es, os, ee, oe) in enumerate(zip(*(batch.column(c).to_pylist() for c in ends), strict=True)):
+                if es == ee:
+                    parts += [(k, within, es, level, block) for level, block in dyadic_cover(os, oe)]
+                else:
+                    parts += [(k, starts, es, 0, os), (k, stops, ee, 0, oe), *((k, between, 0, level, block) for level, block in dyadic_cover(es + 1, ee - 1))]
+            row, kind, element, level, block = zip(*parts, strict=True) if parts else [()] * 5
+            columns = [*batch.take(pa.array(row, pa.int64())).columns, pa.array(kind, pa.int32()), pa.array(element, pa.int64()), pa.array(level, pa.int32()), pa.array(block, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_kind", "_el", "_level", "_block"])
+
+    slot = [key, "_kind", "_el", "_level", "_block"]
+    kinds = [StructField("_kind", IntegerType()), StructField("_el", LongType()), StructField("_level", IntegerType()), StructField("_block", LongType())]
+    width = F.struct((F.col("ee") - F.col("es")).alias("e"), (F.col("oe") - F.col("os")).alias("o"), F.col("_span").alias("i"))
+    filed = _kept(own.mapInArrow(file, StructType([*own.schema.fields, *kinds])).groupBy(*slot).agg(F.min(width).alias("_w")))
+    covers = filed.where(F.col("_kind").isin(between, within))
+    used = {kind: [r[1] for r in rows] for kind, rows in groupby(sorted(covers.select("_kind", "_level").distinct().collect()), key=itemgetter(0))}
+    place = asked.where("es = ee AND os = oe").select(key, F.col("es").alias("_pe"), F.col("os").alias("_po")).distinct()
+    at = lambda rows, kind, element, value: rows.select(key, "_pe", "_po", F.lit(kind).alias("_kind"), element.cast("long").alias("_el"), F.explode(F.array(*map(F.lit, used.get(kind, []))).cast("array<int>")).alias("_level"), value.alias("_x")).withColumn("_block", F.expr("shiftright(_x, _level)")).drop("_x")
+    elements = place.select(key, "_pe", F.lit(None).cast("long").alias("_po")).distinct()
+    looked = at(elements, between, F.lit(0), F.col("_pe")).unionByName(at(place, within, F.col("_pe"), F.col("_po"))).join(covers, slot)
+    none = F.lit(None).cast(filed.schema["_w"].dataType)
+    mark = lambda rows, element, offset, first=none, last=none, held=none, asks=False: rows.select(key, F.col(element).alias("_pe"), F.col(offset).alias("_po"), first.alias("_first"), last.alias("_last"), held.alias("_held"), F.lit(asks).alias("_asks"))
+    w, whole_element = F.col("_w"), F.col("_kind") == between
+    marks = [
+        mark(filed.where(F.col("_kind") == starts), "_el", "_block", first=w), mark(filed.where(F.col("_kind") == stops), "_el", "_block", last=w),
+        # what holds a whole element starts before all of its offsets
+        mark(looked, "_pe", "_po", first=F.when(whole_element, w), held=F.when(~whole_element, w)), mark(place, "_pe", "_po", asks=True),
+    ]
+    marks = reduce(DataFrame.unionByName, marks).groupBy(key, "_pe", "_po").agg(F.min("_first").alias("_first"), F.min("_last").alias("_last"), F.min("_held").alias("_held"), F.max("_asks").alias("_asks"))
+    element = Window.partitionBy(key, "_pe")
+    running = lambda order: element.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.withColumn("_first", F.min("_first").over(running(F.asc_nulls_first("_po")))).withColumn("_last", F.min("_last").over(running(F.desc_nulls_last("_po"))))
+    found = found.where("_asks").select(key, F.col("_pe").alias("es"), F.col("_po").alias("os"), F.least("_first", "_last", "_held").alias("_w")).where("_w IS NOT NULL")
+    best = asked.where("es = ee AND os = oe").select(key, "_point", "es", "os").join(found, [key, "es", "os"]).select(key, "_point", "_w")
+    ranges = asked.where("es <> ee OR os <> oe")
+    if not ranges.isEmpty():
+        best = best.unionByName(_held_ranges(ranges, own, key))
+    best = best.groupBy(key, "_point").agg(F.min("_w").alias("_w")).select(key, F.col("_point").alias(point_id), F.col("_w.i").alias(span_id))
+    return points.select(key, point_id).join(best, [key, point_id], "left")
+
+
+def _held_ranges(ranges: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """(key, _point, _w) for each range and span that holds it: a span is filed under the blocks of its elements' dyadic cover, a range asks for the one block of each level that its start lies in."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,16 +147,12 @@ def tightest_span(points: DataFrame, spans: DataFrame, key: str, point_id: str,
             rows = batch.take(pa.array([k for k, c in enumerate(cover) for _ in c], pa.int64()))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([x for c in cover for x, _ in c], pa.int32()), pa.array([x for c in cover for _, x in c], pa.int64())], names=[*rows.schema.names, "_level", "_block"])
 
-    own = whole(spans).select(key, F.col(span_id).alias("_span"), *(F.col(c).cast("long").alias(c) for c in ("es", "os", "ee", "oe"))).where("(es, os) <= (ee, oe)")
-    deepest = own.agg(F.max(F.col("ee") - F.col("es"))).first()[0]
+    deepest = spans.agg(F.max(F.col("ee") - F.col("es"))).first()[0]
     levels = list(range((deepest or 0).bit_length() + 1))
-    filed = own.mapInArrow(file, StructType([*own.schema.fields, StructField("_level", IntegerType()), StructField("_block", LongType())]))
-    filed = filed.select(key, "_level", "_block", "_span", F.struct("es", "os").alias("_s"), F.struct("ee", "oe").alias("_e"), F.struct((F.col("ee") - F.col("es")).alias("e"), (F.col("oe") - F.col("os")).alias("o"), F.col("_span").alias("i")).alias("_width"))
-    asked = whole(points).select(key, F.col(point_id).alias("_point"), F.struct(F.col("es").cast("long").alias("es"), F.col("os").cast("long").alias("os")).alias("_ps"), F.struct(F.col("ee").cast("long").alias("ee"), F.col("oe").cast("long").alias("oe")).alias("_pe"), F.explode(F.array(*map(F.lit, levels))).alias("_level"))
-    asked = asked.withColumn("_block", F.expr("shiftright(_ps.es, _level)"))
-    met = asked.join(filed, [key, "_level", "_block"]).where((F.col("_s") <= F.col("_ps")) & (F.col("_pe") <= F.col("_e")))
-    best = met.groupBy(key, "_point").agg(F.min("_width").alias("_w")).select(key, F.col("_point").alias(point_id), F.col("_w.i").alias(span_id))
-    return points.select(key, point_id).join(best, [key, point_id], "left")
+    filed = spans.mapInArrow(file, StructType([*spans.schema.fields, StructField("_level", IntegerType()), StructField("_block", LongType())]))
+    filed = filed.select(key, "_level", "_block", F.struct("es", "os").alias("_s"), F.struct("ee", "oe").alias("_e"), F.struct((F.col("ee") - F.col("es")).alias("e"), (F.col("oe") - F.col("os")).alias("o"), F.col("_span").alias("i")).alias("_w"))
+    asked = ranges.select(key, "_point", F.struct("es", "os").alias("_ps"), F.struct(F.col("ee").alias("es"), F.col("oe").alias("os")).alias("_pe"), F.explode(F.array(*map(F.lit, levels))).alias("_level")).withColumn("_block", F.expr("shiftright(_ps.es, _level)"))
+    return asked.join(filed, [key, "_level", "_block"]).where((F.col("_s") <= F.col("_ps")) & (F.col("_pe") <= F.col("_e"))).select(key, "_point", "_w")
 
 
 def tightest_interval(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, interval_id: str, point_id: str, bucket: int) -> DataFrame:

@@ -89,3 +89,31 @@ def test_titles_with_an_open_reference(spark):
     """A heading that is cut inside a reference keeps what is written."""
     nodes = dc.html_nodes(spark.createDataFrame([(1, "<body><h1>x&amp;&amp</h1><p>y</p></body>")], "page_id long, html string"), runs=True)
     assert {r.title for r in se.section_bodies(nodes).collect()} == {"x&&amp"}
+
+
+def most_joined(spark, df) -> int:
+    """The most rows that a join gave while df was collected."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    df.collect()
+    most = 0
+    for k in range(before, store.executionsCount()):
+        execution = store.executionsList().apply(k).executionId()
+        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for i in range(nodes.size()):
+            if "Join" in nodes.apply(i).name():
+                metrics = nodes.apply(i).metrics()
+                for m in (metrics.apply(j) for j in range(metrics.size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_tightest_span_makes_no_pairs(spark):
+    """Nested spans around all points: each point is held by half of them, and one row of each kind answers."""
+    n = 400
+    spans = spark.range(n).selectExpr("1 AS book", "id AS hl", "if(id % 2 = 0, 500, 500 - id) AS es", "if(id % 2 = 0, 500 - id, 3) AS os", "if(id % 2 = 0, 500, 500 + id) AS ee", "if(id % 2 = 0, 600 + id, 3) AS oe")
+    points = spark.range(n).selectExpr("1 AS book", "id AS note", "500L AS es", "500 + id % 50 AS os", "CAST(NULL AS LONG) AS ee", "CAST(NULL AS LONG) AS oe")
+    found = sq.tightest_span(points, spans, "book", "note", "hl")
+    assert {r.hl for r in found.collect()} == {0}
+    assert n <= most_joined(spark, found) <= 2 * n
