@@ -2,9 +2,9 @@
 
 A tree here is a row for each node: page_id, node and parent (strings), at (an array that orders siblings), tag, attrs,
 text. A pass takes and returns such rows and changes only the rows that it moves or makes; siblings, parents and children
-are told by windows whose keys begin with the page, so rows that are dealt by page are not exchanged again; chains of
-inlines go by rounds over tree levels. Nodes that a pass makes are named after the node they come from, so names never
-meet. numbered() gives pre, post, depth and place anew; there one page, as in the parser, is the most that a task holds.
+are told by windows whose keys begin with the page, so rows that are dealt by page are not exchanged again. Nodes that a
+pass makes are named after the node they come from, so names never meet. lifted_blocks() follows chains of inlines, and
+numbered() gives pre, post, depth and place anew; there one page, as in the parser, is the most that a task holds.
 """
 
 from __future__ import annotations
@@ -16,10 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from codexlake.operators.documents import TEXT
-from codexlake.operators.graph import _kept
 
 #: Elements of running text; of these, the ones that can be split; elements whose inline runs get a box of
 #: their own beside blocks; elements that go when nothing is in them; attributes that keep an empty box.
@@ -28,6 +27,7 @@ SPLIT = ("a", "abbr", "b", "bdi", "bdo", "cite", "code", "em", "font", "i", "ins
 MIXED = ("article", "aside", "blockquote", "body", "caption", "dd", "div", "dt", "figcaption", "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "li", "main", "nav", "p", "pre", "section", "td", "th")
 PRUNED = ("article", "aside", "blockquote", "div", "dl", "figure", "footer", "header", "main", "nav", "ol", "section", "table", "tbody", "tfoot", "thead", "tr", "ul", *SPLIT)
 KEEPS = ("id", "src", "class", "style")
+_INLINE, _SPLIT = frozenset(INLINE), frozenset(SPLIT)
 COLUMNS = ["page_id", "node", "parent", "at", "tag", "attrs", "text"]
 _SIBLINGS = ["page_id", "parent"]
 
@@ -71,6 +71,35 @@ def _places(page: np.ndarray, node: pa.Array, parent: pa.Array, said: np.ndarray
     return r, up, size, depth, place, held
 
 
+def _page_ends(page: np.ndarray) -> list[int]:
+    """Where each page ends among rows in order of page."""
+    same = page[1:] == page[:-1]
+    return [*(np.flatnonzero(~same) + 1).tolist(), len(page)]
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches, whose first column is the page and which are in its order, in tables that no page leaves."""
+    held: list[pa.RecordBatch] = []  # rows of a page that may go on
+    for batch in batches:
+        page = batch.column(0)
+        if not len(page):
+            continue
+        ends = _page_ends(page.to_numpy(zero_copy_only=False))
+        cut = ends[-2] if len(ends) > 1 else 0
+        if held and (cut or page[0] != held[-1].column(0)[0]):
+            first = ends[0] if page[0] == held[-1].column(0)[0] else 0
+            if first:
+                held.append(batch.slice(0, first))
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, batch, cut = [], batch.slice(first), max(cut - first, 0)
+        if cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)]).combine_chunks()
+        if cut < len(batch):
+            held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _placed(tree: DataFrame, keep: list[str], said: Column | None = None) -> DataFrame:
     """The columns `keep` of a tree with node_id, parent_id, pre, post, depth, ord and, with `said`, how many nodes of the subtree it holds for.
 
@@ -85,12 +114,9 @@ def _placed(tree: DataFrame, keep: list[str], said: Column | None = None) -> Dat
     rows = rows.select(F.col("page_id").alias("_page"), F.col("node").alias("_node"), F.when(F.col("_r") > 0, F.col("parent")).alias("_parent"), "_said", *keep)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of a page that may go on
-
-        def done() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            page = t["_page"].to_numpy()
-            r, up, size, depth, place, n = _places(page, t["_node"].combine_chunks(), t["_parent"].combine_chunks(), t["_said"].to_numpy())
+        for t in _whole_pages(batches):
+            page = t["_page"].to_numpy(zero_copy_only=False)
+            r, up, size, depth, place, n = _places(page, t["_node"].combine_chunks(), t["_parent"].combine_chunks(), t["_said"].to_numpy(zero_copy_only=False))
             pre = 2 * r - 1 - depth
             found = (r - 1, np.where(up >= 0, r[up] - 1, 0), pre, pre + 2 * size - 1, depth, place, n)
             out = t.select(keep)
@@ -98,18 +124,6 @@ def _placed(tree: DataFrame, keep: list[str], said: Column | None = None) -> Dat
                 out = out.append_column(field.name, pa.array(values, pa.int32(), mask=up < 0 if field.name == "parent_id" else None))
             yield from (out if (depth >= 0).all() else out.filter(pa.array(depth >= 0))).to_batches()
 
-        for batch in batches:
-            page = batch.column(0).to_numpy()
-            cut = int(np.argmax(page == page[-1])) if len(page) else 0
-            if held and len(page) and page[-1] != held[-1].column(0)[0].as_py() or cut:
-                held.append(batch.slice(0, cut))
-                yield from done()
-                held = []
-            if len(page):
-                held.append(batch.slice(cut))
-        if held:
-            yield from done()
-
     return rows.mapInArrow(number, schema)
 
 
@@ -149,23 +163,82 @@ def fused_lists(tree: DataFrame) -> DataFrame:
     return rows.where(~F.col("_goes")).withColumn("parent", F.coalesce("_to", "parent")).select(*COLUMNS)
 
 
-def _split_chains(tree: DataFrame) -> DataFrame:
-    """(page_id, node, chain, base): each splittable inline that holds a block through inlines alone, the chain of such nodes down to it, and what holds the first."""
-    node = tree.select("page_id", "node", "parent", "tag")
-    up = node.where(F.col("tag").isin(*SPLIT))
-    front = _kept(node.where(~F.col("tag").isin(*INLINE)).select("page_id", F.col("parent").alias("node")).distinct().join(up, ["page_id", "node"]).select("page_id", "node", "parent"))
-    held = front
-    while not front.isEmpty():
-        front = _kept(front.select("page_id", F.col("parent").alias("node")).distinct().join(up, ["page_id", "node"]).select("page_id", "node", "parent").join(held, ["page_id", "node"], "left_anti"))
-        held = _kept(held.unionByName(front))
-    inner = held.select("page_id", F.col("node").alias("parent"))
-    level = _kept(held.join(inner, _SIBLINGS, "left_anti").select("page_id", "node", F.array("node").alias("chain"), F.col("parent").alias("base")))
-    chains = level
-    while not level.isEmpty():
-        above = level.select("page_id", F.col("node").alias("parent"), "chain", "base")
-        level = _kept(held.join(above, _SIBLINGS).select("page_id", "node", F.concat("chain", F.array("node")).alias("chain"), "base"))
-        chains = _kept(chains.unionByName(level))
-    return chains
+def _lifted(node: list[str], parent: list[str | None], tag: list[str], own_id: list[str | None], link: list[bool]) -> list[tuple] | None:
+    """What one page, in order of place, becomes: (source row, node, parent, row of its place, whether the id goes, id that comes, whether it is made); None if nothing is to be lifted."""
+    row = {name: k for k, name in enumerate(node)}
+    up = [row.get(name, -1) if name is not None else -1 for name in parent]
+    block = [t not in _INLINE for t in tag]
+    split: set[int] = set()
+    for k in range(len(node)):
+        j = up[k] if block[k] else -1
+        while j >= 0 and j not in split and tag[j] in _SPLIT:
+            split.add(j)
+            j = up[j]
+    if not split:
+        return None
+    chains: dict[int, tuple[int, ...]] = {}
+    for j in split:
+        way = [j]
+        while way[-1] not in chains and up[way[-1]] in split:
+            way.append(up[way[-1]])
+        for x in reversed(way):
+            chains.setdefault(x, (*chains.get(up[x], ()), x))
+    blocks: dict[int, int] = {}  # of an outermost inline so far
+    begun: set[int] = set()
+    made: set[tuple[int, int]] = set()
+    linked: dict[str, int] = {}
+    out: list[tuple] = []
+    for k, name in enumerate(node):
+        if k in split:
+            continue
+        if up[k] not in split:
+            out.append((k, name, parent[k], k, False, None, False))
+            continue
+        chain = chains[up[k]]
+        base = parent[chain[0]]
+        f = blocks[chain[0]] = blocks.get(chain[0], 0) + block[k]
+        fresh = [x for x in chain if x not in begun]
+        begun.update(fresh)
+        if block[k]:
+            comes = next((own_id[x] for x in fresh if own_id[x] is not None), None) if own_id[k] is None else None
+            out.append((k, name, base, k, False, comes, False))
+            if (of := next((x for x in chain if link[x]), None)) is not None:
+                linked[name] = of
+            continue
+        above = base
+        for x in chain:
+            fragment = f"{node[x]}/{f}"
+            if (x, f) not in made:
+                made.add((x, f))
+                out.append((x, fragment, above, k, x not in fresh, None, True))
+            above = fragment
+        out.append((k, name, above, k, False, None, False))
+    return _linked(out, block, linked) if linked else out
+
+
+def _linked(rows: list[tuple], block: list[bool], linked: dict[str, int]) -> list[tuple]:
+    """rows with the inline runs of linked blocks, and of the blocks in them, in links; the nearest link counts."""
+    kids: dict[str | None, list[int]] = {}
+    for i, r in enumerate(rows):
+        kids.setdefault(r[2], []).append(i)
+    front = [*linked.items()]
+    while front:
+        name, of = front.pop()
+        inner = [(rows[i][1], of) for i in kids.get(name, ()) if block[rows[i][0]] and rows[i][1] not in linked]
+        linked.update(inner)
+        front += inner
+    for name, of in linked.items():
+        box = None
+        for i in sorted(kids.get(name, ()), key=lambda i: (rows[i][3], rows[i][1])):
+            r = rows[i]
+            if block[r[0]]:
+                box = None
+                continue
+            if box is None:
+                box = f"{r[1]}/a"
+                rows.append((of, box, name, r[3], True, None, True))
+            rows[i] = (*r[:2], box, *r[3:])
+    return rows
 
 
 def lifted_blocks(tree: DataFrame) -> DataFrame:
@@ -173,61 +246,34 @@ def lifted_blocks(tree: DataFrame) -> DataFrame:
 
     What stands in split inlines is numbered by the blocks before it under the outermost one; runs of equal number share
     fragments. The first fragment is the inline itself and keeps its id; if a block comes first, that takes the id where
-    it has none of its own. The inline runs of a block that a link held are links too.
+    it has none of its own. The inline runs of a block that a link held are links too. Chains of inlines are followed
+    inside a page, so pages go through whole, batch by batch, and there are no rounds.
     """
-    tree = _kept(tree.select(*COLUMNS))
-    chains = _split_chains(tree)
-    if chains.isEmpty():
-        return tree
-    split = chains.select("page_id", "node")
-    block = ~F.col("tag").isin(*INLINE)
-    # what stands directly in split inlines and is not split itself
-    items = tree.join(chains.select("page_id", F.col("node").alias("parent"), "chain", "base"), _SIBLINGS).join(split, ["page_id", "node"], "left_anti")
-    w = Window.partitionBy("page_id", F.col("chain")[0]).orderBy("at", "node")
-    items = _kept(items.withColumn("_f", F.sum(block.cast("int")).over(w)).withColumn("_block", block))
-    runs = items.where("NOT _block")
-    name = lambda node, f: F.concat(node, F.lit("/"), f.cast("string"))
-    deepest = F.element_at("chain", -1)
-    inner = runs.select("page_id", "node", name(deepest, F.col("_f")).alias("parent"), "at", "tag", "attrs", "text")
-    # a fragment for each node of the chain and number; the first of a node keeps its attributes whole
-    parts = runs.select("page_id", "base", "_f", "at", F.posexplode("chain").alias("_k", "_of"), "chain").groupBy("page_id", "_of", "_f").agg(F.min("at").alias("at"), F.first("base").alias("base"), F.first(F.get("chain", F.col("_k") - 1)).alias("_up"))
-    source = tree.select("page_id", F.col("node").alias("_of"), "tag", "attrs", "text")
-    every = items.select("page_id", "at", "_block", F.explode("chain").alias("_of")).groupBy("page_id", "_of").agg(F.min_by("_block", "at").alias("_block_first"), F.min("at").alias("_begins"))
-    made = parts.join(source, ["page_id", "_of"]).join(every, ["page_id", "_of"])
-    bare = F.map_filter("attrs", lambda k, v: k != "id")
-    whole = (F.col("at") == F.col("_begins")) & ~F.col("_block_first")
-    made = made.select("page_id", name(F.col("_of"), F.col("_f")).alias("node"), F.coalesce(name(F.col("_up"), F.col("_f")), F.col("base")).alias("parent"), "at", "tag", F.when(whole, F.col("attrs")).otherwise(bare).alias("attrs"), F.lit("").alias("text"))
-    # blocks: an id that comes to them, the link that held them
-    of = items.where("_block").select("page_id", "node", "at", F.explode("chain").alias("_of")).join(source.select("page_id", "_of", F.col("tag").alias("_tag"), F.col("attrs").alias("_attrs")), ["page_id", "_of"]).join(every, ["page_id", "_of"])
-    came = F.first(F.when((F.col("at") == F.col("_begins")) & F.col("_block_first"), F.element_at("_attrs", "id")), ignorenulls=True)
-    link = F.first(F.when((F.col("_tag") == "a") & F.element_at("_attrs", "href").isNotNull(), F.map_filter("_attrs", lambda k, v: k != "id")), ignorenulls=True)
-    said = _kept(of.groupBy("page_id", "node").agg(came.alias("_id"), link.alias("_link")))
-    blocks = items.where("_block").join(said, ["page_id", "node"], "left")
-    with_id = F.when(F.col("_id").isNotNull() & F.element_at("attrs", "id").isNull(), F.map_concat(F.coalesce("attrs", F.create_map().cast("map<string,string>")), F.create_map(F.lit("id"), F.col("_id")))).otherwise(F.col("attrs"))
-    blocks = blocks.select("page_id", "node", F.col("base").alias("parent"), "at", "tag", with_id.alias("attrs"), "text")
-    touched = items.select("page_id", "node").unionByName(split)
-    rest = tree.join(touched, ["page_id", "node"], "left_anti")
-    out = rest.unionByName(inner).unionByName(made).unionByName(blocks)
-    return _linked_runs(out, said.where("_link IS NOT NULL").select("page_id", "node", "_link"))
-
-
-def _linked_runs(tree: DataFrame, linked: DataFrame) -> DataFrame:
-    """Inline runs of the blocks (page_id, node, _link), and of blocks in them, in links of those attributes."""
-    if linked.isEmpty():
-        return tree
-    tree = _kept(tree)
-    block = ~F.col("tag").isin(*INLINE)
-    front = seen = _kept(linked)
-    while not front.isEmpty():
-        front = _kept(tree.where(block).join(front.select("page_id", F.col("node").alias("parent"), "_link"), _SIBLINGS).select("page_id", "node", "_link"))
-        seen = _kept(seen.unionByName(front))
-    inside = tree.join(seen.select("page_id", F.col("node").alias("parent"), "_link"), _SIBLINGS)
-    run, _ = _runs(~block)
-    runs = _kept(inside.withColumn("_run", run).where(~block))
-    names = runs.groupBy(*_SIBLINGS, "_run").agg(F.min(F.struct("at", "node")).alias("_first"), F.first("_link").alias("_link"))
-    made = names.select("page_id", F.concat("_first.node", F.lit("/a")).alias("node"), "parent", "_first.at", F.lit("a").alias("tag"), F.col("_link").alias("attrs"), F.lit("").alias("text"))
-    moved = runs.join(names.select(*_SIBLINGS, "_run", F.concat("_first.node", F.lit("/a")).alias("_box")), [*_SIBLINGS, "_run"]).withColumn("parent", F.col("_box")).select(*COLUMNS)
-    return tree.join(runs.select("page_id", "node"), ["page_id", "node"], "left_anti").unionByName(made).unionByName(moved)
+    w = Window.partitionBy("page_id").orderBy("at", "node")
+    # the number is read, so that the window stays in the plan
+    rows = tree.withColumn("_r", F.row_number().over(w)).select("page_id", F.when(F.col("_r") > 0, F.col("node")).alias("node"), *COLUMNS[2:], F.element_at("attrs", "id").alias("_id"), F.coalesce((F.col("tag") == "a") & F.element_at("attrs", "href").isNotNull(), F.lit(False)).alias("_link"))
+
+    def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_pages(batches):
+            lists = [t[c].to_pylist() for c in ("node", "parent", "tag", "_id", "_link")]
+            ends = _page_ends(t["page_id"].to_numpy(zero_copy_only=False))
+            found: list[tuple] = []
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                names, parents = lists[0][a:b], lists[1][a:b]
+                page = _lifted(names, parents, *(c[a:b] for c in lists[2:])) or ((k, names[k], parents[k], k, False, None, False) for k in range(b - a))
+                found += [(k + a, name, parent, at + a, *rest) for k, name, parent, at, *rest in page]
+            source, node, parent, at, bare, comes, made = zip(*found, strict=True)
+            of = t.select(["page_id", "tag", "attrs", "text"]).take(pa.array(source, pa.int64()))
+            columns = {
+                "page_id": of["page_id"], "node": pa.array(node, pa.string()), "parent": pa.array(parent, pa.string()), "at": t["at"].take(pa.array(at, pa.int64())), "tag": of["tag"], "attrs": of["attrs"], "text": of["text"],
+                "_bare": pa.array(bare, pa.bool_()), "_comes": pa.array(comes, pa.string()), "_made": pa.array(made, pa.bool_()),
+            }
+            yield from pa.table(columns).to_batches()
+
+    flags = [StructField("_bare", BooleanType()), StructField("_comes", StringType()), StructField("_made", BooleanType())]
+    found = rows.mapInArrow(lift, StructType([*(tree.schema[c] for c in COLUMNS), *flags]))
+    attrs = F.when(F.col("_bare"), F.map_filter("attrs", lambda k, v: k != "id")).when(F.col("_comes").isNotNull(), F.map_concat(F.coalesce("attrs", F.create_map().cast("map<string,string>")), F.create_map(F.lit("id"), F.col("_comes")))).otherwise(F.col("attrs"))
+    return found.select("page_id", "node", "parent", "at", "tag", attrs.alias("attrs"), F.when(F.col("_made"), F.lit("")).otherwise(F.col("text")).alias("text"))
 
 
 def wrapped_runs(tree: DataFrame, box: str = "div") -> DataFrame:
@@ -300,5 +346,5 @@ def optimized(nodes: DataFrame) -> DataFrame:
     """All passes in order, over node rows with runs; node rows again."""
     tree = opened(nodes)
     for step in (merged_runs, fused_lists, lifted_blocks, wrapped_runs, normal_tables, pruned):
-        tree = _kept(step(tree))
+        tree = step(tree)
     return numbered(tree)

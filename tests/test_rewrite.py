@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from codexlake.operators import documents as dc
 from codexlake.operators import rewrite as rw
 
@@ -76,3 +78,18 @@ def test_numbers_take_one_exchange(spark):
     """Rows that are dealt by page are numbered where they are, without rounds of jobs over levels."""
     plan = rw.numbered(rw.opened(tree_of(spark, "<div><p>a</p></div>")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_lifted_blocks_without_rounds(spark, monkeypatch):
+    """Deep chains on many pages take no checkpoint and no job of their own; the nearest of nested links counts, once."""
+    depth = 40
+    rows = [("r", None, 0, "div", {}, "")] + [(f"b{k}", f"b{k - 1}" if k else "r", k + 1, "b", {"id": f"i{k}"}, "") for k in range(depth)]
+    rows += [("t", f"b{depth - 1}", 100, "#text", {}, "x"), ("p", f"b{depth - 1}", 101, "p", {}, ""), ("pt", "p", 102, "#text", {}, "y"), ("u", f"b{depth - 1}", 103, "#text", {}, "z")]
+    rows += [("a", "r", 200, "a", {"href": "1"}, ""), ("d", "a", 201, "div", {}, ""), ("e", "d", 202, "a", {"href": "2"}, ""), ("q", "e", 203, "p", {}, ""), ("qt", "q", 204, "#text", {}, "w")]
+    tree = spark.createDataFrame(rows, "node string, parent string, at long, tag string, attrs map<string,string>, text string").withColumn("at", F.array("at")).crossJoin(spark.range(7).withColumnRenamed("id", "page_id")).select(*rw.COLUMNS)
+    monkeypatch.setattr(type(tree), "checkpoint", lambda *_: 1 / 0)
+    found = rw.numbered(rw.lifted_blocks(tree))
+    assert found.count() == 7 * (1 + 2 * depth + 2 + 2 + 4)
+    got = [(r.depth, r.tag, r.attrs.get("id"), r.attrs.get("href"), r.text) for r in found.where("page_id = 6").orderBy("pre").collect()]
+    first, second = ([(k + 1, "b", f"i{k}" if whole else None, None, "") for k in range(depth)] for whole in (True, False))
+    assert got == [(0, "div", None, None, ""), *first, (depth + 1, "#text", None, None, "x"), (1, "p", None, None, ""), (2, "#text", None, None, "y"), *second, (depth + 1, "#text", None, None, "z"), (1, "div", None, None, ""), (2, "p", None, None, ""), (3, "a", None, "2", ""), (4, "#text", None, None, "w")]
