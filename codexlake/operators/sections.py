@@ -18,6 +18,8 @@ TRANSPARENT = ("html", "body", "div", "section", "article", "main", "header", "f
 KINDS = {"p": "paragraph", "figcaption": "paragraph", "caption": "paragraph", "pre": "code", "blockquote": "quote", "aside": "quote", "ol": "ordered", "ul": "list", "dl": "list", "table": "table", "img": "image", "hr": "rule"}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 ITEMS = ("li", "dt", "dd", "tr")
+#: White space that markup may break lines with; blanks, as Unicode counts them, that no text begins or ends with.
+SPACE, BLANKS = r"[ \t\n\f\r]+", " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def inside(opaque: Column) -> Column:
@@ -32,9 +34,9 @@ def innermost(marked: Column, nodes: DataFrame, name: str) -> DataFrame:
 
 
 def said(parts: Column) -> Column:
-    """Text of (pre, tag, text) parts in order: a break is a blank, white space runs are one, ends are trimmed."""
+    """Text of (pre, tag, text) parts in order: a break is a blank, white space runs are one, blanks at the ends are cut off."""
     joined = F.array_join(F.transform(F.array_sort(parts), lambda x: F.when(x["tag"] == "br", " ").otherwise(x["text"])), "")
-    return F.trim(F.regexp_replace(joined, r"\s+", " "))
+    return F.trim(F.regexp_replace(joined, SPACE, " "), F.lit(BLANKS))
 
 
 def blocks(nodes: DataFrame) -> DataFrame:
@@ -58,9 +60,9 @@ def blocks(nodes: DataFrame) -> DataFrame:
     # a cell's beginning is marked, so that cells can be told apart in the row's text
     rows = rows.withColumn("_said", F.concat(cell, F.coalesce("text", F.lit(""))))
     part = F.struct("pre", "tag", F.col("_said").alias("text"))
-    items = rows.where("_item IS NOT NULL AND _item.post >= post").groupBy("page_id", "_of", F.col("_item.pre").alias("at")).agg(said(F.collect_list(part)).alias("item"))
+    items = rows.where("_item IS NOT NULL AND _item.post >= post").groupBy("page_id", "_of", F.col("_item.pre").alias("at")).agg(said(F.collect_list(part)).alias("item"), F.max(tag.isin("td", "th")).alias("celled"))
     cells = F.array_join(F.transform(F.split(F.regexp_replace("item", "^ ?\x1f", ""), "\x1f"), F.trim), " | ")
-    items = items.select("page_id", "_of", "at", F.when(F.col("item").contains("\x1f"), cells).otherwise(F.col("item")).alias("item")).where("item <> ''")
+    items = items.select("page_id", "_of", "at", F.when(F.col("celled"), cells).otherwise(F.col("item")).alias("item")).where("item <> ''")
     items = items.groupBy("page_id", "_of").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("items"))
     own = F.struct("pre", "tag", F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.groupBy("page_id", "_of").agg(said(F.collect_list(own)).alias("text"), F.min_by("tag", "pre").alias("tag"), F.min_by(F.element_at("attrs", "src"), "pre").alias("src"))

@@ -91,6 +91,14 @@ def test_titles_with_an_open_reference(spark):
     assert {r.title for r in se.section_bodies(nodes).collect()} == {"x&&amp"}
 
 
+def test_texts_end_without_blanks(spark):
+    """Blanks of any width at the ends are no text, inside they stand; a line tabulation is no white space."""
+    html = "<body><h1>\u3000One\u00a0two\u2003</h1><p> \u00a0\n </p><p>a\x0bb \u00a0</p><ul><li>\u3000</li><li>\u00a0i</li><li>j\x1fk</li></ul></body>"
+    nodes = dc.html_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"), runs=True)
+    rows = sorted(se.section_bodies(nodes).collect(), key=lambda r: r.place)
+    assert [(r.title, r.kind, r.items or r.text) for r in rows] == [("One\u00a0two", "heading", "One\u00a0two"), ("One\u00a0two", "paragraph", "a\x0bb"), ("One\u00a0two", "list", ["i", "j\x1fk"])]
+
+
 def most_joined(spark, df) -> int:
     """The most rows that a join gave while df was collected."""
     store = spark._jsparkSession.sharedState().statusStore()
