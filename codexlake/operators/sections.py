@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexlake.operators.documents import TEXT
-from codexlake.operators.sequence import parents_by_level
 
 #: Elements that are looked through, what other elements are as blocks, parts that no text comes from.
 TRANSPARENT = ("html", "body", "div", "section", "article", "main", "header", "footer", "nav", "figure", TEXT)
@@ -27,10 +26,10 @@ def inside(opaque: Column) -> Column:
     return F.coalesce(F.max(F.when(opaque, F.col("post"))).over(Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)) > F.col("pre"), F.lit(False))
 
 
-def innermost(marked: Column, nodes: DataFrame, name: str) -> DataFrame:
-    """nodes with `name`: the pre of the marked node that holds a node or is it; marked nodes don't hold one another."""
-    last = F.last(F.when(marked, F.struct("pre", "post")), ignorenulls=True).over(Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0))
-    return nodes.withColumn("_last", last).withColumn(name, F.when(F.col("_last.post") >= F.col("post"), F.col("_last.pre"))).drop("_last")
+def innermost(marked: Column, nodes: DataFrame, name: str, *more: str) -> DataFrame:
+    """nodes with `name`: pre and `more` of the marked node that holds a node or is it; marked nodes don't hold one another."""
+    last = F.last(F.when(marked, F.struct("pre", "post", *more)), ignorenulls=True).over(Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0))
+    return nodes.withColumn("_last", last).withColumn(name, F.when(F.col("_last.post") >= F.col("post"), F.struct(*(F.col(f"_last.{c}") for c in ("pre", *more))))).drop("_last")
 
 
 def said(parts: Column) -> Column:
@@ -40,49 +39,52 @@ def said(parts: Column) -> Column:
 
 
 def blocks(nodes: DataFrame) -> DataFrame:
-    """(page_id, pre, kind, level, text, items): headings (kind heading) and content blocks, those without content aside.
+    """(page_id, pre, number, kind, level, text, items): headings (kind heading) and content blocks, those without content aside.
 
-    items: the texts of a list's items or definitions, and of a table's rows with a bar between cells.
+    number: the block's number among the page's elements, from 0. items: the texts of a list's items or definitions, and
+    of a table's rows with a bar between cells. Nodes are exchanged once, by page; all else is windows and groupings in it.
     """
     tag = F.col("tag")
-    kind = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[tag]
-    rows = nodes.where(~tag.isin("head", "script", "style", "title", "meta", "link") | tag.isNull())
+    kind_of = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
+    rows = nodes.select("page_id", "pre", "post", "tag", F.coalesce("text", F.lit("")).alias("text"), F.element_at("attrs", "src").alias("src"))
+    rows = rows.withColumn("number", (F.count_if(tag != TEXT).over(Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    rows = rows.where(~tag.isin("head", "script", "style", "title", "meta", "link") | tag.isNull())
     rows = rows.withColumn("_in", inside(~tag.isin(*TRANSPARENT)))
-    rows = rows.withColumn("_block", ~F.col("_in") & (tag.isin(*HEADINGS) | kind.isNotNull()))
-    rows = innermost(F.col("_block"), rows, "_of").where("_of IS NOT NULL")
+    rows = rows.withColumn("_block", ~F.col("_in") & (tag.isin(*HEADINGS) | kind_of[tag].isNotNull()))
+    rows = innermost(F.col("_block"), rows, "_of", "tag", "src", "number").where("_of IS NOT NULL").withColumn("_at", F.col("_of.pre"))
     # the block's own item that a node stands in: the first li, dt, dd or tr on the way down to it
     first = tag.isin(*ITEMS)
-    w = Window.partitionBy("page_id", "_of").orderBy("pre")
+    w = Window.partitionBy("page_id", "_at").orderBy("pre")
     outer = F.max(F.when(first, F.col("post"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_starts", first & F.coalesce(outer < F.col("pre"), F.lit(True)))
     rows = rows.withColumn("_item", F.last(F.when(F.col("_starts"), F.struct("pre", "post")), ignorenulls=True).over(w))
-    cell = F.when(tag.isin("td", "th"), F.lit("\x1f")).otherwise("")
+    # a text is an item's in blocks that list items, else the block's
+    rows = rows.withColumn("_listed", F.coalesce(kind_of[F.col("_of.tag")].isin("ordered", "list", "table"), F.lit(False))).where("NOT _listed OR _item.post >= post")
+    celled = tag.isin("td", "th")
     # a cell's beginning is marked, so that cells can be told apart in the row's text
-    rows = rows.withColumn("_said", F.concat(cell, F.coalesce("text", F.lit(""))))
-    part = F.struct("pre", "tag", F.col("_said").alias("text"))
-    items = rows.where("_item IS NOT NULL AND _item.post >= post").groupBy("page_id", "_of", F.col("_item.pre").alias("at")).agg(said(F.collect_list(part)).alias("item"), F.max(tag.isin("td", "th")).alias("celled"))
-    cells = F.array_join(F.transform(F.split(F.regexp_replace("item", "^ ?\x1f", ""), "\x1f"), F.trim), " | ")
-    items = items.select("page_id", "_of", "at", F.when(F.col("celled"), cells).otherwise(F.col("item")).alias("item")).where("item <> ''")
-    items = items.groupBy("page_id", "_of").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("items"))
-    own = F.struct("pre", "tag", F.coalesce("text", F.lit("")).alias("text"))
-    whole = rows.groupBy("page_id", "_of").agg(said(F.collect_list(own)).alias("text"), F.min_by("tag", "pre").alias("tag"), F.min_by(F.element_at("attrs", "src"), "pre").alias("src"))
-    out = whole.join(items, ["page_id", "_of"], "left")
-    kind = F.when(F.col("tag").isin(*HEADINGS), "heading").otherwise(kind)
-    listed = F.col("kind").isin("ordered", "list", "table")
-    out = out.select("page_id", F.col("_of").alias("pre"), kind.alias("kind"), F.when(F.col("tag").isin(*HEADINGS), F.substring("tag", 2, 1).cast("int")).alias("level"), F.when(F.col("tag") == "img", F.coalesce("src", F.lit(""))).otherwise(F.col("text")).alias("text"), "items")
-    out = out.where((F.col("kind") == "rule") | F.when(listed, F.col("items").isNotNull()).otherwise(F.col("text") != ""))
-    return out.withColumn("text", F.when(~listed, F.col("text"))).withColumn("items", F.when(listed, F.col("items")))
+    part = F.struct("pre", "tag", F.when(F.col("_listed") & celled, F.concat(F.lit("\x1f"), "text")).otherwise(F.col("text")).alias("text"))
+    units = rows.groupBy("page_id", "_at", F.when(F.col("_listed"), F.col("_item.pre")).alias("_unit")).agg(F.first("_of").alias("_of"), said(F.collect_list(part)).alias("text"), F.max(celled).alias("celled"))
+    cells = F.array_join(F.transform(F.split(F.regexp_replace("text", "^ ?\x1f", ""), "\x1f"), F.trim), " | ")
+    units = units.withColumn("_item", F.when(F.col("celled"), cells).otherwise(F.col("text")))
+    listed = F.collect_list(F.when(F.col("_unit").isNotNull() & (F.col("_item") != ""), F.struct("_unit", "_item")))
+    out = units.groupBy("page_id", F.col("_at").alias("pre")).agg(F.first("_of").alias("_of"), F.max(F.when(F.col("_unit").isNull(), F.col("text"))).alias("text"), F.transform(F.array_sort(listed), lambda x: x["_item"]).alias("items"))
+    tag = F.col("_of.tag")
+    kind = F.when(tag.isin(*HEADINGS), "heading").otherwise(kind_of[tag])
+    out = out.select("page_id", "pre", F.col("_of.number").alias("number"), kind.alias("kind"), F.when(tag.isin(*HEADINGS), F.substring(tag, 2, 1).cast("int")).alias("level"), F.when(tag == "img", F.coalesce("_of.src", F.lit(""))).otherwise(F.col("text")).alias("text"), F.when(F.size("items") > 0, F.col("items")).alias("items"))
+    return out.where((F.col("kind") == "rule") | F.col("items").isNotNull() | (F.col("text") != ""))
 
 
 def section_bodies(nodes: DataFrame) -> DataFrame:
-    """(page_id, section, parent, level, title, place, kind, text, items): a row for each block in its section, and a row (place 0) for each section.
+    """(page_id, section, number, parent, level, title, place, kind, text, items): a row for each block in its section, and a row (place 0) for each section.
 
-    section and parent are the pre of headings; blocks before the first heading have section null.
+    section and parent are the pre of headings, number is the heading's among the page's elements; blocks before the
+    first heading have section null. A heading's parent is the nearest one before it of a lower level.
     """
-    found = blocks(nodes)
-    heads = parents_by_level(found.where("kind = 'heading'").select("page_id", F.col("pre").alias("section"), "level", F.col("text").alias("title")), "page_id", "section", "level", "section")
-    of = F.last(F.when(F.col("kind") == "heading", F.col("pre")), ignorenulls=True).over(Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0))
-    body = found.withColumn("section", of)
-    w = Window.partitionBy("page_id", "section").orderBy("pre")
-    body = body.withColumn("place", F.row_number().over(w) - F.when(F.col("section").isNull(), 0).otherwise(1))
-    return body.select("page_id", "section", "place", "kind", "text", "items").join(heads, ["page_id", "section"], "left").select("page_id", "section", "parent", "level", "title", "place", "kind", "text", "items")
+    w = Window.partitionBy("page_id").orderBy("pre")
+    above = lambda k: F.last(F.when(F.col("level") == k, F.col("pre")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    body = blocks(nodes).withColumn("parent", F.greatest(*(F.when(F.col("level") > k, above(k)) for k in range(1, len(HEADINGS)))))
+    head = F.when(F.col("kind") == "heading", F.struct(F.col("pre").alias("section"), "number", "parent", "level", F.col("text").alias("title")))
+    body = body.withColumn("_head", F.last(head, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    body = body.select("page_id", "pre", "_head.*", "kind", "text", "items")
+    place = F.row_number().over(Window.partitionBy("page_id", "section").orderBy("pre")) - F.when(F.col("section").isNull(), 0).otherwise(1)
+    return body.select("page_id", "section", "number", "parent", "level", "title", place.alias("place"), "kind", "text", "items")

@@ -123,10 +123,8 @@ o AS (SELECT t.*, items, last_value(CASE WHEN kind = 'heading' THEN t.node_id EN
 SELECT o.page_id, o.sec AS section, h.text AS title, (row_number() OVER (PARTITION BY o.page_id, o.sec ORDER BY o.node_id) - CASE WHEN o.sec IS NULL THEN 0 ELSE 1 END)::INTEGER AS place, o.kind, CASE WHEN o.kind <> 'list' THEN o.text END AS text, CASE WHEN o.kind = 'list' THEN o.items END AS items FROM o LEFT JOIN t h ON h.page_id = o.page_id AND h.node_id = o.sec""")
 def section_bodies(spark, sf_dir):
     """Blocks in their sections; sections are named by their heading's number among elements."""
-    nodes = dc.html_nodes(read(spark, sf_dir, "pages"), runs=True)
-    number = nodes.where("tag <> '#text'").select("page_id", F.col("pre").alias("section"), (F.row_number().over(Window.partitionBy("page_id").orderBy("pre")) - 1).alias("_n"))
-    found = se.section_bodies(nodes).join(number, ["page_id", "section"], "left")
-    return found.select("page_id", F.col("_n").alias("section"), "title", "place", "kind", "text", "items")
+    found = se.section_bodies(dc.html_nodes(read(spark, sf_dir, "pages"), runs=True))
+    return found.select("page_id", F.col("number").alias("section"), "title", "place", "kind", "text", "items")
 
 
 #: rule, step, child, tag, class, id

@@ -99,6 +99,12 @@ def test_texts_end_without_blanks(spark):
     assert [(r.title, r.kind, r.items or r.text) for r in rows] == [("One\u00a0two", "heading", "One\u00a0two"), ("One\u00a0two", "paragraph", "a\x0bb"), ("One\u00a0two", "list", ["i", "j\x1fk"])]
 
 
+def test_sections_read_pages_once(spark):
+    nodes = dc.html_nodes(spark.createDataFrame([(1, "<h1>x</h1><p>y</p>")], "page_id long, html string"), runs=True)
+    plan = se.section_bodies(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("MapInArrow"), plan.count("Exchange "), plan.count("Join")) == (1, 1, 0)
+
+
 def most_joined(spark, df) -> int:
     """The most rows that a join gave while df was collected."""
     store = spark._jsparkSession.sharedState().statusStore()
