@@ -3,17 +3,20 @@
 A tree here is a row for each node: page_id, node and parent (strings), at (an array that orders siblings), tag, attrs,
 text. A pass takes and returns such rows and changes only the rows that it moves or makes; siblings, parents and children
 are told by windows whose keys begin with the page, so rows that are dealt by page are not exchanged again. Nodes that a
-pass makes are named after the node they come from, so names never meet. lifted_blocks() follows chains of inlines, and
-numbered() gives pre, post, depth and place anew; there one page, as in the parser, is the most that a task holds.
+pass makes are named after the node they come from, so names never meet. lifted_blocks() follows chains of inlines,
+normal_tables() gives tables their sections and numbered() gives pre, post, depth and place anew; there one page, as in
+the parser, is the most that a task holds. numbered() also takes trees of packed rows (page_id, nodes: an array of nodes)
+and passes over whole pages, which then need no sort of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
@@ -38,21 +41,41 @@ def opened(nodes: DataFrame) -> DataFrame:
     return tree.where((F.col("tag") != TEXT) | F.col("text").rlike(r"\S")).repartition("page_id")
 
 
-def _places(page: np.ndarray, node: pa.Array, parent: pa.Array, said: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(r, up, size, depth, ord, said): preorder place in the page from 1, row of the parent or -1, nodes and said ones in the subtree; depth -1: no root leads there. Rows are in order of page, parent and place."""
-    n = len(page)
-    codes = pa.chunked_array([node, parent], pa.string()).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    most, of = codes.max(initial=0) + 1, np.cumsum(np.r_[0, page[1:] != page[:-1]][:n])
+def _kin(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(of, code, up) of the nodes of whole pages: number of the page, code of the parent's name, 0 where there is none, row of the parent or -1."""
+    n = len(t)
+    names = pa.concat_arrays([t["node"].combine_chunks(), t["parent"].combine_chunks()])
+    codes = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    of = _page_numbers(t["page_id"].combine_chunks())
+    most = codes.max(initial=0) + 1
     key, want = of * most + codes[:n], np.where(codes[n:] > 0, of * most + codes[n:], -1)
     by_key = np.argsort(key, kind="stable")
     at = np.minimum(np.searchsorted(key[by_key], want), n - 1)
-    up = np.where((want >= 0) & (key[by_key[at]] == want), by_key[at], -1)
+    return of, codes[n:], np.where((want >= 0) & (key[by_key[at]] == want), by_key[at], -1)
+
+
+def _ordered(keys: Sequence[np.ndarray], at: pa.ListArray, node: pa.Array) -> np.ndarray:
+    """Rows in order of the keys, of `at` and of `node`."""
+    size = pc.list_value_length(at).fill_null(-1).to_numpy(zero_copy_only=False)
+    starts, values = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), pc.list_flatten(at).to_numpy(zero_copy_only=False)
+    columns = [*keys]
+    for k in range(size.max(initial=0)):  # what is shorter comes first
+        part = np.full(len(size), np.iinfo(np.int64).min)
+        part[size > k] = values[starts[size > k] + k]
+        columns.append(part)
+    names = [str(k) for k in range(len(columns) + 2)]
+    return pc.sort_indices(pa.table([*columns, size, node], names=names), sort_keys=[(name, "ascending") for name in names]).to_numpy()
+
+
+def _places(of: np.ndarray, up: np.ndarray, root: np.ndarray, said: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(r, size, depth, ord, said): preorder place in the page from 1, nodes and said ones in the subtree; depth -1: no root leads there. Rows are in order of page, parent and place."""
+    n = len(of)
     kids = np.bincount(up[up >= 0], minlength=n)
     first = np.flatnonzero((up >= 0) & (np.r_[-2, up[:-1]] != up))
     begins = np.zeros(n, np.int64)
     begins[up[first]] = first
     depth, size, held = np.full(n, -1), np.ones(n, np.int64), said.astype(np.int64)
-    levels = [np.flatnonzero(codes[n:] == 0)]
+    levels = [np.flatnonzero(root)]
     while len(levels[-1]):
         depth[levels[-1]] = len(levels) - 1
         many = kids[levels[-1]]
@@ -68,7 +91,13 @@ def _places(page: np.ndarray, node: pa.Array, parent: pa.Array, said: np.ndarray
         before = np.cumsum(size[level]) - size[level]
         r[level] = (r[group] if k else 0) + 1 + before - before[start]
         place[level] = np.arange(len(level)) - start
-    return r, up, size, depth, place, held
+    return r, size, depth, place, held
+
+
+def _page_numbers(page: pa.Array) -> np.ndarray:
+    """The number of each row's page, where rows of a page stand together; no page is one too."""
+    code = page.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return np.cumsum(np.r_[False, code[1:] != code[:-1]][: len(code)])
 
 
 def _page_ends(page: np.ndarray) -> list[int]:
@@ -84,7 +113,7 @@ def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         page = batch.column(0)
         if not len(page):
             continue
-        ends = _page_ends(page.to_numpy(zero_copy_only=False))
+        ends = _page_ends(_page_numbers(page))
         cut = ends[-2] if len(ends) > 1 else 0
         if held and (cut or page[0] != held[-1].column(0)[0]):
             first = ends[0] if page[0] == held[-1].column(0)[0] else 0
@@ -100,23 +129,49 @@ def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _placed(tree: DataFrame, keep: list[str], said: Column | None = None) -> DataFrame:
-    """The columns `keep` of a tree with node_id, parent_id, pre, post, depth, ord and, with `said`, how many nodes of the subtree it holds for.
+PagePass = Callable[[pa.Table], pa.Table]
+
+
+def _together(tree: DataFrame) -> DataFrame:
+    """Rows whose pages come whole and one after the other: a window brings them together, by an exchange or a sort only where the plan doesn't tell that they are. Its count is read, so that it stays in the plan."""
+    return tree.withColumn("_n", F.count("*").over(Window.partitionBy("page_id"))).where("_n > 0").drop("_n")
+
+
+def _unpacked(t: pa.Table) -> pa.Table:
+    """A row for each node of (page_id, nodes)."""
+    nodes = t["nodes"].combine_chunks()
+    flat = pc.list_flatten(nodes)
+    return pa.table([t["page_id"].take(pc.list_parent_indices(nodes)), *flat.flatten()], names=["page_id", *(f.name for f in flat.type)])
 
-    A window brings a page's rows together and puts siblings in order, by an exchange only where they are not dealt by page; whole
-    pages are then numbered batch by batch.
+
+def _placed(tree: DataFrame, keep: list[str], said: Column | None = None, passes: Sequence[PagePass] = ()) -> DataFrame:
+    """The columns `keep` of a tree with node_id, parent_id, pre, post, depth, ord and, with `said`, how many nodes of the subtree it holds for; passes are run first.
+
+    Whole pages are put in order and numbered batch by batch.
     """
+    packed = "nodes" in tree.columns
+    types = {f.name: f for f in [*tree.schema, *(tree.schema["nodes"].dataType.elementType if packed else ())]}
     numbers = [StructField(c, IntegerType()) for c in ("node_id", "parent_id", "pre", "post", "depth", "ord", "said")]
-    schema = StructType([*(tree.schema[c] for c in keep), *numbers])
-    w = Window.partitionBy("page_id").orderBy("parent", "at", "node")
-    rows = tree.where("page_id IS NOT NULL").withColumn("_said", F.coalesce(said, F.lit(False)) if said is not None else F.lit(False)).withColumn("_r", F.row_number().over(w))
-    # _r is read, so that the window stays in the plan
-    rows = rows.select(F.col("page_id").alias("_page"), F.col("node").alias("_node"), F.when(F.col("_r") > 0, F.col("parent")).alias("_parent"), "_said", *keep)
+    schema = StructType([*(types[c] for c in keep), *numbers])
+    rows = tree.where("page_id IS NOT NULL")
+    if packed:
+        rows = rows.select("page_id", "nodes")
+    else:
+        used = dict.fromkeys(["page_id", "node", "parent", "at", *(COLUMNS if passes else ()), *keep])
+        rows = rows.select(*used, (F.coalesce(said, F.lit(False)) if said is not None else F.lit(False)).alias("_said"))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_pages(batches):
-            page = t["_page"].to_numpy(zero_copy_only=False)
-            r, up, size, depth, place, n = _places(page, t["_node"].combine_chunks(), t["_parent"].combine_chunks(), t["_said"].to_numpy(zero_copy_only=False))
+            t = reduce(lambda x, step: step(x), passes, _unpacked(t) if packed else t)
+            if not len(t):
+                continue
+            of, code, up = _kin(t)
+            order = _ordered([of, code], t["at"].combine_chunks(), t["node"].combine_chunks())
+            row = np.empty(len(t), np.int64)
+            row[order] = np.arange(len(t))
+            of, code, up, t = of[order], code[order], np.where(up[order] >= 0, row[up[order]], -1), t.take(pa.array(order))
+            said = t["_said"].to_numpy(zero_copy_only=False) if "_said" in t.column_names else np.zeros(len(t), bool)
+            r, size, depth, place, n = _places(of, up, code == 0, said)
             pre = 2 * r - 1 - depth
             found = (r - 1, np.where(up >= 0, r[up] - 1, 0), pre, pre + 2 * size - 1, depth, place, n)
             out = t.select(keep)
@@ -124,12 +179,12 @@ def _placed(tree: DataFrame, keep: list[str], said: Column | None = None) -> Dat
                 out = out.append_column(field.name, pa.array(values, pa.int32(), mask=up < 0 if field.name == "parent_id" else None))
             yield from (out if (depth >= 0).all() else out.filter(pa.array(depth >= 0))).to_batches()
 
-    return rows.mapInArrow(number, schema)
+    return _together(rows).mapInArrow(number, schema)
 
 
-def numbered(tree: DataFrame) -> DataFrame:
-    """The tree as node rows: node_id, parent_id, pre, post, depth and ord are given anew. Rows that no root leads to are left out."""
-    return _placed(tree, ["page_id", "tag", "attrs", "text"]).select("page_id", "node_id", "parent_id", "pre", "post", "depth", "ord", "tag", "attrs", "text")
+def numbered(tree: DataFrame, *passes: PagePass) -> DataFrame:
+    """The tree, after passes over whole pages, as node rows: node_id, parent_id, pre, post, depth and ord are given anew. Rows that no root leads to are left out."""
+    return _placed(tree, ["page_id", "tag", "attrs", "text"], passes=passes).select("page_id", "node_id", "parent_id", "pre", "post", "depth", "ord", "tag", "attrs", "text")
 
 
 def _runs(member: Column) -> tuple[Column, Column]:
@@ -256,7 +311,7 @@ def lifted_blocks(tree: DataFrame) -> DataFrame:
     def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_pages(batches):
             lists = [t[c].to_pylist() for c in ("node", "parent", "tag", "_id", "_link")]
-            ends = _page_ends(t["page_id"].to_numpy(zero_copy_only=False))
+            ends = _page_ends(_page_numbers(t["page_id"].combine_chunks()))
             found: list[tuple] = []
             for a, b in zip([0, *ends[:-1]], ends, strict=True):
                 names, parents = lists[0][a:b], lists[1][a:b]
@@ -299,40 +354,69 @@ def wrapped_runs(tree: DataFrame, box: str = "div") -> DataFrame:
     )
 
 
+def _longer(at: pa.ListArray, rows: np.ndarray, last: np.ndarray, some: np.ndarray) -> pa.ListArray:
+    """The lists of rows, with one more value, `last`, where `some` holds."""
+    lists = at.take(pa.array(rows))
+    size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    values = np.insert(pc.list_flatten(lists).to_numpy(zero_copy_only=False), np.cumsum(size)[some], last[some])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size + some)], pa.int32()), pa.array(values, at.type.value_type), type=at.type)
+
+
+def table_sections(t: pa.Table) -> pa.Table:
+    """What normal_tables() makes of whole pages."""
+    if not len(t):
+        return t
+    _, _, up = _kin(t)
+    node, parent, at, tag, attrs, text = (t[c].combine_chunks() for c in COLUMNS[1:])
+    among = lambda *tags: pc.is_in(tag, pa.array(tags, tag.type)).to_numpy(zero_copy_only=False)
+    table, group, cell = among("table"), among("colgroup"), among("td", "th")
+    held = up >= 0
+
+    def over(rows: np.ndarray) -> np.ndarray:
+        """Whether a node is the parent of one of rows."""
+        found = np.zeros(len(t), bool)
+        found[up[rows & held]] = True
+        return found
+
+    inside = held & table[up]
+    row = ~group & inside & ~over(among("thead", "tbody", "tfoot"))[up]
+    head = row & over(cell) & ~over(cell & ~among("th"))
+    # a column group in a section asks for the table around that
+    above = np.where(held, up[up], -1)
+    into = np.where(row | (group & inside), up, np.where(group & (above >= 0) & table[above], above, -1))
+    asks = np.flatnonzero(into >= 0)
+    key = 3 * into[asks] + np.where(group, 0, 1 + head)[asks]
+    order = _ordered([key], at.take(pa.array(asks)), node.take(pa.array(asks)))
+    key = key[order]
+    first = np.zeros(len(t), bool)
+    first[asks[order[np.r_[True, key[1:] != key[:-1]][: len(key)]]]] = True
+    leads, opens = group & first, row & first
+    # the first row of a section brings it along, and a table without rows its body
+    bare = table & ~over(~group) & ~opens
+    by = np.r_[np.flatnonzero(opens), np.flatnonzero(bare)]
+    of, thead = np.where(opens, into, np.arange(len(t)))[by], head[by]
+    name = lambda rows, heads: pc.binary_join_element_wise(node.take(rows), pa.array(np.where(heads, "/head", "/body"), node.type), "")
+    table_row = pa.array(into, pa.int64(), mask=into < 0)
+    own = pc.if_else(pa.array(leads), node.take(table_row), pc.if_else(pa.array(row), name(table_row, head), parent))
+    rows = np.r_[np.where(leads, into, np.arange(len(t))), of]
+    lists = _longer(at, rows, np.r_[np.full(len(t), -2), np.where(thead, -1, 0)], np.r_[leads, np.ones(len(of), bool)])
+    both = lambda a, b: pa.concat_arrays([a, pa.array(b, a.type)])
+    columns = [
+        pa.concat_arrays([node, name(pa.array(of), thead)]), pa.concat_arrays([own, node.take(pa.array(of))]), lists, both(tag, np.where(thead, "thead", "tbody").tolist()), both(attrs, [[]] * len(of)), both(text, [""] * len(of)),
+    ]
+    # what is made stands with its page
+    rest = np.argsort(np.r_[np.arange(len(t)), by], kind="stable")
+    page = t["page_id"].take(pa.array(np.r_[np.arange(len(t)), by]))
+    return pa.table([page, *columns], names=COLUMNS).take(pa.array(rest))
+
+
 def normal_tables(tree: DataFrame) -> DataFrame:
     """Tables get their sections: rows of header cells alone go to a head, the others to a body; the column group stands first."""
-    tag, child = F.col("tag"), F.col("_side") == 1
-    group = tag == "colgroup"
-    # as a child (1) a node learns of its parent and siblings, as a parent (0) of its children
-    rows = tree.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-    kin = Window.partitionBy("page_id", F.when(child, F.col("parent")).otherwise(F.col("node")))
-    rows = rows.withColumns({
-        "_t_at": F.max(F.when(~child & (tag == "table"), F.col("at"))).over(kin), "_has": F.bool_or(child & tag.isin("thead", "tbody", "tfoot")).over(kin), "_rows": F.bool_or(child & ~group).over(kin), "_head": F.bool_and(F.when(child & tag.isin("td", "th"), tag == "th")).over(kin),
-    })
-    # both are brought together; a column group also asks its parent for the table around that
-    rows = rows.withColumn("_side", F.explode(F.when(child & group, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col("_side")))))
-    asks = F.col("_side") == 2
-    own = Window.partitionBy("page_id", F.when(asks, F.col("parent")).otherwise(F.col("node")))
-    held = F.when(child & F.col("_t_at").isNotNull(), F.struct(F.col("parent").alias("node"), F.col("_t_at").alias("at")))
-    rows = rows.withColumn("_up", F.max(held).over(own)).withColumn("_cells", F.bool_and(F.when(F.col("_side") == 0, F.col("_head"))).over(own)).withColumn("_empty", F.bool_or(F.when(F.col("_side") == 0, ~F.coalesce(F.col("_has") | F.col("_rows"), F.lit(False)))).over(own))
-    rows = rows.where(asks | (child & ~group))
-    in_table = F.col("parent").isNotNull() & F.col("_t_at").isNotNull()
-    table = F.when(group, F.when(in_table, F.struct(F.col("parent").alias("node"), F.col("_t_at").alias("at"))).otherwise(F.col("_up")))
-    row = ~group & in_table & ~F.col("_has")
-    rows = rows.withColumn("_table", table).withColumn("_row", row).withColumn("_head", F.when(row, F.coalesce("_cells", F.lit(False))))
-    first = F.row_number().over(Window.partitionBy("page_id", F.coalesce("_table.node", F.when(F.col("_row"), F.col("parent")), "node"), F.when(group, F.lit("group")).when(F.col("_row"), F.col("_head").cast("string"))).orderBy("at", "node")) == 1
-    rows = rows.withColumn("_first", first)
-    leads = group & F.col("_first") & F.col("_table").isNotNull()
-    name = lambda held, head: F.concat(held, F.when(head, "/head").otherwise("/body"))
-    place = lambda at, k: F.concat(at, F.array(F.lit(k).cast("long") if isinstance(k, int) else k.cast("long")))
-    none = F.create_map().cast("map<string,string>")
-    made = lambda held, at, head: F.struct(name(held, head).alias("node"), held.alias("parent"), place(at, F.when(head, -1).otherwise(0)).alias("at"), F.when(head, "thead").otherwise("tbody").alias("tag"), none.alias("attrs"), F.lit("").alias("text"))
-    own = F.struct(
-        "node", F.when(leads, F.col("_table.node")).when(F.col("_row"), name(F.col("parent"), F.col("_head"))).otherwise(F.col("parent")).alias("parent"), F.when(leads, place(F.col("_table.at"), -2)).otherwise(F.col("at")).alias("at"), "tag", "attrs", "text"
-    )
-    # the first row of a section brings it along, and a table without rows its body
-    section = F.when(F.col("_row") & F.col("_first"), F.array(made(F.col("parent"), F.col("_t_at"), F.col("_head")), own)).when((tag == "table") & F.col("_empty"), F.array(made(F.col("node"), F.col("at"), F.lit(False)), own)).otherwise(F.array(own))
-    return rows.select("page_id", F.explode(section).alias("_n")).select("page_id", "_n.*").select(*COLUMNS)
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_pages(batches):
+            yield from table_sections(t).to_batches()
+
+    return _together(tree.select(*COLUMNS)).mapInArrow(go, StructType([tree.schema[c] for c in COLUMNS]))
 
 
 def pruned(tree: DataFrame) -> DataFrame:

@@ -22,8 +22,10 @@ LINES = "WITH l AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION B
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.row_number().over(w).cast("long").alias("i"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_quantity").alias("q"))
+    """Lines dealt by page_id; what is named before the window stays known as dealt behind it."""
+    w = Window.partitionBy("page_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page_id").withColumn("i", F.row_number().over(w))
+    return rows.select("page_id", F.col("i").cast("long").alias("i"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_quantity").alias("q"))
 
 
 def _node(name: str, parent: str | None, at: tuple, tag: str, text: str = "''", attrs: str = "CAST(map() AS map<string, string>)", where: str = "true"):
@@ -36,14 +38,19 @@ def _root(tag: str):
     return _node("'r'", None, (0,), f"'{tag}'", where="i = 1")
 
 
+def _packed(lines: DataFrame, *nodes) -> DataFrame:
+    """Rows (page_id, nodes), where the lines are: an order's first line brings what the order has once."""
+    return lines.select("page_id", F.array_compact(F.array(*nodes)).alias("nodes"))
+
+
 def _tree(lines: DataFrame, *nodes) -> DataFrame:
-    """Tree rows, where the lines are: an order's first line brings what the order has once."""
-    return lines.select("page_id", F.explode(F.array_compact(F.array(*nodes))).alias("_n")).select("page_id", "_n.*")
+    """Tree rows of the same."""
+    return _packed(lines, *nodes).select("page_id", F.explode("nodes").alias("_n")).select("page_id", "_n.*")
 
 
-def _outline(tree: DataFrame) -> DataFrame:
+def _outline(tree: DataFrame, *passes: rw.PagePass) -> DataFrame:
     """(page_id, at, depth, tag, text): the order and the depths of nodes, which make up a tree."""
-    return rw.numbered(tree).select("page_id", (F.col("node_id") + 1).cast("long").alias("at"), "depth", "tag", "text")
+    return rw.numbered(tree, *passes).select("page_id", (F.col("node_id") + 1).cast("long").alias("at"), "depth", "tag", "text")
 
 
 @query(LINES + """, n AS (SELECT *, status = 'O' AS t, sum((status = 'F')::INTEGER) OVER (PARTITION BY page_id ORDER BY i) AS run FROM l),
@@ -79,11 +86,11 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS "at", dep
 def normal_tables(spark, sf_dir):
     """An order is a table, a line a row of two cells; every third has a body, every second a column group at its end."""
     third = "if(page_id % 3 = 0, 'body', 'r')"
-    tree = _tree(
+    tree = _packed(
         _lines(spark, sf_dir), _root("table"), _node("'body'", "'r'", (1,), "'tbody'", where="i = 1 AND page_id % 3 = 0"), _node("'cols'", third, (9_999,), "'colgroup'", where="i = 1 AND page_id % 2 = 0"),
         _node("CAST(i AS STRING)", third, ("i",), "'tr'"), _node("concat(i, '.a')", "CAST(i AS STRING)", (1,), "if(flag = 'A', 'th', 'td')", "concat(i, 'a')"), _node("concat(i, '.b')", "CAST(i AS STRING)", (2,), "if(status = 'F', 'th', 'td')", "concat(i, 'b')"),
     )
-    return _outline(rw.normal_tables(tree))
+    return _outline(tree, rw.table_sections)
 
 
 @query(LINES + """, n AS (SELECT *, flag = 'R' AS said, status = 'F' AND q > 25 AS named FROM l), o AS (SELECT page_id, 0 AS i, 0 AS k, 0 AS depth, 'body' AS tag, '' AS text FROM l GROUP BY page_id

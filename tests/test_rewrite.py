@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codexlake.operators import documents as dc
 from codexlake.operators import rewrite as rw
+from codexlake.plans import tree_queries as tq
 
 
 def tree_of(spark, *sources):
@@ -93,3 +94,26 @@ def test_lifted_blocks_without_rounds(spark, monkeypatch):
     got = [(r.depth, r.tag, r.attrs.get("id"), r.attrs.get("href"), r.text) for r in found.where("page_id = 6").orderBy("pre").collect()]
     first, second = ([(k + 1, "b", f"i{k}" if whole else None, None, "") for k in range(depth)] for whole in (True, False))
     assert got == [(0, "div", None, None, ""), *first, (depth + 1, "#text", None, None, "x"), (1, "p", None, None, ""), (2, "#text", None, None, "y"), *second, (depth + 1, "#text", None, None, "z"), (1, "div", None, None, ""), (2, "p", None, None, ""), (3, "a", None, "2", ""), (4, "#text", None, None, "w")]
+
+
+def test_packed_pages_take_one_exchange_and_one_sort(spark):
+    """Orders become tables, and these node rows, where the lines were dealt and sorted; the nodes are neither exchanged nor sorted again."""
+    plan = tq.normal_tables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange "), plan.count("Sort ["), plan.count("MapInArrow")) == (1, 1, 1)
+
+
+def test_table_sections_of_packed_and_of_single_rows(spark):
+    """Nested tables, a column group in a section, groups after the first, pages over many batches; rows of a page come in any number of lists."""
+    page = "<table><tbody><colgroup></colgroup><tr><td><table><tr><th>h</th></tr><colgroup id=x></colgroup><colgroup id=y></colgroup><tr><td>d</td></tr></table></td></tr></tbody></table>"
+    tree = rw.opened(tree_of(spark, *[page, "", "<table></table><p>x</p>"] * 50))
+    packed = tree.groupBy("page_id", F.crc32("node") % 3).agg(F.collect_list(F.struct(*rw.COLUMNS[1:])).alias("nodes")).select("page_id", "nodes")
+    want = ["table", " colgroup", " tbody", "  tr", "   td", "    table", "     colgroup id=x", "     thead", "      tr", "       th", "        'h'", "     tbody", "      tr", "       td", "        'd'", "     colgroup id=y"]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 7)
+    try:
+        for rows in (rw.numbered(rw.normal_tables(tree)), rw.numbered(tree, rw.table_sections), rw.numbered(packed, rw.table_sections)):
+            got = outline(rows)
+            assert len(got) == 100 and got[147] == want and got[149] == ["table", " tbody", "p", " 'x'"]
+    finally:
+        spark.conf.set(key, before)
